@@ -1,0 +1,106 @@
+import zlib
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from scorefold.llm import common, packing, subwords, token_files
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+PATH = public_tokenizers.path("word_bpe_49k.json")
+ODD = ["", " ", "it's  DON'T we'll!!", "a1b22\tc\nd", "É'd straße Ÿ ǅ Σς ͅ x\u0301 \u00a0y\x1cz", "<|endoftext|> a <|x", "日本 語,x", "'re're", "ab" * 3000, "½²ª\u2003\x85q", None]
+DOCS = "doc_id long, text string, lang string, piece string, ids string"
+
+
+def plain(text, end):
+    from tokenizers import Tokenizer
+
+    return [*Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids, end]
+
+
+@pytest.mark.parametrize("text", ODD)
+def test_word_by_word_ids_are_the_tokenizers_own(text):
+    assert np.frombuffer(subwords.subwords(PATH).ids(text), "<u4").tolist() == plain(text, 0)[:-1]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet=st.one_of(st.sampled_from("aB'srtvelmd1 \n\t.,!éÀßİΣ<|>"), st.characters(codec="utf-8")), max_size=60))
+def test_any_text(text):
+    assert np.frombuffer(subwords.subwords(PATH).ids(text), "<u4").tolist() == plain(text, 0)[:-1]
+
+
+def test_small_caches_change_nothing():
+    small = subwords.Subwords(PATH, cached=3)
+    text = "one two three four five one two ábc déf! one"
+    assert np.frombuffer(small.ids(text), "<u4").tolist() == plain(text, 0)[:-1]
+
+
+def docs(spark):
+    rows = [(k * 3 - 5, t, "en", "clash", "clash") for k, t in enumerate(ODD)] + [(4, "again", None, None, None), (4, "again", None, None, None), (None, "no id", "x", "y", "z")]
+    return spark.createDataFrame(rows, DOCS)
+
+
+def test_files_round_trip(spark):
+    frame = docs(spark)
+    shards = token_files.write_shards(frame, PATH, 2, common.new_path(spark, "t"))
+    read = [(r.doc_id, r.start, np.frombuffer(r.ids, "<u4").tolist()) for r in token_files.read_shards(shards).collect()]
+    read.sort(key=lambda r: r[1])
+    want = sorted(((r.doc_id, r.text) for r in frame.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    at = 0
+    assert [r[0] for r in read] == [r[0] for r in want]
+    for (_, start, ids), (_, text) in zip(read, want, strict=True):
+        assert (start, ids) == (at, plain(text, 2))
+        at += len(ids)
+
+
+def test_empty_files(spark):
+    empty = docs(spark).limit(0)
+    assert token_files.read_shards(token_files.write_shards(empty, PATH, 2, common.new_path(spark, "t"))).collect() == []
+    assert packing.pack(packing.cut_pieces(subwords.encode(empty, PATH, 1), 8), 8).collect() == []
+
+
+def test_packing_whole_and_gapless(spark):
+    frame = docs(spark)
+    packed = packing.pack(packing.cut_pieces(subwords.encode(frame, PATH, 1), 8), 8).collect()
+    by_doc = {}
+    for r in packed:
+        by_doc.setdefault(r.doc_id, []).append(r)
+        assert len(r.ids) == 4 * r.length
+    for doc_id, text in ((r.doc_id, r.text) for r in frame.collect()):
+        ids = np.array(plain(text, 1), "<u4")
+        mine = sorted(by_doc[doc_id], key=lambda r: r.piece)
+        if doc_id != 4:
+            assert b"".join(bytes(r.ids) for r in mine) == ids.tobytes()
+            assert [r.start for r in mine] == list(range(0, len(ids), 8))
+            assert zlib.crc32(ids[:8].tobytes()) == zlib.crc32(bytes(mine[0].ids))
+    bins = {}
+    for r in packed:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for rows in bins.values():
+        rows.sort()
+        assert [o for o, _ in rows] == [sum(n for _, n in rows[:k]) for k in range(len(rows))]
+        assert sum(n for _, n in rows) <= 8
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 50), max_size=80))
+def test_best_two_fit(lengths):
+    lengths = np.array(lengths, np.int64)
+    bins, offsets = packing.pack_lengths(lengths, 50)
+    rows = {}
+    for n, b, o in zip(lengths.tolist(), bins.tolist(), offsets.tolist(), strict=True):
+        rows.setdefault(b, []).append((o, n))
+    for found in rows.values():
+        found.sort()
+        assert [o for o, _ in found] == [sum(n for _, n in found[:k]) for k in range(len(found))]
+        assert sum(n for _, n in found) <= 50
+    # no two bins fit into one but for the last
+    fill = sorted(sum(n for _, n in f) for f in rows.values())
+    assert len(fill) < 2 or fill[0] + fill[1] > 50 or len(fill) <= 2 + lengths.sum() // 25
+
+
+def test_a_pair_replaces_the_smallest():
+    bins, _ = packing.pack_lengths(np.array([60, 30, 25, 15]), 100)
+    # greedy: 60 + 30, gap 10; 25 + 15 fit the gap of 40 exactly
+    assert bins.tolist() == [0, 1, 0, 0]
