@@ -90,3 +90,28 @@ def bounded_sample(rows: DataFrame, key: str, most: int, seed: int = 17) -> Data
     if total <= most:
         return rows
     return rows.where(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 30)) < int((1 << 30) * most / total))
+
+
+def with_columns_from_text(docs: DataFrame, text: str, fields: str, make) -> DataFrame:
+    """docs with new columns computed from the whole text in Arrow batches; columns of those names are replaced.
+
+    make() runs once per task and gives a function from a list of texts (None for null) to one list per field.
+    """
+    import pyarrow as pa
+    from pyspark.sql.types import StructType
+
+    added = StructType.fromDDL(fields)
+    docs = docs.drop(*[c for c in docs.columns if c in added.names])
+    keep = docs.columns
+    schema = StructType([*docs.schema.fields, *added.fields])
+
+    def run(batches):
+        work = make()
+        for batch in batches:
+            found = batch.column(text)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                new = work(found.slice(at, 1024).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(x) for x in new)], names=[*keep, *added.names])
+
+    return docs.mapInArrow(run, schema)

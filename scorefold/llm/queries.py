@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorefold.llm import chat, common, packing, subwords, token_files
+from scorefold.llm import chat, common, language, packing, subwords, token_files, toxicity
 
 ROOM = 4096
 
@@ -30,6 +30,25 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def labelled(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
+    """doc_id, text and label of the labelled documents that may be learned from; of several labels the largest counts."""
+    labels = common.table(spark, sf_dir, "labels").where(~common.held_out("doc_id") & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias(label))
+    return common.table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = toxicity.fit(labelled(spark, sf_dir, "toxic"))
+    scored = toxicity.score(common.table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    return scored.select("doc_id", common.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "matched_clauses")
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    model = language.fit(docs.where(~common.held_out("doc_id")))
+    found = language.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", common.held_out("doc_id").alias("held_out"), "lang_pred", "score", "cosine", "rejected")
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = common.table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     probe = spark.sql("SELECT -7L AS conv_id, id AS turn, IF(id = 0, 'user', 'assistant') AS role, '</s>[INST] ok [/INST]' AS text FROM range(2)")
@@ -74,7 +93,9 @@ def queries() -> dict:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
         "op3_token_files": op3_token_files,
+        "op4_toxicity": op4_toxicity,
         "op5_chat_format": op5_chat_format,
+        "op7_language_id": op7_language_id,
     }
 
 

@@ -1,0 +1,106 @@
+import numpy as np
+
+from scorefold.llm import language, toxicity
+
+WORDS = {"en": "the and of with that this from house water light".split(), "de": "der und die nicht mit auf einer Häuser Wasser Licht".split()}
+
+
+def texts(n, seed=3):
+    rng = np.random.default_rng(seed)
+    return [(k, lang, " ".join(rng.choice(WORDS[lang], 30))) for k in range(n) for lang in [("en", "de")[k % 2]]]
+
+
+def test_language_of_clean_odd_and_foreign_texts(spark):
+    schema = "doc_id long, lang string, text string, score string, rejected string"
+    rows = [(*r, "clash", None) for r in texts(80)]
+    frame = spark.createDataFrame([*rows, (900, None, "the and", None, None), (901, "en", None, None, None), (None, "en", "", None, None), rows[0]], schema)
+    model = language.fit(frame)
+    assert model["langs"] == ["de", "en"]
+    odd = [(1, None, "nicht mit der Licht", None, None), (2, None, "1234 !!", None, None), (3, None, None, None, None), (4, None, "", None, None), (5, None, "日本語の文章です" * 40, None, None), (6, None, "the house and the water " * 5000, None, None)]
+    got = {r.doc_id: r for r in language.identify(spark.createDataFrame(odd, schema), model).collect()}
+    assert [got[k].lang_pred for k in (1, 2, 3, 4, 6)] == ["de", "und", "und", "und", "en"]
+    assert [got[k].rejected for k in (1, 2, 3, 4, 5, 6)] == [False, True, True, True, True, False]
+    assert all(0 <= r.score <= 1 for r in got.values())
+    seen = language.identify(frame.where("lang is not null and text <> ''"), model).collect()
+    assert all(r.lang_pred == r.lang and not r.rejected for r in seen)
+
+
+def test_language_nothing_to_learn(spark):
+    empty = spark.createDataFrame([], "doc_id long, lang string, text string")
+    model = language.fit(empty)
+    assert language.identify(empty, model).collect() == []
+    assert language.identify(spark.createDataFrame([(1, "en", "x")], "doc_id long, lang string, text string"), model).first().lang_pred == "und"
+
+
+def test_grammar_composes_negation_report_and_target():
+    grammar = toxicity.Grammar({"fool": 1.0, "rotte*": 1.0})
+    plain, = grammar.clauses("such a fool indeed.")
+    aimed, = grammar.clauses("you are a fool.")
+    negated, = grammar.clauses("not a fool.")
+    reported, = grammar.clauses("Anna said a fool came.")
+    lifted, = grammar.clauses("not good but a fool.")
+    assert negated < reported < plain < aimed and lifted == plain
+    assert grammar.clauses("They kill time.") and not grammar.clauses("kill time.") and not grammar.clauses("no match, nothing")
+    assert grammar.clauses("rotten apples") == [1.0]
+    assert grammar.clauses(None) == grammar.clauses("") == []
+    assert len(grammar.clauses("fool. " * 3000)) == 3000
+
+
+def brute(text, insults):
+    """The same marks by looking back from every word of a clause."""
+    out = []
+    tokens = toxicity.TOKEN.findall(text.lower()) + ["."]
+    clause = []
+    for t in tokens:
+        if t in ".!?;:\n":
+            total = 0.0
+            for k, w in enumerate(clause):
+                before = clause[:k]
+                last = max((j for j, x in enumerate(before) if x in toxicity.NEGATION), default=None)
+                neg = last is not None and k - last <= 3 and not any(x in toxicity.PIVOT for x in before[last:])
+                said = any(x in toxicity.REPORT for x in before)
+                someone = any(x in toxicity.TARGET for x in before)
+                waits = any(x in toxicity.THREAT and not any(y in toxicity.TARGET for y in before[:j]) for j, x in enumerate(before)) and not someone
+                mark = (0.3 if neg else 1.0) * (0.6 if said else 1.0)
+                if w in insults:
+                    total += (1.5 if someone else 1.0) * mark
+                elif w in toxicity.THREAT and someone:
+                    total += 1.5 * mark
+                elif w in toxicity.TARGET and waits:
+                    total += 1.5
+            if total:
+                out.append(round(total, 9))
+            clause = []
+        else:
+            clause.append(t)
+    return out
+
+
+def test_composed_table_equals_brute_force():
+    rng = np.random.default_rng(5)
+    words = ["fool", "kill", "you", "not", "said", "but", "a", "b", "."]
+    for _ in range(300):
+        text = " ".join(rng.choice(words, 14))
+        assert [round(x, 9) for x in toxicity.Grammar({"fool": 1.0}).clauses(text)] == brute(text, {"fool"})
+
+
+def test_learned_insults_and_copies(spark):
+    rng = np.random.default_rng(7)
+    vocab = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(300)]
+    rows = []
+    for k in range(300):
+        words = list(rng.choice(vocab, 25))
+        if k % 5 == 0:
+            for at in (3, 9, 20):
+                words[at] = "zork"
+        rows.append((k, " ".join(words), int(k % 5 == 0), 0.5))
+    copy = "strange copied thing " + " ".join(rng.choice(vocab, 20))
+    rows += [(1000 + k, copy, 1, None) for k in range(40)] + [(None, None, 1, None), (2000, "", None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int, score double")
+    model = toxicity.fit(frame)
+    assert "zork" in model["insults"] and "strange" not in model["insults"]
+    got = {r.doc_id: r for r in toxicity.score(frame, model).collect()}
+    assert all((got[k].score >= 0.7) == (k % 5 == 0) for k in range(300))
+    assert len(got) == len({r[0] for r in rows})
+    empty = frame.limit(0)
+    assert toxicity.score(empty, toxicity.fit(empty)).collect() == []
