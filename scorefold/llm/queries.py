@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorefold.llm import chat, common, language, packing, subwords, token_files, toxicity
+from scorefold.llm import chat, common, language, packing, simhash, subwords, token_files, toxicity
 
 ROOM = 4096
 
@@ -65,6 +65,11 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(common.table(spark, sf_dir, "documents"), width=3)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def _escaped_sql(text: str) -> str:
     """chat.escape in plain replacements: each control string gets a backslash behind its first character."""
     out = f"replace({text}, '\\', '\\\\')"
@@ -96,6 +101,7 @@ def queries() -> dict:
         "op4_toxicity": op4_toxicity,
         "op5_chat_format": op5_chat_format,
         "op7_language_id": op7_language_id,
+        "op8_simhash": op8_simhash,
     }
 
 
