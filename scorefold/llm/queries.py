@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorefold.llm import chat, common, language, packing, simhash, subwords, token_files, toxicity
+from scorefold.llm import chat, common, decontaminate, embeddings, language, packing, simhash, subwords, token_files, toxicity
 
 ROOM = 4096
 
@@ -42,6 +42,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", common.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "matched_clauses")
 
 
+def op6_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(common.table(spark, sf_dir, "embeddings"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     model = language.fit(docs.where(~common.held_out("doc_id")))
@@ -70,6 +74,11 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.decontaminate(docs, common.table(spark, sf_dir, "benchmark")).drop("text")
+
+
 def _escaped_sql(text: str) -> str:
     """chat.escape in plain replacements: each control string gets a backslash behind its first character."""
     out = f"replace({text}, '\\', '\\\\')"
@@ -94,16 +103,37 @@ FROM e GROUP BY conv_id
 """
 
 
+#: Exact: equality joins on the label, cosine in double precision, reachability by a recursive query.
+OP6_SQL = """
+WITH RECURSIVE good AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.98
+), reach(a, b) AS (
+  SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+)
+SELECT e.vec_id, coalesce(l.n, 0)::BIGINT AS n_links, least(e.vec_id, coalesce(r.m, e.vec_id))::BIGINT AS component_id,
+  e.vec_id = least(e.vec_id, coalesce(r.m, e.vec_id)) AS kept
+FROM embeddings e LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) l ON l.a = e.vec_id
+LEFT JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) r ON r.a = e.vec_id
+"""
+
+
 def queries() -> dict:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
         "op3_token_files": op3_token_files,
         "op4_toxicity": op4_toxicity,
         "op5_chat_format": op5_chat_format,
+        "op6_near_vectors": op6_near_vectors,
         "op7_language_id": op7_language_id,
         "op8_simhash": op8_simhash,
+        "op9_decontaminate": op9_decontaminate,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_format": OP5_SQL}
+    return {"op5_chat_format": OP5_SQL, "op6_near_vectors": OP6_SQL}
