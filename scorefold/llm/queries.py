@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorefold.llm import chat, common, decontaminate, embeddings, language, packing, simhash, subwords, token_files, toxicity
+from scorefold.llm import chat, common, decontaminate, embeddings, language, packing, quality, simhash, subwords, token_files, toxicity
 
 ROOM = 4096
 
@@ -36,6 +36,12 @@ def labelled(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
     return common.table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    net = quality.fit(labelled(spark, sf_dir, "quality"))
+    scored = quality.score(common.table(spark, sf_dir, "documents").select("doc_id", "text"), net)
+    return scored.select("doc_id", common.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(labelled(spark, sf_dir, "toxic"))
     scored = toxicity.score(common.table(spark, sf_dir, "documents").select("doc_id", "text"), model)
@@ -125,6 +131,7 @@ LEFT JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) r ON r.a = e.vec_id
 def queries() -> dict:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
+        "op2_quality": op2_quality,
         "op3_token_files": op3_token_files,
         "op4_toxicity": op4_toxicity,
         "op5_chat_format": op5_chat_format,
