@@ -98,9 +98,11 @@ def with_columns_from_text(docs: DataFrame, text: str, fields: str, make) -> Dat
     make() runs once per task and gives a function from a list of texts (None for null) to one list per field.
     """
     import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import StructType
 
     added = StructType.fromDDL(fields)
+    kinds = [to_arrow_type(f.dataType) for f in added]
     docs = docs.drop(*[c for c in docs.columns if c in added.names])
     keep = docs.columns
     schema = StructType([*docs.schema.fields, *added.fields])
@@ -112,6 +114,6 @@ def with_columns_from_text(docs: DataFrame, text: str, fields: str, make) -> Dat
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 new = work(found.slice(at, 1024).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(x) for x in new)], names=[*keep, *added.names])
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(x, kind) for x, kind in zip(new, kinds, strict=True))], names=[*keep, *added.names])
 
     return docs.mapInArrow(run, schema)
