@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorefold.llm import chat, common, decontaminate, embeddings, language, packing, quality, simhash, subwords, token_files, toxicity
+from scorefold.llm import chat, common, decontaminate, embeddings, language, lm, packing, quality, simhash, subwords, token_files, toxicity
 
 ROOM = 4096
 
@@ -85,6 +85,12 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(docs, common.table(spark, sf_dir, "benchmark")).drop("text")
 
 
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", (common.crc_mod("doc_id", 10) != 0).alias("train"))
+    scored = lm.score(docs, tokenizer_path(), "train")
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def _escaped_sql(text: str) -> str:
     """chat.escape in plain replacements: each control string gets a backslash behind its first character."""
     out = f"replace({text}, '\\', '\\\\')"
@@ -139,6 +145,7 @@ def queries() -> dict:
         "op7_language_id": op7_language_id,
         "op8_simhash": op8_simhash,
         "op9_decontaminate": op9_decontaminate,
+        "op10_language_model": op10_language_model,
     }
 
 
