@@ -31,13 +31,25 @@ def composite_scores(ratings: DataFrame, entity: str, score: str = "score", buy:
     return out.withColumn("consensus_recommendation", consensus(F.col("composite_score"), buy, hold))
 
 
+def place(df: DataFrame, by: str, out: str, ties: Sequence[str] = (), buckets: int = 128) -> DataFrame:
+    """df with `out`: its place by descending value; equal values share one, unless ties gives an order among them.
+
+    No task holds the whole order: values are dealt into buckets between approximate quantiles (one row of cut points, equal
+    values in one bucket), numbered within their bucket, and what lies above a bucket is a prefix sum over one row each.
+    Null values come last."""
+    cuts = df.agg(F.percentile_approx(F.col(by).cast("double"), F.array(*[F.lit(k / buckets) for k in range(1, buckets)]), 10_000).alias("_cuts"))
+    bucket = F.when(F.col(by).isNull(), F.lit(buckets)).otherwise(F.size(F.filter(F.coalesce("_cuts", F.array().cast("array<double>")), lambda c: c > F.col(by))))
+    rows = df.crossJoin(F.broadcast(cuts)).withColumn("_bucket", bucket).drop("_cuts")
+    sizes = rows.groupBy("_bucket").agg(F.count("*").alias("_n"))
+    above = sizes.select("_bucket", F.coalesce(F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_above"))
+    w = Window.partitionBy("_bucket").orderBy(F.col(by).desc_nulls_last(), *ties)
+    numbered = rows.withColumn("_in", (F.row_number() if ties else F.rank()).over(w))
+    return numbered.join(F.broadcast(above), "_bucket").withColumn(out, (F.col("_above") + F.col("_in")).cast("long")).drop("_above", "_in", "_bucket")
+
+
 def rank_scores(scores: DataFrame, by: str = "composite_score", entity: str = "symbol") -> DataFrame:
-    """rank by descending score, ties by entity. The work is dealt by score value: rows are numbered within their value, and
-    the rows above a value are a prefix sum over one row per value. No task holds the whole ranking."""
-    values = scores.groupBy(by).agg(F.count("*").alias("_n"))
-    above = values.select(F.col(by).alias("_value"), F.coalesce(F.sum("_n").over(Window.orderBy(F.col(by).desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_above"))
-    within = F.row_number().over(Window.partitionBy(by).orderBy(entity))
-    return scores.withColumn("_in", within).join(above, F.col(by).eqNullSafe(F.col("_value"))).withColumn("rank", (F.col("_above") + F.col("_in")).cast("long")).drop("_above", "_in", "_value")
+    """rank by descending score, ties by entity."""
+    return place(scores, by, "rank", [entity])
 
 
 def persona_scores(ratings: DataFrame, entity: str, rater: str, score: str = "score") -> DataFrame:

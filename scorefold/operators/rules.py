@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scorefold.operators.rollup import place
+
 D = F.try_divide
 
 
@@ -48,19 +50,12 @@ def apply_screen(df: DataFrame, name: str, columns: dict[str, str] | None = None
     return out.withColumns({f"{name}_passed": sum((F.col(k) == "pass").cast("int") for k in tests), f"{name}_known": sum((F.col(k) != "unknown").cast("int") for k in tests)})
 
 
-def dense_place(df: DataFrame, by: str, place: str) -> DataFrame:
-    """`place`: rank of the descending value, equal values alike; dealt by value, so nothing but one row per value is sorted whole."""
-    values = df.groupBy(by).agg(F.count("*").alias("_n")).where(F.col(by).isNotNull())
-    above = values.select(F.col(by).alias("_value"), (F.coalesce(F.sum("_n").over(Window.orderBy(F.col(by).desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1).alias(place))
-    return df.join(above, F.col(by) == F.col("_value")).drop("_value")
-
-
 def magic_formula(df: DataFrame, entity: str, ebit: str, ev: str, capital: str, sector: str, excluded: tuple[str, ...] = ("Financial Services", "Utilities")) -> DataFrame:
     """Earnings yield and return on capital, each ranked; the sum of ranks orders the entities. Excluded sectors, EBIT of
     zero or less and undefined ratios drop out."""
     rows = df.where((F.col(ebit) > 0) & ~F.coalesce(F.col(sector).isin(*excluded), F.lit(False)))
     rows = rows.select(entity, F.round(D(F.col(ebit), F.col(ev)), 9).alias("earnings_yield"), F.round(D(F.col(ebit), F.col(capital)), 9).alias("return_on_capital")).dropna()
-    ranked = dense_place(dense_place(rows, "earnings_yield", "yield_rank"), "return_on_capital", "capital_rank")
+    ranked = place(place(rows, "earnings_yield", "yield_rank"), "return_on_capital", "capital_rank")
     return ranked.withColumn("magic_rank", F.col("yield_rank") + F.col("capital_rank"))
 
 
