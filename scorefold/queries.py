@@ -343,6 +343,12 @@ def json_fields(spark, d):
     return e.select("event_id", expr.get(F.col("v"), "$.k", "bigint").alias("k"), F.array_join(expr.keys_of(F.col("props")), ",").alias("keys"), F.array_join(expr.missing_keys(F.col("props"), ["k", "m"]), ",").alias("missing"), expr.integral_score(F.col("v"), "$.k", -(10**9), 10**9).alias("integral"))
 
 
+@query("SELECT event_id, unnest(json_keys(props)) AS key, (props::JSON ->> '$.k')::BIGINT AS value FROM events")
+def json_keys(spark, d):
+    rows = documents.open_fields(table(spark, d, "events").select("event_id", F.try_parse_json("props").alias("doc")), ["event_id"])
+    return rows.select("event_id", "key", F.try_variant_get("value", "$", "bigint").alias("value"))
+
+
 @query(
     """WITH b AS (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 0 WHEN c_custkey % 3 = 1 THEN NULL ELSE round(c_acctbal, 2) END AS pe, c_custkey % 2 = 0 AS has FROM customer)
 SELECT c_custkey, CASE WHEN coalesce(pe, 0) = 0 AND has THEN (c_custkey % 50)::DOUBLE ELSE pe END AS trailing_pe, CASE WHEN has THEN (c_custkey % 50)::DOUBLE ELSE 7 END AS roce,

@@ -55,6 +55,12 @@ def _fields(ddl: str) -> list[str]:
     return [*out, ddl[last:]]
 
 
+def open_fields(df: DataFrame, keys: Sequence[str], doc: str = "doc", path: str = "$") -> DataFrame:
+    """(keys, key, value): the fields of an object of unknown keys inside a VARIANT, one row each; values stay VARIANT."""
+    part = df.select(*keys, F.try_variant_get(doc, path, "variant").alias("_part")).where("schema_of_variant(_part) LIKE 'OBJECT%'")
+    return part.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("_part").outer())).select(*keys, "key", "value")
+
+
 def read_envelope(spark: SparkSession, path: str) -> DataFrame:
     """The rows inside {metadata, stocks: [...]}."""
     return spark.read.schema(REGISTRY).json(path, multiLine=True).select(F.inline("stocks"))
