@@ -1,8 +1,9 @@
 """Connected components of a link table by alternating large-star and small-star rounds.
 
-Every round is one aggregation (a partial minimum before the shuffle) and one join on the node, both left to Spark's skew
-handling; links are never expanded into all pairs, and no node, link or component is gathered on the driver. Each round is
-written to the shared folder, so a lost executor costs one round at most.
+Every round is one aggregation (a partial minimum before the shuffle) and one join on the node and a salt of the neighbour,
+so that a node of very many links is dealt over several tasks, which Spark may split further. Links are never expanded into
+all pairs, and no node, link or component is gathered on the driver. Each round is written to the shared folder, so a lost
+executor costs one round at most.
 """
 
 from __future__ import annotations
@@ -13,6 +14,10 @@ from pyspark.sql import functions as F
 from scorefold.llm import common
 
 
+#: Parts that a node's links are dealt to.
+SALTS = 8
+
+
 def star(edges: DataFrame, large: bool) -> DataFrame:
     """edges(u, v). large: every neighbour above u is linked to u's least neighbour (or u); small: every neighbour below u,
     and u itself, is."""
@@ -21,7 +26,8 @@ def star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    joined = both.join(least, "u")
+    spread = least.select("u", "m", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    joined = both.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(spread, ["u", "salt"])
     if large:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
