@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -37,10 +38,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def drop_written(df: DataFrame) -> None:
-    """Delete a table made by written() that nothing reads any more."""
+    """Delete a table made by written() that nothing reads any more; no other folder is touched."""
     spark = df.sparkSession
+    home = shared_dir(spark).rsplit("/", 1)[-1]
     for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if name.startswith(shared_dir(spark).removeprefix("file://")) or name.startswith("file:"):
+        if re.search(rf"/{re.escape(home)}/[\w-]+-[0-9a-f]{{32}}$", name):
             path = spark._jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

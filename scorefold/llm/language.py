@@ -2,9 +2,9 @@
 
 A text is a vector of hashed byte n-grams of its letters, TF-IDF weighted and normalised. Document frequencies come from all
 training documents. Each language has several centroids, found by spherical k-means on a bounded number of its training
-documents (`per_language`). The prediction is the language of the centroid with the highest cosine. A text whose cosine lies
-far under what training texts of about its length reach is marked `rejected`: it is near no known language. Texts of a few
-words are never rejected for their distance.
+documents (`per_language`, and `most` over all languages). The prediction is the language of the centroid with the highest
+cosine. A text whose cosine lies far under what training texts of about its length reach is marked `rejected`: it is near no
+known language. Texts of a few words are never rejected for their distance.
 
 Null texts and texts without a letter get `und`, score 0 and are rejected. With nothing to learn from, every text gets `und`.
 """
@@ -41,12 +41,13 @@ def bucket(n: np.ndarray | int) -> np.ndarray:
     return np.minimum(np.log2(np.maximum(n, 1)).astype(np.int64), 15)
 
 
-def fit(train: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id", per_language: int = 800, centroids: int = 4) -> dict:
-    """train: labelled rows. Reads all of them for document frequencies and at most about per_language a language for centroids."""
+def fit(train: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id", per_language: int = 800, most: int = 8000, centroids: int = 4) -> dict:
+    """train: labelled rows. Reads all of them for document frequencies; centroids come from about per_language a language, `most` in all."""
     train = train.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.col(lang).alias("_lang"), F.col(text).alias("_text"))
     sizes = {r["_lang"]: r["count"] for r in train.groupBy("_lang").count().collect()}
     if not sizes:
         return {"langs": []}
+    per_language = min(per_language, max(1, most // len(sizes)))
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, int((1 << 30) * min(1.0, per_language / n)))])
     picked = F.pmod(F.xxhash64("_key", F.lit(23)), F.lit(1 << 30)) < share[F.col("_lang")]
 
