@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 #: Letters whose lower case and normal form need no look at their neighbours.
 SAFE = re.compile(r"[\n\t\r !-~À-ÿ]*")
 PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
+BLANK = " \t\n\r"
 #: The layout that the word-by-word way is right for.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -44,42 +45,57 @@ def word_by_word(config: dict) -> bool:
     )
 
 
-class Pieces(dict):
-    def __init__(self, model, most: int):
+class Recent(dict):
+    """A cache that forgets by generations: when it is full it starts anew, and what is asked for again comes over."""
+
+    def __init__(self, most: int):
         super().__init__()
-        self.model, self.most, self.alphabet = model, most, printable_bytes()
+        self.most, self.old = most, {}
 
-    def __missing__(self, piece: str) -> bytes:
+    def __missing__(self, key: str) -> bytes:
         if len(self) >= self.most:
+            self.old = self.copy()
             self.clear()
+        found = self.old.get(key)
+        if found is None:
+            found = self.work_out(key)
+        self[key] = found
+        return found
+
+
+class Pieces(Recent):
+    def __init__(self, model, most: int):
+        super().__init__(most)
+        self.model, self.alphabet = model, printable_bytes()
+
+    def work_out(self, piece: str) -> bytes:
         shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.alphabet)
-        ids = self[piece] = array("I", [x.id for x in self.model.tokenize(shown)]).tobytes()
-        return ids
+        return array("I", [x.id for x in self.model.tokenize(shown)]).tobytes()
 
 
-class Words(dict):
+class Words(Recent):
     def __init__(self, tokenizer, pieces: Pieces, most: int):
-        super().__init__()
-        self.tokenizer, self.pieces, self.most = tokenizer, pieces, most
+        super().__init__(most)
+        self.tokenizer, self.pieces = tokenizer, pieces
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        if SAFE.fullmatch(word):
-            ids = b"".join([self.pieces[p] for p in PIECE.findall(word.lower())])
-        else:
-            ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
-        self[word] = ids
-        return ids
+    def work_out(self, word: str) -> bytes:
+        if not SAFE.fullmatch(word):
+            return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        low = word.lower()
+        if low.isalpha():  # letters, or letters and one sign: the usual word
+            return self.pieces[low]
+        if low[:-1].isalpha():
+            return self.pieces[low[:-1]] + (b"" if low[-1] in BLANK else self.pieces[low[-1]])
+        return b"".join([self.pieces[p] for p in PIECE.findall(low)])
 
 
 class Subwords:
     """ids(text) gives Tokenizer.encode(text, add_special_tokens=False) as unsigned 32-bit integers.
 
-    cached: entries that each of the two caches may hold before it starts anew (about 0.2 kB each).
+    cached: entries of a generation of each of the two caches (about 0.2 kB each; two generations are kept).
     """
 
-    def __init__(self, path: str, cached: int = 400_000):
+    def __init__(self, path: str, cached: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
