@@ -13,8 +13,8 @@ once. Windows are scored in batches with masked attention. What repeats within a
 place where the same two ids stood: it is mixed in with the weight that it was right with in the training documents, given
 how often in a row it has been right. All parts are distributions over the vocabulary, so the scores are log-probabilities.
 
-Training. Every training document gives `windows` windows, spread over its whole length. Tasks run Adam over their share;
-their weights are averaged in Spark, for `rounds` rounds. So what is gathered and trained on grows with the corpus.
+Training. Every training document gives all its windows, dealt over the rounds. Tasks run Adam over their share; their weights
+are averaged in Spark, for `rounds` rounds. So what is trained on grows with the corpus and with the length of its texts.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from scorefold.llm import common
 from scorefold.llm.subwords import subwords
 
-CLASSES, CONTEXT, STEP, DIM, INNER, TOP, HOT = 32, 8, 16, 16, 16, 64, 200_000
+CLASSES, CONTEXT, STEP, DIM, INNER, TOP, HOT = 64, 16, 16, 16, 32, 64, 200_000
 SPAN = CONTEXT + STEP
 #: Input codes: the classes, then the most frequent ids, then the start of the text, and filling; one byte each.
 CODES = 256
@@ -448,7 +448,7 @@ def encoded(docs: DataFrame, tokenizer: str, hot: tuple, ends: int, n_train: int
     return common.written(rows.withColumn("row", F.monotonically_increasing_id()), "lm-documents")
 
 
-def fit(rows: DataFrame, size: int, windows: int = 3, rounds: int = 3) -> dict:
+def fit(rows: DataFrame, size: int, rounds: int = 3) -> dict:
     """Classes, shares, pointer and weights from rows(ids) of all training documents."""
     import pyarrow as pa
 
@@ -460,15 +460,24 @@ def fit(rows: DataFrame, size: int, windows: int = 3, rounds: int = 3) -> dict:
     own_class = classes.astype(np.uint8)
 
     def cut(batches):
+        def out():
+            both = np.concatenate(found)
+            ends = np.arange(0, both.size + 1, SPAN + STEP, dtype=np.int32)
+            windows = pa.Array.from_buffers(pa.binary(), len(both), [None, pa.py_buffer(ends), pa.py_buffer(both)])
+            return pa.RecordBatch.from_pydict({"window": windows, "round": pa.array(np.concatenate(numbers))})
+
+        found, numbers, held = [], [], 0
         for batch in batches:
-            found, numbers = [], []
             for ids in batch.column(0):
                 ids = np.frombuffer(ids.as_buffer(), "<u2")
-                x, y = windows_of(codes[ids]), targets_of(own_class[ids])
-                for j, at in enumerate(np.unique(np.linspace(0, len(x) - 1, windows).astype(int)).tolist()):
-                    found.append(x[at].tobytes() + y[at].tobytes())
-                    numbers.append((j + len(ids)) % rounds)
-            yield pa.RecordBatch.from_pydict({"window": pa.array(found, pa.binary()), "round": pa.array(numbers, pa.int64())})
+                found.append(np.concatenate([windows_of(codes[ids]), targets_of(own_class[ids])], 1))
+                numbers.append((np.arange(len(found[-1])) + len(ids)) % rounds)
+                held += len(found[-1])
+                if held >= 50_000:
+                    yield out()
+                    found, numbers, held = [], [], 0
+        if found:
+            yield out()
 
     table = common.written(rows.select("ids").mapInArrow(cut, "window binary, round long"), "lm-windows")
     total = table.count()

@@ -126,3 +126,14 @@ def test_cold_words_and_training_beat_the_base(spark, monkeypatch):
     assert len(lm.hot_words(counts, 3)[0]) <= 3
     got = [r for r in lm.score(frame, PATH, "train").collect() if not r.train]
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
+
+
+def test_training_sees_every_window_of_every_document(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(lm, "train_round", lambda windows, net, *rest: seen.extend(windows.collect()) or net)
+    lengths = [1, 16, 17, 5000]
+    rows = [np.arange(n).astype("<u2") % 200 for n in lengths]
+    model = lm.fit(spark.createDataFrame([(bytearray(x.tobytes()),) for x in rows], "ids binary"), 300)
+    want = [np.concatenate([lm.windows_of(model["codes"][x]), lm.targets_of(model["classes"][x])], 1) for x in rows]
+    assert sorted(bytes(r.window) for r in seen) == sorted(w.tobytes() for part in want for w in part)
+    assert {r.round for r in seen} == {0, 1, 2} and (lm.CLASSES, lm.CONTEXT, lm.INNER) == (64, 16, 32)
