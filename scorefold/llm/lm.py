@@ -4,17 +4,19 @@ Base. Words (A-Z lowered, parted by ASCII white space) are counted over all trai
 most HOT) go to every task; all others meet their counts in a shuffle join on the word's hash, so the vocabulary is never
 gathered. Two words share a 64-bit hash with odds of about n**2 / 2**65.
 
-Model. Subword ids fall into CLASSES classes by what stands before and behind them in all training documents; the most
-frequent ids also have input codes of their own. One attention layer over the codes of the last CONTEXT to CONTEXT + STEP
-ids, with learned relative positions, and a small feed-forward layer give the class of the next id; the id's share of its
-class, given the code before it, comes from the counts of all training documents. A text is cut into overlapping windows:
-each window scores its last STEP ids and uses those before them as context only, so every id, the end id included, is scored
-once. Windows are scored in batches with masked attention. What repeats within a text is foreseen by a pointer to the last
-place where the same two ids stood: it is mixed in with the weight that it was right with in the training documents, given
-how often in a row it has been right. All parts are distributions over the vocabulary, so the scores are log-probabilities.
-
-Training. Every training document gives all its windows, dealt over the rounds. Tasks run Adam over their share; their weights
-are averaged in Spark, for `rounds` rounds. So what is trained on grows with the corpus and with the length of its texts.
+Model. The next id's probability is what attention says: sum over the places seen of (attention weight) * (probability that
+the place's value gives the id). The most frequent ids have codes of their own, the others share one. Queries and keys are
+learned vectors of codes, with learned relative positions, a learned weight of each key and a learned sink for "none of
+these", whose value is the plain frequency. Values are distributions over the ids, one for the place just before and one for
+places further back, counted over all training documents; ids too rare for that share a column, dealt by frequency. A second
+head attends to one place alone: the one behind the last occurrence of the same two ids in the same text; its weight depends
+on how often in a row it was right. All parts are distributions over the vocabulary, so the scores are log-probabilities.
+
+A text is cut into overlapping windows: each window scores its last STEP ids and uses the CONTEXT before them as context only,
+so every id, the end id included, is scored once. Windows are scored in batches with masked attention.
+
+Training. Every window of every training document is trained on, dealt over `rounds` rounds. Tasks run Adam over what they
+read; their weights are averaged in Spark. So what is learned from grows with the corpus and with the length of its texts.
 """
 
 from __future__ import annotations
@@ -25,16 +27,17 @@ from pyspark.sql import functions as F
 
 from scorefold.llm import common
 from scorefold.llm.subwords import subwords
+from scorefold.llm.token_files import smallest_dtype
 
-CLASSES, CONTEXT, STEP, DIM, INNER, TOP, HOT = 64, 16, 16, 16, 32, 64, 200_000
+CODES, COARSE, CONTEXT, STEP, DIM, HOT = 1024, 256, 16, 16, 16, 200_000
 SPAN = CONTEXT + STEP
-#: Input codes: the classes, then the most frequent ids, then the start of the text, and filling; one byte each.
-CODES = 256
-START, FILL = CODES - 2, CODES - 1
-FIRST = np.array([START], np.uint8)
-#: Share of the classes' plain frequencies in what the network says, so that no class is ruled out.
-PLAIN = 0.02
-#: Runs of right guesses of the pointer that are told apart; bucket 0 is "nothing to point to".
+#: Codes of the start of a text and of filling; then ids go by frequency, and the last code stands for all others. Only the
+#: values of the place just before tell all codes apart; everything else takes those from COARSE - 1 on for one.
+START, FILL = 0, 1
+CELLS = CODES + COARSE
+#: Ids seen less often share a column of values; ids that a value distribution is worth beside the plain frequencies.
+LEAST, PRIOR = 5, 20.0
+#: Runs of right guesses of the copying head that are told apart; bucket 0 is "nothing to copy".
 RUNS = 9
 
 
@@ -81,18 +84,21 @@ def hot_words(counts: DataFrame, most: int = HOT) -> tuple[np.ndarray, np.ndarra
     return words[order], c[order], least
 
 
-# --- classes of subword ids ---------------------------------------------------------------------------------------------
+# --- counts of subword ids ----------------------------------------------------------------------------------------------
 
 
 def id_counts(rows: DataFrame, size: int) -> np.ndarray:
     """How often each subword id stands in rows(ids); at most one row per id comes to the driver."""
     import pyarrow as pa
 
+    kind = smallest_dtype(size)
+
     def run(batches):
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                total += np.bincount(np.frombuffer(ids.as_buffer(), "<u2"), minlength=size)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.column(0).slice(at, 256)
+                total += np.bincount(np.frombuffer(b"".join(part.to_pylist()), kind), minlength=size)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"id": pa.array(at), "n": pa.array(total[at])})
 
@@ -102,90 +108,13 @@ def id_counts(rows: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def neighbours(rows: DataFrame, top: np.ndarray, size: int) -> np.ndarray:
-    """[size, 2 * len(top)] counts of each id before and behind the top ids; summed in Spark, bounded by the vocabulary."""
-    import pyarrow as pa
-
-    column = np.full(size, -1, np.int64)
-    column[top] = np.arange(len(top))
-    width = 2 * len(top)
-
-    def run(batches):
-        total = np.zeros(size * width, np.int32)
-        held, count = [], 0
-
-        def add():
-            ids = np.concatenate(held).astype(np.int64)
-            one, two = ids[:-1], ids[1:]
-            for word, other, shift in ((one, two, 0), (two, one, len(top))):
-                c = column[other]
-                cells, n = np.unique(word[c >= 0] * width + c[c >= 0] + shift, return_counts=True)
-                total[cells] += n.astype(np.int32)
-
-        for batch in batches:
-            for ids in batch.column(0):
-                held.append(np.frombuffer(ids.as_buffer(), "<u2"))
-                count += len(held[-1])
-                if count > 1 << 20:
-                    add()
-                    held, count = [], 0
-        if held:
-            add()
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"cell": pa.array(at), "n": pa.array(total[at].astype(np.int64))})
-
-    out = np.zeros(size * width)
-    found = rows.select("ids").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out[found.column("cell").to_numpy()] = found.column("n").to_numpy()
-    return out.reshape(size, width)
-
-
-def classes_of(counts: np.ndarray, near: np.ndarray) -> np.ndarray:
-    """Class of every id by k-means on its positive mutual information with the top ids; rare ids share the last class."""
-    size, width = near.shape
-    known = np.flatnonzero(counts >= 20)
-    out = np.full(size, CLASSES - 1, np.int64)
-    if len(known) <= CLASSES - 1:
-        out[known] = np.arange(len(known))
-        return out
-    rows = near[known]
-    share = rows.sum(0) / max(rows.sum(), 1)
-    pmi = np.log((rows + 1e-9) / (rows.sum(1, keepdims=True) + 1e-9) / (share + 1e-12) * 2 + 1e-9)
-    x = np.maximum(pmi, 0) * (rows > 0)
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-    weight = np.sqrt(counts[known])[:, None]
-    k = CLASSES - 1
-    centres = [x[np.argmax(weight[:, 0])]]
-    far = 1 - x @ centres[0]
-    for _ in range(k - 1):
-        centres.append(x[int(np.argmax(far * weight[:, 0]))])
-        far = np.minimum(far, 1 - x @ centres[-1])
-    centres = np.stack(centres)
-    for _ in range(15):
-        side = np.argmax(x @ centres.T, 1)
-        for c in range(k):
-            if (side == c).any():
-                centres[c] = (x[side == c] * weight[side == c]).sum(0)
-        centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-9)
-    out[known] = np.argmax(x @ centres.T, 1)
-    return out
-
-
-def codes_of(counts: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """Input code of every id: its own for the most frequent ids, else its class."""
-    codes = classes.copy()
-    often = np.argsort(-counts, kind="stable")[: START - CLASSES]
-    codes[often] = CLASSES + np.arange(len(often))
-    return codes.astype(np.uint8)
-
-
 def pointer(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For every id of a text: the bucket of the guess made for it, and whether the guess is right."""
+    """For every id of a text: the bucket of the copying head's guess for it, and whether the guess is right."""
     n = len(ids)
     bucket, right = np.zeros(n, np.int64), np.zeros(n, bool)
     if n < 3:
         return bucket, right
-    # two stable sorts of 16-bit keys order the pairs, places ascending among equal ones
+    # two stable sorts order the pairs, places ascending among equal ones
     first, second = ids[:-1], ids[1:]
     order = np.argsort(second, kind="stable")
     order = order[np.argsort(first[order], kind="stable")]
@@ -202,13 +131,38 @@ def pointer(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return bucket, right
 
 
-def followers(rows: DataFrame, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Counts of (code before, id) as (cell, n), cell = code * vocabulary + id, and how often the pointer was right.
+def coarse(codes: np.ndarray) -> np.ndarray:
+    return np.minimum(codes, COARSE - 1)
+
+
+def codes_of(counts: np.ndarray) -> np.ndarray:
+    """Code of every id: its own for the most frequent ones."""
+    codes = np.full(len(counts), CODES - 1, np.int16)
+    often = np.argsort(-counts, kind="stable")[: CODES - 3]
+    often = often[counts[often] > 0]
+    codes[often] = FILL + 1 + np.arange(len(often))
+    return codes
+
+
+def columns_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Column of every id in the values, its share of that column, and the plain frequency of each column; the last is shared."""
+    known = np.flatnonzero(counts >= LEAST)
+    column = np.full(len(counts), len(known), np.intp)
+    column[known] = np.arange(len(known))
+    smooth = counts + 0.1
+    total = np.bincount(column, smooth, len(known) + 1)
+    return column, (smooth / total[column]).astype(np.float32), (total / total.sum()).astype(np.float32)
+
 
-    At most CODES cells per id come to the driver, whatever the corpus."""
+def followers(rows: DataFrame, codes: np.ndarray, column: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts [columns, CELLS] of ids one place behind each code and two places behind each coarse one, and [RUNS, 2] of the
+    copying head's guesses.
+
+    At most CELLS cells per id come to the driver, whatever the corpus."""
     import pyarrow as pa
 
-    size = len(codes)
+    kind = smallest_dtype(size)
+    columns = int(column.max()) + 1
 
     def run(batches):
         held, count, right = [], 0, np.zeros((RUNS, 2), np.int64)
@@ -216,14 +170,14 @@ def followers(rows: DataFrame, codes: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
         def merged(old, n, new):
             found, m = np.unique(np.concatenate(new), return_counts=True)
-            both = np.concatenate([old, found])
-            keys, back = np.unique(both, return_inverse=True)
+            keys, back = np.unique(np.concatenate([old, found]), return_inverse=True)
             return keys, np.bincount(back, np.concatenate([n, m])).astype(np.int64)
 
         for batch in batches:
             for x in batch.column(0):
-                ids = np.frombuffer(x.as_buffer(), "<u2")
-                held.append(np.concatenate([[START], codes[ids[:-1]]]).astype(np.int64) * size + ids)
+                ids = np.frombuffer(x.as_buffer(), kind)
+                code, cell = codes[ids], column[ids] * CELLS
+                held += [cell[:1] + START, cell[1:] + code[:-1], cell[2:] + (CODES + coarse(code[:-2]))]
                 bucket, good = pointer(ids)
                 right += np.bincount(bucket * 2 + good, minlength=2 * RUNS).reshape(RUNS, 2)
                 count += len(ids)
@@ -238,51 +192,31 @@ def followers(rows: DataFrame, codes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     cells, n = found.column("cell").to_numpy(), found.column("n").to_numpy()
     right = np.zeros(2 * RUNS)
     right[-1 - cells[cells < 0]] = n[cells < 0]
-    right = right.reshape(RUNS, 2)
-    weight = (right[:, 1] + 0.5) / (right.sum(1) + 2)
-    weight[0] = 0
-    return cells[cells >= 0], n[cells >= 0], weight
-
-
-class Shares:
-    """An id's share of its class given the code before it; known ids have a table, the others their plain share."""
-
-    def __init__(self, counts: np.ndarray, classes: np.ndarray, cells: np.ndarray, n: np.ndarray, prior: float = 5.0):
-        size = len(counts)
-        known = np.flatnonzero(classes < CLASSES - 1)
-        self.place = np.full(size, len(known), np.intp)  # the table's last column, of zeros, stands for all others
-        self.place[known] = np.arange(len(known))
-        smooth = counts + np.where(self.place < len(known), 0.0, 0.1)
-        total = np.bincount(classes, smooth, CLASSES)
-        plain = smooth / np.maximum(total[classes], 1e-300)
-        self.plain = np.maximum(plain, 1e-30).astype(np.float32)
-        table = np.zeros((CODES, len(known)))
-        code, ids = cells // size, cells % size
-        keep = self.place[ids] < len(known)
-        table[code[keep], self.place[ids[keep]]] = n[keep]
-        of_class = np.stack([np.bincount(classes[known], row, CLASSES) for row in table]) if len(known) else np.zeros((CODES, CLASSES))
-        table += prior * plain[known]
-        table /= of_class[:, classes[known]] + prior
-        self.table = np.maximum(np.concatenate([table, np.zeros((CODES, 1))], 1), np.r_[np.full(len(known), 1e-30), 0]).astype(np.float32)
-
-    def of(self, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        place = self.place.take(ids)
-        out = self.table.ravel().take(before.astype(np.intp) * self.table.shape[1] + place)
-        rare = np.flatnonzero(out == 0)
-        if len(rare):
-            out[rare] = self.plain[ids[rare]]
-        return out
+    counts = np.zeros(columns * CELLS, np.float32)
+    counts[cells[cells >= 0]] = n[cells >= 0]
+    return counts.reshape(columns, CELLS), right.reshape(RUNS, 2)
+
+
+def values_of(counts: np.ndarray, plain: np.ndarray) -> np.ndarray:
+    """[columns, CELLS]: probability of each column given a code just before, or a coarse code further back."""
+    total = counts.sum(0, dtype=np.float64)
+    return ((counts + PRIOR * plain[:, None]) / (total + PRIOR)).astype(np.float32)
 
 
 # --- the attention model ------------------------------------------------------------------------------------------------
 
-SHAPES = {"embed": (CODES, DIM), "query": (CODES, DIM), "key": (CODES, DIM), "value": (CODES, DIM), "far": (SPAN,), "w1": (DIM, INNER), "b1": (INNER,), "w2": (INNER, CLASSES), "u": (DIM, CLASSES), "b": (CLASSES,)}
+SHAPES = {"query": (COARSE, DIM), "key": (COARSE, DIM), "weight": (COARSE,), "sink": (COARSE,), "far": (SPAN,)}
+#: Distance of each key from each query of a window; what lies ahead has a negative one and may not be seen.
+DISTANCE = np.arange(CONTEXT, SPAN)[:, None] - np.arange(SPAN)[None, :]
+SEEN = DISTANCE >= 0
+ONES = np.ones(SPAN, np.float32)
 
 
-def new_model(frequencies: np.ndarray) -> dict[str, np.ndarray]:
+def new_net() -> dict[str, np.ndarray]:
     rng = np.random.default_rng(0)
-    net = {k: (rng.standard_normal(s) * (0.3 if len(s) == 2 else 0)).astype(np.float32) for k, s in SHAPES.items()}
-    net["b"] = np.log(frequencies).astype(np.float32)
+    net = {k: (rng.standard_normal(s) * (0.1 if len(s) == 2 else 0)).astype(np.float32) for k, s in SHAPES.items()}
+    net["far"] = (-0.3 * np.arange(SPAN) - 2 * (np.arange(SPAN) > 0)).astype(np.float32)
+    net["sink"] -= 1
     return net
 
 
@@ -299,119 +233,196 @@ def unflat(values: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-#: Distance of each key from each query of a window; what lies ahead has a negative one and may not be seen.
-DISTANCE = np.arange(CONTEXT, SPAN)[:, None] - np.arange(SPAN)[None, :]
+class Attention:
+    """Batched masked attention over windows. Queries and keys are functions of codes, so exp(q . k) is read from a table of
+    code pairs: exp(q . k + far) = exp(q . k) * exp(far)."""
 
+    def __init__(self, values: np.ndarray, plain: np.ndarray):
+        self.values, self.plain = values.ravel(), plain
 
-def attend(net: dict, x: np.ndarray) -> tuple:
-    """x: input codes [n, SPAN]. Hidden values and class logits at the last STEP positions."""
-    bias = net["far"][np.maximum(DISTANCE, 0)]
-    q, k, v = net["query"][x[:, CONTEXT:]], net["key"][x], net["value"][x]
-    scores = q @ k.transpose(0, 2, 1)
-    scores += bias
-    np.clip(scores, -60, 60, out=scores)
-    weights = np.exp(scores, out=scores)
-    weights *= DISTANCE >= 0
-    first = np.flatnonzero(x[:, 0] == FILL)  # a text's first window: its context is filling
-    weights[first, :, :CONTEXT] = 0
-    weights /= weights.sum(2, keepdims=True)
-    h = (net["embed"][x[:, CONTEXT:]] + weights @ v).reshape(-1, DIM)
-    inner = h @ net["w1"] + net["b1"]
-    np.maximum(inner, 0, out=inner)
-    logits = inner @ net["w2"] + h @ net["u"] + net["b"]
-    return q, k, v, weights, h, inner, logits
-
-
-def log_probabilities(logits: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Natural log-probability of each target class."""
-    top = logits.max(1)
-    picked = logits[np.arange(len(target)), target] - top
-    logits -= top[:, None]
-    return picked - np.log(np.exp(logits, out=logits).sum(1))
-
-
-def gradients(net: dict, x: np.ndarray, target: np.ndarray, real: np.ndarray) -> dict[str, np.ndarray]:
-    """Gradients of the mean loss over the real targets; target, real: [n * STEP]."""
-    q, k, v, weights, h, inner, logits = attend(net, x)
-    p = np.exp(logits - logits.max(1, keepdims=True))
-    p /= p.sum(1, keepdims=True)
-    p[np.arange(len(target)), target] -= 1
-    p *= (real / max(real.sum(), 1))[:, None]
-    out = {"b": p.sum(0), "u": h.T @ p, "w2": inner.T @ p}
-    d_inner = (p @ net["w2"].T) * (inner > 0)
-    out["w1"], out["b1"] = h.T @ d_inner, d_inner.sum(0)
-    d_h = (p @ net["u"].T + d_inner @ net["w1"].T).reshape(len(x), STEP, DIM)
-    d_weights = d_h @ v.transpose(0, 2, 1)
-    d_v = weights.transpose(0, 2, 1) @ d_h
-    d_scores = weights * (d_weights - (d_weights * weights).sum(2, keepdims=True))
-    d_q, d_k = d_scores @ k, d_scores.transpose(0, 2, 1) @ q
-    seen = DISTANCE >= 0
-    out["far"] = np.bincount(DISTANCE[seen], d_scores.sum(0)[seen], SPAN)
-    for name, codes, d in (("embed", x[:, CONTEXT:], d_h), ("query", x[:, CONTEXT:], d_q), ("key", x, d_k), ("value", x, d_v)):
-        out[name] = np.stack([np.bincount(codes.ravel(), d[..., c].ravel(), CODES) for c in range(DIM)], 1)
-    return out
+    def set(self, net: dict) -> None:
+        self.net = net
+        self.pairs = np.exp(np.clip(net["query"] @ net["key"].T + net["weight"], -40, 40))
+        self.pairs[:, FILL] = 0
+        self.far = np.where(SEEN, np.exp(np.clip(net["far"][np.maximum(DISTANCE, 0)], -20, 20)), 0).astype(np.float32)
+        self.none = np.exp(np.clip(net["sink"], -40, 40))
+
+    def attend(self, x: np.ndarray, column: np.ndarray) -> tuple:
+        """x: codes [n, SPAN]; column: of the ids to predict [n, STEP]. Cells of the pair table, weights, weights times values
+        [n, STEP, SPAN]; the sink's weight, and sums of weights and of weights times values [n, STEP]."""
+        rough = coarse(x)
+        query = rough[:, CONTEXT:]
+        cells = (query * COARSE)[:, :, None] + rough[:, None, :]
+        weights = self.pairs.ravel().take(cells, mode="clip")
+        weights *= self.far
+        first = column * CELLS
+        places = first[:, :, None] + (CODES + rough)[:, None, :]
+        places[:, np.arange(STEP), np.arange(CONTEXT, SPAN)] = first + x[:, CONTEXT:]
+        given = self.values.take(places, mode="clip")
+        given *= weights
+        none = self.none.take(query)
+        return cells, weights, given, none, weights @ ONES + none, given @ ONES + none * self.plain.take(column)
+
+    def probabilities(self, x: np.ndarray, column: np.ndarray) -> np.ndarray:
+        *_, total, hit = self.attend(x, column)
+        return hit / total
+
+    def gradients(self, x: np.ndarray, column: np.ndarray, real: np.ndarray) -> dict[str, np.ndarray]:
+        """Gradients of the mean of -log p over the real targets."""
+        cells, weights, given, none, total, hit = self.attend(x, column)
+        share = real / np.float32(max(real.sum(), 1))
+        one, two = share / total, share / hit
+        weights *= one[:, :, None]
+        given *= two[:, :, None]
+        weights -= given
+        pairs = np.bincount(cells.ravel(), weights.ravel(), COARSE * COARSE).reshape(COARSE, COARSE).astype(np.float32)
+        sink = none * (one - two * self.plain.take(column))
+        return {
+            "query": pairs @ self.net["key"],
+            "key": pairs.T @ self.net["query"],
+            "weight": pairs.sum(0),
+            "sink": np.bincount(coarse(x[:, CONTEXT:]).ravel(), sink.ravel(), COARSE).astype(np.float32),
+            "far": np.bincount(DISTANCE[SEEN], weights.sum(0)[SEEN], SPAN).astype(np.float32),
+        }
 
 
 def windows_of(codes: np.ndarray) -> np.ndarray:
-    """Input codes of a text's windows, from the codes of its ids (the end id last): [n, SPAN]."""
+    """Codes of a text's windows, from the codes of its ids (the end id last): [n, SPAN]. Place k holds what stands before id k."""
     n = -(-len(codes) // STEP)
-    padded = np.full(CONTEXT + n * STEP, FILL, np.uint8)
+    padded = np.full(CONTEXT + n * STEP, FILL, codes.dtype)
     padded[CONTEXT] = START
     padded[CONTEXT + 1 : CONTEXT + len(codes)] = codes[:-1]
     return np.lib.stride_tricks.sliding_window_view(padded, SPAN)[::STEP]
 
 
-def targets_of(classes: np.ndarray) -> np.ndarray:
-    """The classes to predict, filled up with FILL: [n, STEP]."""
-    n = -(-len(classes) // STEP)
-    padded = np.full(n * STEP, FILL, np.uint8)
-    padded[: len(classes)] = classes
+def targets_of(columns: np.ndarray) -> np.ndarray:
+    """The columns to predict, filled up with -1: [n, STEP]."""
+    n = -(-len(columns) // STEP)
+    padded = np.full(n * STEP, -1, columns.dtype)
+    padded[: len(columns)] = columns
     return padded.reshape(n, STEP)
 
 
-def train_round(windows: DataFrame, net: dict[str, np.ndarray], tasks: int, rate: float, batch: int = 64, least_steps: int = 150, most_passes: int = 6) -> dict[str, np.ndarray]:
-    """One round: each task runs Adam over its windows from net; the weights, averaged by windows, come back."""
+def windows_for(ids: np.ndarray, model: dict, number: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows and targets of a text that round `number` trains on; each window belongs to one of the rounds."""
+    first = (number - len(ids)) % rounds
+    return windows_of(model["codes"][ids])[first::rounds], targets_of(model["column"][ids].astype(np.int32))[first::rounds]
+
+
+def train_round(rows: DataFrame, model: dict, number: int, rounds: int, rate: float, held: int = 1 << 16, steps: int = 150) -> dict[str, np.ndarray]:
+    """One round over the windows of rows(ids) dealt to it: each task runs Adam from the model's weights, `held` windows at a
+    time; the weights, averaged by windows, come back."""
     import pyarrow as pa
 
-    start = flat(net)
+    start, kind = flat(model["net"]), model["dtype"]
 
     def run(batches):
-        rows = [b.column("window").to_pylist() for b in batches]
-        rows = [w for part in rows for w in part]
-        if not rows:
-            return
-        both = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), SPAN + STEP)
-        now, rng = unflat(start.copy()), np.random.default_rng(len(rows))
+        net, attention, rng = unflat(start.copy()), Attention(model["values"], model["plain"]), np.random.default_rng(number)
         one, two = ({k: np.zeros(s, np.float32) for k, s in SHAPES.items()} for _ in range(2))
-        passes = -(-len(both) // batch)
-        steps = min(max(least_steps, passes), most_passes * passes)
-        order = np.concatenate([rng.permutation(len(both)) for _ in range(-(-steps * batch // len(both)))])
-        for step in range(steps):
-            part = both[order[step * batch : (step + 1) * batch]]
-            target = part[:, SPAN:].ravel().astype(np.int64)
-            real = (target < CLASSES).astype(np.float32)
-            slow = rate * (1 - 0.9 * step / steps)
-            for k, g in gradients(now, part[:, :SPAN], np.minimum(target, CLASSES - 1), real).items():
-                one[k] = 0.9 * one[k] + 0.1 * g.astype(np.float32)
-                two[k] = 0.99 * two[k] + 0.01 * g.astype(np.float32) ** 2
-                now[k] = now[k] - slow * (one[k] / (1 - 0.9 ** (step + 1))) / (np.sqrt(two[k] / (1 - 0.99 ** (step + 1))) + 1e-8)
-        values = flat(now).astype(np.float64)
-        yield pa.RecordBatch.from_pydict({"at": pa.array(np.arange(len(values))), "value": pa.array(values * len(both)), "n": pa.array(np.full(len(values), len(both), np.int64))})
-
-    summed = windows.repartition(tasks).mapInArrow(run, "at long, value double, n long").groupBy("at").agg((F.sum("value") / F.sum("n")).alias("value")).collect()
-    if not summed:
-        return net
+        step = seen = 0
+
+        def learn(x, y):
+            nonlocal net, step
+            batch = min(1024, max(32, len(x) // steps))
+            for _ in range(max(1, min(6, -(-steps * batch // len(x)) if len(x) < steps * 32 else 1))):
+                order = rng.permutation(len(x))
+                for at in range(0, len(x), batch):
+                    attention.set(net)
+                    picked = order[at : at + batch]
+                    grads, parts = None, -(-len(picked) // 256)
+                    for part in np.array_split(picked, parts):
+                        wide, column = x[part].astype(np.intp), y[part].astype(np.intp)
+                        found = attention.gradients(wide, np.maximum(column, 0), (column >= 0).astype(np.float32))
+                        grads = found if grads is None else {k: grads[k] + g for k, g in found.items()}
+                    step += 1
+                    for k, g in grads.items():
+                        g /= parts
+                        one[k] = 0.9 * one[k] + 0.1 * g
+                        two[k] = 0.99 * two[k] + 0.01 * g * g
+                        net[k] = net[k] - rate * (one[k] / (1 - 0.9**step)) / (np.sqrt(two[k] / (1 - 0.99**step)) + 1e-8)
+
+        xs, ys, size = [], [], 0
+        for batch in batches:
+            for ids in batch.column(0):
+                x, y = windows_for(np.frombuffer(ids.as_buffer(), kind), model, number, rounds)
+                if len(x):
+                    xs.append(x)
+                    ys.append(y)
+                    size += len(x)
+                    if size >= held:
+                        learn(np.concatenate(xs), np.concatenate(ys))
+                        xs, ys, seen, size = [], [], seen + size, 0
+        if size:
+            learn(np.concatenate(xs), np.concatenate(ys))
+            seen += size
+        if seen:
+            values = flat(net).astype(np.float64)
+            yield pa.RecordBatch.from_pydict({"at": pa.array(np.arange(len(values))), "value": pa.array(values * seen), "n": pa.array(np.full(len(values), seen, np.int64))})
+
+    found = rows.select("ids").mapInArrow(run, "at long, value double, n long").groupBy("at").agg((F.sum("value") / F.sum("n")).alias("value")).collect()
+    if not found:
+        return model["net"]
     values = np.zeros(len(start))
-    for r in summed:
+    for r in found:
         values[r["at"]] = r["value"]
     return unflat(values)
 
 
+def fit(rows: DataFrame, size: int, rounds: int = 3, rate: float = 0.03) -> dict:
+    """Codes, values, copying head and weights from rows(ids) of all training documents."""
+    counts = id_counts(rows, size)
+    codes = codes_of(counts)
+    column, share, plain = columns_of(counts)
+    behind, right = followers(rows, codes, column, size)
+    copying = (right[:, 1] + 0.5) / (right.sum(1) + 2)
+    copying[0] = 0
+    model = {"dtype": smallest_dtype(size), "codes": codes, "column": column, "share": share, "plain": plain, "values": values_of(behind, plain), "copying": copying.astype(np.float32), "net": new_net()}
+    for number in range(rounds):
+        model["net"] = train_round(rows, model, number, rounds, rate / (1 + number))
+    return model
+
+
+def text_scores(rows: list[np.ndarray], model: dict, attention: Attention) -> list[float]:
+    """log10 probability of each text's ids, of which the end id is one."""
+    found, xs, ys, size = [], [], [], 0
+
+    def flush():
+        nonlocal xs, ys, size
+        x, y = np.concatenate(xs), np.concatenate(ys)
+        for at in range(0, len(x), 256):
+            column = y[at : at + 256].astype(np.intp)
+            p = attention.probabilities(x[at : at + 256].astype(np.intp), np.maximum(column, 0))
+            found.append(p[column >= 0])
+        xs, ys, size = [], [], 0
+
+    for ids in rows:
+        x, y = windows_of(model["codes"][ids]), targets_of(model["column"][ids].astype(np.int32))
+        for at in range(0, len(x), 2048):
+            xs.append(x[at : at + 2048])
+            ys.append(y[at : at + 2048])
+            size += len(xs[-1])
+            if size >= 2048:
+                flush()
+    if size:
+        flush()
+    of_head = np.concatenate(found) if found else np.zeros(0, np.float32)
+    out, at = [], 0
+    for ids in rows:
+        p = of_head[at : at + len(ids)] * model["share"][ids]
+        bucket, right = pointer(ids)
+        weight = model["copying"][bucket]
+        p *= 1 - weight
+        p += weight * right
+        out.append(float(np.log10(p).sum(dtype=np.float64)))
+        at += len(ids)
+    return out
+
+
 # --- all together -------------------------------------------------------------------------------------------------------
 
 
 def encoded(docs: DataFrame, tokenizer: str, hot: tuple, ends: int, n_train: int, distinct: int, doc_id: str, text: str, train: str) -> DataFrame:
-    """Per document: ids (two bytes each, the end id last), the base score of end and hot words, and its other words."""
+    """Per document: ids (in the smallest type that holds them, the end id last), the base score of end and hot words, and its other words."""
     import pyarrow as pa
 
     words, counts, _ = hot
@@ -421,14 +432,15 @@ def encoded(docs: DataFrame, tokenizer: str, hot: tuple, ends: int, n_train: int
 
     def run(batches):
         coder = subwords(tokenizer)
-        end = np.array([coder.vocabulary - 1], "<u2").tobytes()
+        kind = smallest_dtype(coder.vocabulary + 1)
+        end = np.array([coder.vocabulary], kind).tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 ids, base, known, total, cold_words, cold_counts = [], [], [], [], [], []
                 for t in part.column(text):
                     t = t.as_py()
-                    ids.append(np.frombuffer(coder.ids(t), "<u4").astype("<u2").tobytes() + end)
+                    ids.append(np.frombuffer(coder.ids(t), "<u4").astype(kind).tobytes() + end)
                     found = common.word_hashes(common.words(t))
                     place = np.minimum(np.searchsorted(words, found), max(len(words) - 1, 0))
                     is_hot = words[place] == found if len(words) else np.zeros(len(found), bool)
@@ -448,123 +460,6 @@ def encoded(docs: DataFrame, tokenizer: str, hot: tuple, ends: int, n_train: int
     return common.written(rows.withColumn("row", F.monotonically_increasing_id()), "lm-documents")
 
 
-def fit(rows: DataFrame, size: int, rounds: int = 3) -> dict:
-    """Classes, shares, pointer and weights from rows(ids) of all training documents."""
-    import pyarrow as pa
-
-    counts = id_counts(rows, size)
-    top = np.argsort(-counts, kind="stable")[:TOP]
-    classes = classes_of(counts, neighbours(rows, top, size))
-    codes = codes_of(counts, classes)
-    cells, n, weight = followers(rows, codes)
-    own_class = classes.astype(np.uint8)
-
-    def cut(batches):
-        def out():
-            both = np.concatenate(found)
-            ends = np.arange(0, both.size + 1, SPAN + STEP, dtype=np.int32)
-            windows = pa.Array.from_buffers(pa.binary(), len(both), [None, pa.py_buffer(ends), pa.py_buffer(both)])
-            return pa.RecordBatch.from_pydict({"window": windows, "round": pa.array(np.concatenate(numbers))})
-
-        found, numbers, held = [], [], 0
-        for batch in batches:
-            for ids in batch.column(0):
-                ids = np.frombuffer(ids.as_buffer(), "<u2")
-                found.append(np.concatenate([windows_of(codes[ids]), targets_of(own_class[ids])], 1))
-                numbers.append((np.arange(len(found[-1])) + len(ids)) % rounds)
-                held += len(found[-1])
-                if held >= 50_000:
-                    yield out()
-                    found, numbers, held = [], [], 0
-        if found:
-            yield out()
-
-    table = common.written(rows.select("ids").mapInArrow(cut, "window binary, round long"), "lm-windows")
-    total = table.count()
-    frequencies = (np.bincount(classes, counts, CLASSES) + 0.1) / (counts.sum() + 0.1 * CLASSES)
-    net = new_model(frequencies)
-    tasks = max(1, min(common.partitions(rows.sparkSession), total // 30_000))
-    for number in range(rounds):
-        net = train_round(table.where(F.col("round") == number), net, tasks, 0.02 / (1 + number))
-    return {"classes": own_class, "codes": codes, "shares": Shares(counts, classes, cells, n), "pointer": weight.astype(np.float32), "net": net, "frequencies": frequencies.astype(np.float32)}
-
-
-class Scorer:
-    """The network as tables for scoring: the weight of a key for a query depends on their codes and their distance alone,
-    exp(q . k + far) = exp(q . k) * exp(far), so attention reads it from a table of code pairs instead of working it out."""
-
-    def __init__(self, net: dict, frequencies: np.ndarray):
-        self.net, self.frequencies = net, frequencies.astype(np.float32)
-        self.pairs = np.exp(np.clip(net["query"] @ net["key"].T, -40, 40)).astype(np.float32)
-        self.pairs[:, FILL] = 0
-        self.pairs[FILL] = 1  # positions behind a text's end are not scored
-        self.pairs = self.pairs.ravel()
-        self.far = np.where(DISTANCE >= 0, np.exp(np.clip(net["far"][np.maximum(DISTANCE, 0)], -20, 20)), 0).astype(np.float32)
-        self.first = np.concatenate([net["w1"], net["b1"][None]])
-        self.last = np.concatenate([net["w2"], net["u"], net["b"][None]])
-        self.value = np.concatenate([net["value"], np.ones((CODES, 1), np.float32)], 1)
-
-    def probabilities(self, x: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Probability of each target class at the last STEP positions of windows x."""
-        wide = x.astype(np.intp)
-        weights = self.pairs.take((wide[:, CONTEXT:] << 8)[:, :, None] + wide[:, None, :], mode="wrap")
-        weights *= self.far
-        mixed = weights @ self.value.take(wide, axis=0)  # the last column is the sum of the weights
-        h = mixed[..., :DIM] / np.maximum(mixed[..., DIM:], 1e-30)
-        h += self.net["embed"].take(wide[:, CONTEXT:], axis=0)
-        both = np.ones((len(target), INNER + DIM + 1), np.float32)
-        both[:, INNER:-1] = h.reshape(-1, DIM)
-        np.maximum(both[:, INNER:] @ self.first, 0, out=both[:, :INNER])
-        logits = both @ self.last
-        logits -= logits.max()
-        np.exp(logits, out=logits)
-        p = logits[np.arange(len(target)), target] / (logits @ np.ones(CLASSES, np.float32) + np.float32(1e-30))
-        return (1 - PLAIN) * p + PLAIN * self.frequencies[target]
-
-
-def class_scores(codes: list[np.ndarray], classes: list[np.ndarray], scorer: Scorer) -> np.ndarray:
-    """Probability of every id's class, text after text."""
-    found, held_x, held_y, size = [], [], [], 0
-
-    def flush():
-        nonlocal held_x, held_y, size
-        x, y = np.concatenate(held_x), np.concatenate(held_y)
-        for at in range(0, len(x), 256):
-            target = y[at : at + 256].ravel()
-            real = target < CLASSES
-            found.append(scorer.probabilities(x[at : at + 256], np.where(real, target, 0).astype(np.int64))[real])
-        held_x, held_y, size = [], [], 0
-
-    for code, own in zip(codes, classes, strict=True):
-        x, y = windows_of(code), targets_of(own)
-        for at in range(0, len(x), 2048):
-            held_x.append(x[at : at + 2048])
-            held_y.append(y[at : at + 2048])
-            size += len(held_x[-1])
-            if size >= 2048:
-                flush()
-    if size:
-        flush()
-    return np.concatenate(found) if found else np.zeros(0, np.float32)
-
-
-def text_scores(rows: list[np.ndarray], model: dict, scorer: Scorer) -> list[float]:
-    """log10 probability of each text's ids, of which the end id is one."""
-    codes = [model["codes"][ids] for ids in rows]
-    of_class = class_scores(codes, [model["classes"][ids] for ids in rows], scorer)
-    out, at = [], 0
-    for ids, code in zip(rows, codes, strict=True):
-        before = np.concatenate([FIRST, code[:-1]])
-        p = of_class[at : at + len(ids)] * model["shares"].of(before, ids)
-        bucket, right = pointer(ids)
-        weight = model["pointer"][bucket]
-        p *= 1 - weight
-        p += weight * right
-        out.append(float(np.log10(p).sum(dtype=np.float64)))
-        at += len(ids)
-    return out
-
-
 def score(docs: DataFrame, tokenizer: str, train: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, train, n_tokens, n_known, train_tokens, base_score and score.
 
@@ -586,14 +481,15 @@ def score(docs: DataFrame, tokenizer: str, train: str, doc_id: str = "doc_id", t
     rare = counts.where(F.floor(F.log2("c") * 8).cast("long") < hot[2])
     met = cold.join(rare, "word", "left").select("row", (F.col("k") * (F.log10(F.coalesce("c", F.lit(0)) + 0.1) - scale)).alias("s"), F.when(F.col("c").isNotNull(), F.col("k")).otherwise(0).alias("known"))
     rest = met.groupBy("row").agg(F.sum("s").alias("s"), F.sum("known").alias("known"))
-    size = subwords(tokenizer).vocabulary
+    size = subwords(tokenizer).vocabulary + 1  # the end id comes behind the vocabulary
     model = fit(rows.where("train"), size)
 
     def run(batches):
-        scorer = Scorer(model["net"], model["frequencies"])
+        attention = Attention(model["values"], model["plain"])
+        attention.set(model["net"])
         for batch in batches:
-            ids = [np.frombuffer(x.as_buffer(), "<u2") for x in batch.column("ids")]
-            yield pa.RecordBatch.from_arrays([*batch.drop_columns(["ids"]).columns, pa.array(text_scores(ids, model, scorer), pa.float64())], names=["row", "doc_id", "train", "base", "n_known", "n_tokens", "score"])
+            ids = [np.frombuffer(x.as_buffer(), model["dtype"]) for x in batch.column("ids")]
+            yield pa.RecordBatch.from_arrays([*batch.drop_columns(["ids"]).columns, pa.array(text_scores(ids, model, attention), pa.float64())], names=["row", "doc_id", "train", "base", "n_known", "n_tokens", "score"])
 
     scored = rows.select("row", "doc_id", "train", "base", "n_known", "n_tokens", "ids").mapInArrow(run, "row long, doc_id long, train boolean, base double, n_known long, n_tokens long, score double")
     out = scored.join(rest, "row", "left")
