@@ -3,8 +3,9 @@
 The text's UTF-8 bytes are cut into overlapping chunks that cover it to the last byte. Learned filters slide over each chunk
 (byte embedding times kernel, kept as one table per kernel position), are max-pooled over windows of the chunk and pass a
 rectifier. The mean and the largest pooled value of each filter over all windows of the text go through a small hidden layer
-to one probability. The network is trained by Adam on at most about `labelled` rows, of which up to `per_text` evenly
-spaced chunks each; scoring reads every byte. Null and empty texts are one chunk of zeros and get its score.
+to one probability. Training and scoring both pool all chunks of a text, so every byte is read in both. The network is trained
+by Adam on a bounded sample of labelled texts: about `labelled` of them, fewer where they are so long that they would hold
+more than `most_bytes`. Null and empty texts are one chunk of zeros and get its score.
 """
 
 from __future__ import annotations
@@ -15,9 +16,10 @@ from pyspark.sql import functions as F
 
 from scorefold.llm import common
 
-CHUNK, OVERLAP, KERNEL, STRIDE, FILTERS, EMBED, HIDDEN, WINDOWS = 512, 64, 8, 2, 24, 8, 12, 7
-POSITIONS = (CHUNK - KERNEL) // STRIDE + 1
-SPAN = POSITIONS // WINDOWS
+OVERLAP, KERNEL, STRIDE, FILTERS, EMBED, HIDDEN, WINDOWS, SPAN = 64, 8, 2, 24, 8, 12, 7, 36
+POSITIONS = WINDOWS * SPAN
+#: Bytes of a chunk: what the positions of all windows read, to the last byte.
+CHUNK = (POSITIONS - 1) * STRIDE + KERNEL
 
 
 def chunks_of(text: str | None) -> np.ndarray:
@@ -50,10 +52,9 @@ def tables(net: dict) -> np.ndarray:
 
 def convolve(x: np.ndarray, table: np.ndarray, bias: np.ndarray) -> np.ndarray:
     """Filter values [n, WINDOWS, SPAN, FILTERS] of chunks x."""
-    used = WINDOWS * SPAN
-    z = np.take(table[0], x[:, 0 : STRIDE * used : STRIDE], axis=0)
+    z = np.take(table[0], x[:, 0 : STRIDE * (POSITIONS - 1) + 1 : STRIDE], axis=0)
     for k in range(1, KERNEL):
-        z += np.take(table[k], x[:, k : k + STRIDE * (used - 1) + 1 : STRIDE], axis=0)
+        z += np.take(table[k], x[:, k : k + STRIDE * (POSITIONS - 1) + 1 : STRIDE], axis=0)
     z += bias
     return z.reshape(len(x), WINDOWS, SPAN, FILTERS)
 
@@ -78,9 +79,11 @@ def pooled(x: np.ndarray, owner: np.ndarray, n: int, table: np.ndarray, bias: np
 
 def gradients(net: dict, x: np.ndarray, owner: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
     table = tables(net)
-    z = convolve(x, table, net["bias"])
-    where = z.argmax(2)
-    best = np.take_along_axis(z, where[:, :, None], 2)[:, :, 0]
+    where, best = np.empty((len(x), WINDOWS, FILTERS), np.int64), np.empty((len(x), WINDOWS, FILTERS), table.dtype)
+    for at in range(0, len(x), 256):
+        z = convolve(x[at : at + 256], table, net["bias"])
+        where[at : at + 256] = z.argmax(2)
+        best[at : at + 256] = z.max(2)
     a = np.maximum(best, 0).reshape(-1, FILTERS)
     text = np.repeat(owner, WINDOWS)
     count = np.bincount(text, minlength=len(y))[:, None]
@@ -124,24 +127,16 @@ def train(samples: list[tuple[np.ndarray, float]], epochs: int = 5, batch: int =
     return net
 
 
-def fit(rows: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", labelled: int = 4000, per_text: int = 6) -> dict[str, np.ndarray]:
-    """A network from labelled rows; null labels are left out. Without rows it is the untrained one."""
+def fit(rows: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", labelled: int = 4000, most_bytes: int = 64 << 20) -> dict[str, np.ndarray]:
+    """A network from whole labelled texts; null labels are left out. Without rows it is the untrained one."""
     rows = rows.where(F.col(label).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_text"), (F.col(label) == 1).cast("double").alias("_y"))
-
-    def make():
-        def work(texts):
-            picked = []
-            for t in texts:
-                x = chunks_of(t)
-                picked.append(x[np.unique(np.linspace(0, len(x) - 1, per_text).astype(int))].tobytes())
-            return (picked,)
-
-        return work
-
-    cut = common.with_columns_from_text(common.bounded_sample(rows, "_key", labelled), "_text", "_chunks binary", make)
-    found = sorted((bytes(r["_chunks"]), r["_y"]) for r in cut.select("_chunks", "_y").collect())
-    samples = [(np.frombuffer(c, np.uint8).reshape(-1, CHUNK), y) for c, y in found]
-    return train(samples) if samples else new_network()
+    n, size = rows.agg(F.count("*"), F.sum(F.coalesce(F.octet_length("_text"), F.lit(0)).cast("long") + CHUNK)).first()
+    if not n:
+        return new_network()
+    most = labelled if size * labelled <= most_bytes * n else most_bytes * n // size
+    picked = common.bounded_sample(rows, "_key", max(1, most), total=n)
+    found = sorted((r["_text"] or "", r["_y"]) for r in picked.select("_text", "_y").collect())
+    return train([(chunks_of(t), y) for t, y in found]) if found else new_network()
 
 
 def score(docs: DataFrame, net: dict[str, np.ndarray], text: str = "text") -> DataFrame:

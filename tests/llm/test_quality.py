@@ -5,7 +5,7 @@ from scorefold.llm import quality
 
 def test_chunks_cover_every_byte():
     rng = np.random.default_rng(1)
-    for n in (0, 1, 511, 512, 513, 960, 961, 5000):
+    for n in (0, 1, 509, 510, 511, 512, 513, 955, 956, 960, 961, 5000):
         text = "".join(map(chr, rng.integers(97, 123, n)))
         x = quality.chunks_of(text)
         step = quality.CHUNK - quality.OVERLAP
@@ -57,3 +57,43 @@ def test_a_text_scores_the_same_alone_and_in_company(spark):
     together = {r.doc_id: r.score for r in quality.score(spark.createDataFrame(texts, schema), net).collect()}
     for row in texts:
         assert abs(quality.score(spark.createDataFrame([row], schema), net).first().score - together[row[0]]) < 1e-5
+
+
+def slow_score(text, net):
+    """Every filter at every position of every chunk in plain loops."""
+    maxima = []
+    for chunk in quality.chunks_of(text):
+        vectors = [net["embed"][int(b)].astype(float) for b in chunk]
+        values = [[sum(float(vectors[p + k] @ net["kernel"][k][:, f]) for k in range(quality.KERNEL)) + float(net["bias"][f]) for f in range(quality.FILTERS)] for p in range(0, quality.CHUNK - quality.KERNEL + 1, quality.STRIDE)]
+        assert len(values) == quality.WINDOWS * quality.SPAN
+        for w in range(quality.WINDOWS):
+            part = values[w * quality.SPAN : (w + 1) * quality.SPAN]
+            maxima.append([max(0.0, max(v[f] for v in part)) for f in range(quality.FILTERS)])
+    both = [sum(m[f] for m in maxima) / len(maxima) for f in range(quality.FILTERS)] + [max(m[f] for m in maxima) for f in range(quality.FILTERS)]
+    inner = [max(0.0, sum(both[k] * float(net["hidden"][k, h]) for k in range(len(both))) + float(net["hidden_bias"][h])) for h in range(quality.HIDDEN)]
+    logit = sum(inner[h] * float(net["out"][h]) for h in range(quality.HIDDEN)) + float(net["out_bias"][0])
+    return 1 / (1 + np.exp(-logit))
+
+
+def test_scores_as_in_plain_loops(spark):
+    rng = np.random.default_rng(9)
+    texts = ["", None, "abc", "".join(map(chr, rng.integers(32, 400, 700))), "x" * 510]
+    net = quality.new_network(6)
+    got = {r.doc_id: r.score for r in quality.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), net).collect()}
+    assert all(abs(got[k] - slow_score(t, net)) < 1e-4 for k, t in enumerate(texts))
+
+
+def test_the_last_byte_of_a_full_chunk_counts(spark):
+    net = quality.new_network(6)
+    for n in (509, 510, 956):
+        rows = [(k, "a" * (n - 1) + c) for k, c in enumerate("ab")]
+        one, two = (r.score for r in quality.score(spark.createDataFrame(rows, "doc_id long, text string"), net).orderBy("doc_id").collect())
+        assert one != two
+
+
+def test_tied_labels_and_long_samples(spark):
+    rows = [(k, "bad " * (20 + k % 7) if k % 2 else "fine " * 30, k % 2) for k in range(60)] + [(61, "bad bad", 0), (61, "bad bad", 1)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    got = quality.score(frame, quality.fit(frame)).where("doc_id < 60").collect()
+    assert sum((r.score >= 0.5) == (r.quality == 1) for r in got) >= 55
+    assert quality.score(frame, quality.fit(frame, most_bytes=4000)).count() == len(rows)
