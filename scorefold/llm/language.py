@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from scorefold.llm import common
 
 DIMS = 4096
-LETTER = re.compile(r"[^\W\d_]")
 OTHER = re.compile(r"[\W\d_]+")
 PART = "kind string, lang string, n long, bins binary, counts binary"
 
@@ -36,6 +35,11 @@ def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
     return bins, counts[bins]
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character of Unicode category L stands in the text; numerals such as ½ or Ⅷ are none."""
+    return any(map(str.isalpha, text))
+
+
 def bucket(n: np.ndarray | int) -> np.ndarray:
     """Length class of a text by its number of n-grams."""
     return np.minimum(np.log2(np.maximum(n, 1)).astype(np.int64), 15)
@@ -139,7 +143,7 @@ def identify(docs: DataFrame, model: dict, text: str = "text", sharp: float = 30
             out = [], [], [], []
             for text in texts:
                 row = ("und", 0.0, 0.0, True)
-                if langs and text and LETTER.search(text):
+                if langs and text and has_letter(text):
                     bins, counts = grams(text)
                     tf = np.log1p(counts).astype(np.float32)
                     norm = float(np.linalg.norm(tf * model["idf"][bins])) or 1.0

@@ -25,6 +25,45 @@ def test_language_of_clean_odd_and_foreign_texts(spark):
     assert all(r.lang_pred == r.lang and not r.rejected for r in seen)
 
 
+def slow_language(text, model):
+    """The nearest centroid with n-grams in a dictionary and one cosine after another."""
+    if not text or not any(c.isalpha() for c in text):
+        return "und", 0.0
+    raw = (" " + language.OTHER.sub(" ", text.lower()) + " ").encode("utf-8", "replace")
+    counts = {}
+    for n in (2, 3):
+        for k in range(len(raw) - n + 1):
+            code = int.from_bytes(raw[k : k + n], "big") + ((1 << 24) if n == 2 else 0)
+            b = (code * 2654435761 % (1 << 32)) >> 20
+            counts[b] = counts.get(b, 0) + 1
+    v = {b: np.log1p(n) * float(model["idf"][b]) for b, n in counts.items()}
+    norm = sum(x * x for x in v.values()) ** 0.5
+    cosines = {}
+    for owner, centre in zip(model["owner"], model["centres"], strict=True):
+        name = model["langs"][owner]
+        cosines[name] = max(cosines.get(name, -1.0), sum(x * float(centre[b]) for b, x in v.items()) / norm)
+    best = max(sorted(cosines), key=cosines.get)
+    return best, cosines[best]
+
+
+def test_language_as_in_plain_loops(spark):
+    frame = spark.createDataFrame(texts(60), "doc_id long, lang string, text string")
+    model = language.fit(frame)
+    odd = ["nicht the", "½ ² Ⅷ 12", "a", "Wasser 12 water", "", None, "é", "house " * 500, *[t for *_, t in texts(20, 9)]]
+    got = {r.doc_id: r for r in language.identify(spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string"), model).collect()}
+    for k, t in enumerate(odd):
+        name, cosine = slow_language(t, model)
+        assert got[k].lang_pred == name and abs(got[k].cosine - cosine) < 1e-4, t
+    assert got[1].lang_pred == "und" and got[1].rejected
+
+
+def test_language_tied_labels(spark):
+    rows = [*texts(40), *[(100 + k, lang, "the and of with") for k in range(4) for lang in ("en", "de")]]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
+    again = language.fit(spark.createDataFrame(rows[::-1], "doc_id long, lang string, text string"))
+    assert model["langs"] == ["de", "en"] and np.allclose(model["centres"], again["centres"], atol=1e-5)
+
+
 def test_language_nothing_to_learn(spark):
     empty = spark.createDataFrame([], "doc_id long, lang string, text string")
     model = language.fit(empty)
@@ -102,5 +141,8 @@ def test_learned_insults_and_copies(spark):
     got = {r.doc_id: r for r in toxicity.score(frame, model).collect()}
     assert all((got[k].score >= 0.7) == (k % 5 == 0) for k in range(300))
     assert len(got) == len({r[0] for r in rows})
+    assert toxicity.fit(frame, flush=10)["insults"] == model["insults"]
+    tied = spark.createDataFrame([(k // 2, "you zork " + vocab[k // 2], k % 2) for k in range(80)], "doc_id long, text string, toxic int")
+    assert toxicity.score(tied, toxicity.fit(tied)).count() == 80
     empty = frame.limit(0)
     assert toxicity.score(empty, toxicity.fit(empty)).collect() == []
