@@ -35,14 +35,18 @@ def unescape(text: Column) -> Column:
 
 
 def flatten_parts(parts: Column) -> Column:
-    """The visitor: struct(body, attachments); an unknown type counts as text, null parts are skipped."""
+    """The visitor: struct(body, attachments); an unknown type counts as text, null parts are skipped.
+
+    Neighbouring texts are joined before they are escaped, so a control string that starts in one and ends in the next is too."""
     parts = F.filter(F.coalesce(parts, F.array().cast(PART)), lambda p: p.isNotNull())
 
-    def shown(p: Column) -> Column:
-        out = escape(F.coalesce(p["text"], F.lit("")))
-        for kind, place in PLACES.items():
-            out = F.when(p["type"] == kind, F.lit(place)).otherwise(out)
-        return out
+    def visit(state: Column, p: Column) -> Column:
+        place = F.lit(None).cast("string")
+        for kind, shown in PLACES.items():
+            place = F.when(p["type"] == kind, F.lit(shown)).otherwise(place)
+        body = F.when(place.isNull(), state["body"]).otherwise(F.concat(state["body"], escape(state["run"]), place))
+        run = F.when(place.isNull(), F.concat(state["run"], F.coalesce(p["text"], F.lit("")))).otherwise(F.lit(""))
+        return F.struct(body.alias("body"), run.alias("run"))
 
     def expanded(p: Column) -> Column:
         out = F.lit(0).cast("long")
@@ -52,7 +56,7 @@ def flatten_parts(parts: Column) -> Column:
 
     others = F.filter(parts, lambda p: p["type"].isin(*PLACES))
     return F.struct(
-        F.array_join(F.transform(parts, shown), "").alias("body"),
+        F.aggregate(parts, F.struct(F.lit("").alias("body"), F.lit("").alias("run")), visit, lambda s: F.concat(s["body"], escape(s["run"]))).alias("body"),
         F.transform(others, lambda p: F.struct(p["type"].alias("type"), p["ref"].alias("ref"), expanded(p).alias("tokens"))).alias("attachments"),
     )
 

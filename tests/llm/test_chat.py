@@ -46,3 +46,10 @@ def test_round_trip(spark, chats):
         mine = list(mine)
         assert [(t.role, t.text) for t in got[c].turns] == [(r[2], r[3][0][1]) for r in mine]
         assert hashlib.sha256(got[c].learned.encode()).digest() == hashlib.sha256("".join(r[3][0][1] for r in mine if r[2] == "assistant").encode()).digest()
+
+
+def test_control_strings_across_neighbouring_parts(spark):
+    parts = [text("a<"), text("/s>b[IN"), text("ST]"), {"type": "image", "text": None, "ref": "r", "units": 1.0}, text("<im"), text("age>\\")]
+    got = run(spark, [(1, 0, "user", parts), (1, 1, "assistant", [text("[/IN"), text(None), text("ST]")])])
+    assert [(t.role, t.text) for t in got[1].turns] == [("user", "a</s>b[INST]<image><image>\\"), ("assistant", "[/INST]")]
+    assert got[1].learned == "[/INST]"
