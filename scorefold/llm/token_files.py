@@ -32,17 +32,26 @@ def open_out(path: str):
     return store.open_output_stream(inner)
 
 
-def mapped(path: str, dtype: str) -> np.ndarray:
-    """The file as an array: mapped where it is local, else read."""
-    from pyarrow import fs
+class Stored:
+    """A file of numbers, read by ranges: mapped where it is local, else by range requests."""
 
-    store, inner = fs.FileSystem.from_uri(path)
-    if isinstance(store, fs.LocalFileSystem):
-        if store.get_file_info(inner).size == 0:
-            return np.zeros(0, dtype)
-        return np.memmap(inner, dtype, "r")
-    with store.open_input_file(inner) as file:
-        return np.frombuffer(file.read(), dtype)
+    def __init__(self, path: str, dtype: str):
+        from pyarrow import fs
+
+        store, inner = fs.FileSystem.from_uri(path)
+        self.dtype = np.dtype(dtype)
+        self.size = store.get_file_info(inner).size // self.dtype.itemsize
+        self.data = self.file = None
+        if isinstance(store, fs.LocalFileSystem):
+            self.data = np.memmap(inner, self.dtype, "r") if self.size else np.zeros(0, self.dtype)
+        else:
+            self.file = store.open_input_file(inner)
+
+    def read(self, first: int, last: int) -> np.ndarray:
+        if self.data is not None:
+            return self.data[first:last]
+        width = self.dtype.itemsize
+        return np.frombuffer(self.file.read_at((last - first) * width, first * width), self.dtype)
 
 
 def smallest_dtype(vocabulary: int) -> str:
@@ -96,7 +105,8 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str, doc_
 def read_shards(shards: DataFrame, block: int = 4096) -> DataFrame:
     """One row per document, read from the files: doc_id, start (ids of all documents before it), ids (unsigned 32-bit).
 
-    Each shard is one row to read; a task gets few of them and maps the file, so only a block of documents is in memory.
+    Each shard is one row to read; a task gets few of them and reads blocks of documents by their offsets, mapped or by range
+    requests, so only a block is in memory.
     """
     n = common.partitions(shards.sparkSession)
 
@@ -105,25 +115,20 @@ def read_shards(shards: DataFrame, block: int = 4096) -> DataFrame:
 
         for batch in batches:
             for s in batch.to_pylist():
-                found = mapped(s["docs_file"], "u1")
-                count = s["n_docs"]
-                offsets = found[: 8 * (count + 1)].view("<u8")
-                keys = found[8 * (count + 1) : 8 * (2 * count + 1)].view("<i8")
-                nulls = found[8 * (2 * count + 1) :]
-                ids = mapped(s["ids_file"], s["dtype"])
+                docs, ids, count = Stored(s["docs_file"], "u1"), Stored(s["ids_file"], s["dtype"]), s["n_docs"]
                 first = 0
                 while first < count:
-                    last = max(first + 1, min(first + block, int(np.searchsorted(offsets, offsets[first] + np.uint64(1 << 21)))), 1)
-                    last = min(last, count)
-                    flat = np.asarray(ids[int(offsets[first]) : int(offsets[last])]).astype("<u4").tobytes()
-                    at = (offsets[first : last + 1] - offsets[first]).astype("<i8") * 4
-                    values = pa.Array.from_buffers(pa.large_binary(), last - first, [None, pa.py_buffer(at.tobytes()), pa.py_buffer(flat)])
+                    here = min(block, count - first)
+                    offsets = docs.read(8 * first, 8 * (first + here + 1)).view("<u8").astype(np.int64)
+                    # about 8 MB of ids, or one document
+                    here = min(here, max(1, int(np.searchsorted(offsets, offsets[0] + (1 << 21)))))
+                    last, offsets = first + here, offsets[: here + 1]
+                    keys = docs.read(8 * (count + 1 + first), 8 * (count + 1 + last)).view("<i8")
+                    nulls = docs.read(8 * (2 * count + 1) + first, 8 * (2 * count + 1) + last)
+                    flat = ids.read(int(offsets[0]), int(offsets[-1])).astype("<u4").tobytes()
+                    values = pa.Array.from_buffers(pa.large_binary(), here, [None, pa.py_buffer(((offsets - offsets[0]) * 4).tobytes()), pa.py_buffer(flat)])
                     yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.asarray(keys[first:last]), pa.int64(), mask=np.asarray(nulls[first:last]).astype(bool)),
-                            pa.array(np.asarray(offsets[first:last]).astype("<i8") + s["base"]),
-                            values.cast(pa.binary()),
-                        ],
+                        [pa.array(np.array(keys), pa.int64(), mask=np.array(nulls).astype(bool)), pa.array(offsets[:-1] + s["base"]), values.cast(pa.binary())],
                         names=["doc_id", "start", "ids"],
                     )
                     first = last
