@@ -7,7 +7,8 @@ its words in such tiles; a document is contaminated where the coverage of some i
 
 Words are parted by white space, A-Z lowered, ASCII punctuation left out. Null texts and items without words match nothing.
 An item table of at most `broadcast_words` words is sent to every task; a larger one is joined by shuffles, with the same
-result. Repeated rows get the same result each.
+result. Repeated rows get the same result each. Rows of one item_id with different texts are tiled on their own, and the best
+of them counts for the id; rows without an item_id are items too, under a null id.
 """
 
 from __future__ import annotations
@@ -88,8 +89,9 @@ def seeds_of(item: np.ndarray, least: int) -> np.ndarray:
 class Items:
     """The test items of one broadcast: seed hashes in order, the items of each, and a bitmap that most words fail."""
 
-    def __init__(self, rows: list[tuple[int, bytes]], least: int):
-        self.least, self.words = least, {k: np.frombuffer(w, np.uint64) for k, w in rows}
+    def __init__(self, rows: list[tuple[int | None, bytes]], least: int):
+        self.least, self.ids = least, [k for k, _ in rows]
+        self.words = dict(enumerate(np.frombuffer(w, np.uint64) for _, w in rows))
         pairs = [(s, k) for k, w in self.words.items() for s in np.unique(seeds_of(w, least)).tolist()]
         self.widths = sorted({min(least, len(w)) for w in self.words.values() if len(w)})
         self.items: dict[int, list[int]] = {}
@@ -111,20 +113,24 @@ class Items:
         return out
 
 
-def verdict(found: list[tuple[float, int]], threshold: float) -> tuple[bool, int | None, float, int]:
-    """From (coverage, item) of a document: the best item, the smallest id on ties."""
-    best = min(found, key=lambda x: (-x[0], x[1]), default=(0.0, None))
-    return best[0] >= threshold and best[1] is not None, best[1], float(best[0]), sum(c >= threshold for c, _ in found)
+def verdict(found: list[tuple[int | None, float]], threshold: float) -> tuple[bool, int | None, float, int]:
+    """From (item_id, coverage) of a document: the best item, the smallest id on ties, a null id last."""
+    best: dict[int | None, float] = {}
+    for k, c in found:
+        best[k] = max(c, best.get(k, 0.0))
+    if not best:
+        return False, None, 0.0, 0
+    k, c = min(best.items(), key=lambda x: (-x[1], x[0] is None, x[0] or 0))
+    return c >= threshold, k, float(c), sum(x >= threshold for x in best.values())
 
 
 def item_words(items: DataFrame, item_id: str, text: str) -> DataFrame:
-    """(item_id, words): the items' word hashes; null ids are left out, rows of one id count as one text in row order."""
+    """(item_id, words): the word hashes of every distinct item row with a text."""
 
     def make():
         return lambda texts: ([token_hashes(t).tobytes() for t in texts],)
 
-    rows = items.where(F.col(item_id).isNotNull()).groupBy(F.col(item_id).cast("long").alias("item_id"))
-    rows = rows.agg(F.array_join(F.sort_array(F.collect_set(F.col(text))), " ").alias("_text"))
+    rows = items.where(F.col(text).isNotNull()).select(F.col(item_id).cast("long").alias("item_id"), F.col(text).alias("_text")).distinct()
     return common.with_columns_from_text(rows, "_text", "words binary", make).select("item_id", "words")
 
 
@@ -143,7 +149,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_id
             out = [], [], [], []
             for text in texts:
                 doc = token_hashes(text)
-                found = [(coverage(doc, known.words[k], least), k) for k in sorted(known.candidates(doc))]
+                found = [(known.ids[k], coverage(doc, known.words[k], least)) for k in known.candidates(doc)]
                 for column, value in zip(out, verdict(found, threshold), strict=True):
                     column.append(value)
             return out
@@ -156,6 +162,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_id
 def by_shuffle(docs: DataFrame, words: DataFrame, text: str, least: int, threshold: float) -> DataFrame:
     """For item tables of any size: seeds of both sides meet in a shuffle join, then each pair is tiled on its own."""
     docs = docs.drop("contaminated", "item_id", "coverage", "n_items")
+    words = words.withColumn("_item", F.sha2(F.concat(F.coalesce(F.col("item_id").cast("string"), F.lit("")).cast("binary"), F.lit(b"/"), "words"), 256))
     texts = docs.select(F.col(text).alias("_text")).where("_text is not null").distinct().select("_text", F.sha2("_text", 256).alias("_key"))
     widths = [r[0] for r in words.selectExpr(f"least({least}, octet_length(words) div 8) AS w").where("w > 0").distinct().collect()]
 
@@ -166,12 +173,12 @@ def by_shuffle(docs: DataFrame, words: DataFrame, text: str, least: int, thresho
         import pyarrow as pa
 
         for batch in batches:
-            for key, w in zip(batch.column("item_id"), batch.column("words"), strict=True):
+            for key, w in zip(batch.column("_item"), batch.column("words"), strict=True):
                 seeds = np.unique(seeds_of(np.frombuffer(w.as_py(), np.uint64), least)).view(np.int64)
-                yield pa.RecordBatch.from_pydict({"item_id": pa.array([key.as_py()] * len(seeds), pa.int64()), "seed": pa.array(seeds, pa.int64())})
+                yield pa.RecordBatch.from_pydict({"_item": pa.array([key.as_py()] * len(seeds), pa.string()), "seed": pa.array(seeds, pa.int64())})
 
     left = common.with_columns_from_text(texts, "_text", "seeds array<long>", doc_seeds).select("_key", F.explode("seeds").alias("seed"))
-    pairs = left.join(words.mapInArrow(of_items, "item_id long, seed long"), "seed").select("_key", "item_id").distinct()
+    pairs = left.join(words.select("_item", "words").mapInArrow(of_items, "_item string, seed long"), "seed").select("_key", "_item").distinct()
 
     def tile(batches):
         import pyarrow as pa
@@ -180,8 +187,9 @@ def by_shuffle(docs: DataFrame, words: DataFrame, text: str, least: int, thresho
             found = [coverage(token_hashes(t.as_py()), np.frombuffer(w.as_py(), np.uint64), least) for t, w in zip(batch.column("_text"), batch.column("words"), strict=True)]
             yield pa.RecordBatch.from_pydict({"_key": batch.column("_key"), "item_id": batch.column("item_id"), "coverage": pa.array(found, pa.float64())})
 
-    tiled = pairs.join(texts, "_key").join(words, "item_id").select("_key", "item_id", "_text", "words").mapInArrow(tile, "_key string, item_id long, coverage double")
-    best = F.max_by("item_id", F.struct("coverage", -F.col("item_id")))
+    tiled = pairs.join(texts, "_key").join(words, "_item").select("_key", "item_id", "_text", "words").mapInArrow(tile, "_key string, item_id long, coverage double")
+    tiled = tiled.groupBy("_key", "item_id").agg(F.max("coverage").alias("coverage"))
+    best = F.min_by("item_id", F.struct(-F.col("coverage"), F.col("item_id").isNull(), "item_id"))
     each = tiled.groupBy("_key").agg(best.alias("item_id"), F.max("coverage").alias("coverage"), F.count_if(F.col("coverage") >= threshold).alias("n_items"))
     out = docs.withColumn("_key", F.sha2(text, 256)).join(each, "_key", "left").drop("_key")
     return out.select(*docs.columns, (F.coalesce("coverage", F.lit(0.0)) >= threshold).alias("contaminated"), "item_id", F.coalesce("coverage", F.lit(0.0)).alias("coverage"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"))

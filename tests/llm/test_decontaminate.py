@@ -56,7 +56,7 @@ def test_without_ties_coverage_equals_brute_force():
 
 def rows(rng):
     words = [f"w{k}" for k in range(5000)]
-    items = [(k, " ".join(rng.choice(words, 40))) for k in range(12)] + [(50, "two words"), (51, None), (52, "!!"), (None, "no id"), (3, "second row of three")]
+    items = [(k, " ".join(rng.choice(words, 40))) for k in range(12)] + [(50, "two words"), (51, None), (52, "!!"), (None, "no id"), (3, "second row of three"), (None, "a text without an id that is an item too")]
     docs = []
     for k in range(60):
         body = list(rng.choice(words, 120))
@@ -65,7 +65,7 @@ def rows(rng):
             body[20:20] = of[:20]
             body[90:90] = [w.upper() + "." for w in of[20:]]
         docs.append((k, " ".join(body), "x", "clash"))
-    docs += [(100, "here are Two, WORDS again", None, None), (101, None, None, None), (102, "", None, None), (None, items[0][1], None, None), docs[0], (103, "w1 " * 30000, None, None)]
+    docs += [(100, "here are Two, WORDS again", None, None), (101, None, None, None), (102, "", None, None), (None, items[0][1], None, None), docs[0], (103, "w1 " * 30000, None, None), (104, "x y second row of three z", None, None), (105, "see a text without an id that is an item too", None, None)]
     return docs, items
 
 
@@ -80,8 +80,8 @@ def test_both_ways_find_reordered_passages_and_leave_clean_ones(spark):
     one, two = (sorted(map(repr, f.select(*keep).collect())) for f in (by_broadcast, by_shuffle))
     assert one == two and len(one) == len(docs)
     for r in by_broadcast.collect():
-        if r.doc_id is None or r.doc_id == 100 or (r.doc_id < 100 and r.doc_id % 3 == 0):
-            assert r.contaminated, r
+        if r.doc_id is None or r.doc_id in (100, 104, 105) or (r.doc_id < 100 and r.doc_id % 3 == 0):
+            assert r.contaminated and (r.item_id is None) == (r.doc_id == 105), r
         else:
             assert not r.contaminated, r
     assert dc.decontaminate(frame.limit(0), bench).collect() == []
