@@ -3,13 +3,16 @@
 A bin is filled greedily, longest piece first. While room is left, the bin's smallest piece may give way to two unpacked
 pieces that together fill the expanded gap more tightly. Only pieces longer than a sequence are cut.
 
-The work is dealt over partitions by a hash of the piece, so copies, sources or lengths that fill the table cannot meet in
-one task; each partition packs its own pieces and wastes at most part of its last bins. A partition holds its pieces in
-memory: give `spark.sql.shuffle.partitions` so that the ids of one partition fit there (4 bytes each).
+Only row numbers and lengths are packed; the other columns meet their places in a join. Pieces are dealt into groups of about
+`group_ids` ids by a hash of the row number, so copies, sources or lengths that fill the table cannot meet in one task, and
+neither a task's memory nor the share of sequences that are not full depends on the size of the table or on a session
+setting: each group wastes part of its last sequence, one in some thousand. Small tables are one group.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -98,30 +101,32 @@ def cut_pieces(encoded: DataFrame, room: int) -> DataFrame:
     return rows.select(*[c for c in encoded.columns if c not in ("ids", "piece", "start", "length")], "piece", start.alias("start"), length.alias("length"), ids.alias("ids"))
 
 
-def pack(pieces: DataFrame, room: int, keys: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
+def pack(pieces: DataFrame, room: int, group_ids: int = 1 << 22) -> DataFrame:
     """pieces with sequence_id and offset: within a sequence the pieces are gapless from 0 and hold at most room ids.
 
-    Lengths must lie between 1 and room. Repeated rows are packed once each. An empty table gives an empty one.
+    pieces: a `length` from 1 to room, and any other columns; columns named sequence_id or offset are replaced. Repeated rows
+    are packed once each. An empty table gives an empty one.
     """
     pieces = pieces.drop("sequence_id", "offset")
-    n = common.partitions(pieces.sparkSession)
-    dealt = pieces.repartition(n, *keys, "length", F.pmod(F.xxhash64("ids", *keys), F.lit(n)))
-    schema = pieces.select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).schema
+    # a row's number is fixed once the table is written
+    rows = common.written(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    groups = max(1, math.ceil((rows.agg(F.sum("length")).first()[0] or 0) / group_ids))
+    dealt = rows.select("_row", F.col("length").cast("long").alias("length")).repartition(groups, "_row")
 
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        held = list(batches)
+        held = [(b.column("_row").to_numpy(), b.column("length").to_numpy()) for b in batches]
         if not held:
             return
-        lengths = np.concatenate([b.column("length").to_numpy(zero_copy_only=False) for b in held])
+        numbers, lengths = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(numbers)  # a task that runs again packs alike
+        numbers, lengths = numbers[order], lengths[order]
         bins, offsets = pack_lengths(lengths, room)
         bins += np.int64(TaskContext.get().partitionId()) << 40
-        at = 0
-        for b in held:
-            to = at + b.num_rows
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(bins[at:to]), pa.array(offsets[at:to])], names=[*b.schema.names, "sequence_id", "offset"])
-            at = to
+        for at in range(0, len(numbers), 1 << 16):
+            part = slice(at, at + (1 << 16))
+            yield pa.RecordBatch.from_pydict({"_row": pa.array(numbers[part]), "sequence_id": pa.array(bins[part]), "offset": pa.array(offsets[part])})
 
-    return dealt.mapInArrow(run, schema)
+    return rows.join(dealt.mapInArrow(run, "_row long, sequence_id long, offset long"), "_row").select(*pieces.columns, "sequence_id", "offset")

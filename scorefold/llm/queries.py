@@ -19,8 +19,7 @@ def tokenizer_path() -> str:
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     pieces = packing.cut_pieces(subwords.encode(docs, tokenizer_path(), end_id=1), ROOM)
-    packed = packing.pack(pieces, ROOM)
-    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+    return packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), ROOM)
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from scorefold.llm import common, packing, subwords, token_files
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -54,6 +56,18 @@ def test_files_round_trip(spark):
         at += len(ids)
 
 
+def test_stored_numbers_by_ranges(tmp_path):
+    values = np.arange(1000, dtype="<u4")
+    (tmp_path / "x.bin").write_bytes(values.tobytes())
+    mapped = token_files.Stored(f"file://{tmp_path}/x.bin", "<u4")
+    remote = token_files.Stored(f"file://{tmp_path}/x.bin", "<u4")
+    from pyarrow import fs
+
+    remote.data, remote.file = None, fs.LocalFileSystem().open_input_file(f"{tmp_path}/x.bin")
+    for first, last in ((0, 0), (0, 1000), (3, 5), (999, 1000)):
+        assert (mapped.read(first, last) == values[first:last]).all() and (remote.read(first, last) == values[first:last]).all()
+
+
 def test_empty_files(spark):
     empty = docs(spark).limit(0)
     assert token_files.read_shards(token_files.write_shards(empty, PATH, 2, common.new_path(spark, "t"))).collect() == []
@@ -100,6 +114,52 @@ def test_best_two_fit(lengths):
     assert len(fill) < 2 or fill[0] + fill[1] > 50 or len(fill) <= 2 + lengths.sum() // 25
 
 
+def brute_bins(lengths, room):
+    """Best-two-fit over plain lists: longest piece that fits; then the best pair for the smallest piece's place."""
+    left, out = sorted(lengths, reverse=True), []
+    while left:
+        bin_, gap = [], room
+        while fit := [n for n in left if n <= gap]:
+            left.remove(fit[0])
+            bin_.append(fit[0])
+            gap -= fit[0]
+        while gap and left:
+            small = min(bin_)
+            pairs = [(a + b, min(a, b), max(a, b)) for i, a in enumerate(left) for b in left[i + 1 :] if small < a + b <= gap + small]
+            if not pairs:
+                break
+            most = max(total for total, *_ in pairs)
+            _, low, high = min(p for p in pairs if p[0] == most)
+            bin_.remove(small)
+            left = sorted([*left, small], reverse=True)
+            for n in (low, high):
+                left.remove(n)
+                bin_.append(n)
+            gap += small - low - high
+        out.append(sorted(bin_))
+    return out
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 30), max_size=40))
+def test_packing_equals_the_plain_version(lengths):
+    bins, _ = packing.pack_lengths(np.array(lengths, np.int64), 30)
+    found = {}
+    for n, b in zip(lengths, bins.tolist(), strict=True):
+        found.setdefault(b, []).append(n)
+    assert [sorted(found[b]) for b in sorted(found)] == brute_bins(lengths, 30)
+
+
+def test_groups_do_not_depend_on_partitions_and_bound_a_task(spark):
+    pieces = spark.range(4000).select("id", (F.pmod(F.xxhash64("id"), F.lit(90)) + 1).alias("length"))
+    total = sum(r.length for r in pieces.collect())
+    for group_ids, most in ((1 << 22, 1.02), (total // 5, 1.1)):
+        rows = packing.pack(pieces, 100, group_ids).collect()
+        assert len({r.id for r in rows}) == len(rows) == 4000
+        assert len({r.sequence_id >> 40 for r in rows}) == (1 if group_ids > total else 6 if total % 5 else 5)
+        assert len({r.sequence_id for r in rows}) <= most * -(-total // 100)
+
+
 def test_a_pair_replaces_the_smallest():
     bins, _ = packing.pack_lengths(np.array([60, 30, 25, 15]), 100)
     # greedy: 60 + 30, gap 10; 25 + 15 fit the gap of 40 exactly
