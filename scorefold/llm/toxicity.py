@@ -134,7 +134,7 @@ def patterns_of(word: str) -> list[str]:
 class Lexicon(dict):
     """The first transducer: token to (symbol, weight). Tokens met before cost one lookup; it starts anew when full."""
 
-    def __init__(self, insults: dict[str, float], most: int = 400_000):
+    def __init__(self, insults: dict[str, float], most: int = 100_000):
         super().__init__()
         self.insults, self.most = insults, most
 
@@ -181,8 +181,10 @@ def score_of(clauses: list[float], weights: np.ndarray) -> float:
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, float(np.dot(features(clauses), weights))))))
 
 
-def fit(train: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", labelled: int = 12_000, share: float = 0.9) -> dict:
-    """train: labelled rows (at most about `labelled` of them are read). Null texts and labels teach nothing."""
+def fit(train: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", labelled: int = 12_000, share: float = 0.9, flush: int = 50_000) -> dict:
+    """train: labelled rows (at most about `labelled` of them are read). Null texts and labels teach nothing.
+
+    A task holds at most about `flush` surroundings at a time."""
     rows = train.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_text"), (F.col(label) == 1).alias("_toxic"))
     rows = common.written(common.bounded_sample(rows, "_key", labelled), "toxicity-sample")
     toxic = rows.where("_toxic").count()
@@ -192,17 +194,30 @@ def fit(train: DataFrame, key: str = "doc_id", text: str = "text", label: str =
         def run(batches):
             import pyarrow as pa
 
+            def out():
+                at = np.array([x for x, _, _ in seen], np.intp)
+                return pa.RecordBatch.from_pydict({"word": pa.array(names).take(pa.array(at)), "side": pa.array([x for _, x, _ in seen], pa.int64()), "doc": pa.array([x for _, _, x in seen], pa.int64())})
+
+            # repeated entries of the last few texts are left out here, all others by the aggregation
+            seen, names, number = set(), [], {}
             for batch in batches:
-                seen = set()
                 for key, text in zip(batch.column("_key"), batch.column("_text"), strict=True):
                     found, doc = WORD.findall(text.as_py().lower()), key.as_py() or 0
                     for before, word, after in zip([""] + found, found, found[1:] + [""], strict=False):
                         patterns = patterns_of(word) if only is None else [p for p in patterns_of(word) if p in only]
                         if patterns:
                             side = xxhash.xxh64_intdigest(f"{before} {after}") >> 1
-                            seen.update((p, side, doc) for p in patterns)
-                names, sides, docs = zip(*seen, strict=True) if seen else ((), (), ())
-                yield pa.RecordBatch.from_pydict({"word": pa.array(names, pa.string()), "side": pa.array(sides, pa.int64()), "doc": pa.array(docs, pa.int64())})
+                            for p in patterns:
+                                k = number.get(p)
+                                if k is None:
+                                    k = number[p] = len(names)
+                                    names.append(p)
+                                seen.add((k, side, doc))
+                            if len(seen) >= flush:
+                                yield out()
+                                seen, names, number = set(), [], {}
+            if seen:
+                yield out()
 
         return run
 
