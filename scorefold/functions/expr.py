@@ -140,6 +140,11 @@ def keys_of(json: Column) -> Column:
     return F.json_object_keys(json)
 
 
+def key_count(json: Column) -> Column:
+    """Number of keys of a JSON object; 0 where there is none."""
+    return F.coalesce(F.size(F.json_object_keys(json)), F.lit(0))
+
+
 def missing_keys(json: Column, wanted: Sequence[str]) -> Column:
     """Wanted keys that a JSON object lacks; a key with a null value is present."""
     return F.array_except(F.array(*map(F.lit, wanted)), F.coalesce(F.json_object_keys(json), F.array().cast("array<string>")))

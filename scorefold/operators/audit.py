@@ -53,15 +53,8 @@ def row_issues(ratings: DataFrame, key: Column, allowed: Sequence[str] = rollup.
     return ratings.select(key.cast("string").alias("key"), F.explode(found).alias("f")).select("key", "f.category", "f.detail")
 
 
-def document_issues(files: DataFrame) -> DataFrame:
-    """Checks of raw rater files (symbol, persona, doc, parse_error): types and presence are judged on the VARIANT itself."""
-    key = F.concat_ws("/", "symbol", "persona")
-    doc = F.col("doc")
-    part = F.try_variant_get(doc, "$.analysis", "variant")
-    has = files.where("NOT parse_error").withColumn("a", part)
-    none = has.where(F.col("a").isNull() | F.is_variant_null("a"))
-    has = has.where(F.col("a").isNotNull() & ~F.is_variant_null("a")).withColumn("json", F.to_json("a"))
-    a = F.col("a")
+def findings(a: Column) -> Column:
+    """Array of (category, detail) of one rater's analysis as VARIANT: types and presence are judged on the value itself."""
 
     def field(name: str, kind: str = "string") -> Column:
         return F.try_variant_get(a, f"$.{name}", kind)
@@ -74,29 +67,35 @@ def document_issues(files: DataFrame) -> DataFrame:
 
     score = F.when(expr.integral_score(a, "$.score"), field("score", "double"))
     rec = text("recommendation")
-    finds: list[tuple[str, Column, Column]] = [("missing_fields", ~F.array_contains(F.json_object_keys("json"), f), F.lit(f)) for f in REQUIRED]
+    finds: list[tuple[str, Column, Column]] = [("missing_fields", ~F.array_contains(F.json_object_keys(F.to_json(a)), f), F.lit(f)) for f in REQUIRED]
     finds += [
         ("score_out_of_range", ~expr.integral_score(a, "$.score"), field("score")),
         ("invalid_recommendation", rec.isNotNull() & ~rec.isin(*rollup.RECOMMENDATIONS) | shape("recommendation").isin("BIGINT", "BOOLEAN", "DOUBLE"), field("recommendation")),
         ("score_recommendation_mismatch", score.isNotNull() & rec.isin(*rollup.RECOMMENDATIONS) & expr.extreme_mismatch(score, rec), F.concat_ws("/", field("score"), rec)),
     ]
     is_object = shape("metrics_evaluated").startswith("OBJECT")
-    metrics = F.to_json(field("metrics_evaluated", "variant"))
     finds.append(("invalid_metric_values", ~is_object, F.lit("metrics_evaluated is not an object")))
     for name, allowed in METRICS.items():
         value = field(f"metrics_evaluated.{name}")
         finds.append(("missing_fields", is_object & value.isNull(), F.lit(f"metrics_evaluated.{name}")))
         finds.append(("invalid_metric_values", is_object & value.isNotNull() & ~value.isin(*allowed), F.concat_ws("=", F.lit(name), value)))
-    extra = F.when(is_object, expr.unexpected_keys(metrics, list(METRICS)))
+    extra = F.when(is_object, expr.unexpected_keys(F.to_json(field("metrics_evaluated", "variant")), list(METRICS)))
     finds.append(("invalid_metric_values", F.size(extra) > 0, F.array_join(extra, ",")))
     finds += [("empty_arrays", field(f, "array<string>").isNotNull() & (F.size(field(f, "array<string>")) == 0), F.lit(f)) for f in ("key_strengths", "key_risks")]
     finds += [("empty_strings", F.length(parse.strip(text(f))) < 20, F.lit(f)) for f in ("investment_thesis", "detailed_analysis")]
-    found = F.filter(F.array(*[F.when(F.coalesce(t, F.lit(False)), F.struct(F.lit(c).alias("category"), d.cast("string").alias("detail"))) for c, t, d in finds]), lambda x: x.isNotNull())
+    return F.filter(F.array(*[F.when(F.coalesce(t, F.lit(False)), F.struct(F.lit(c).alias("category"), d.cast("string").alias("detail"))) for c, t, d in finds]), lambda x: x.isNotNull())
+
+
+def document_issues(files: DataFrame) -> DataFrame:
+    """Checks of raw rater files (symbol, persona, doc, parse_error)."""
+    key = F.concat_ws("/", "symbol", "persona")
+    has = files.where("NOT parse_error").withColumn("a", F.try_variant_get(F.col("doc"), "$.analysis", "variant"))
+    absent = F.col("a").isNull() | F.is_variant_null("a")
     return union(
         [
             issue(files, F.col("parse_error"), "parse_errors", key, F.lit("not valid JSON")),
-            issue(none, F.lit(True), "missing_fields", key, F.lit("analysis")),
-            has.select(key.alias("key"), F.explode(found).alias("f")).select("key", "f.category", "f.detail"),
+            issue(has, absent, "missing_fields", key, F.lit("analysis")),
+            has.where(~absent).select(key.alias("key"), F.explode(findings(F.col("a"))).alias("f")).select("key", "f.category", "f.detail"),
         ]
     )
 
@@ -116,7 +115,9 @@ def table_issues(ratings: DataFrame, entity: str, rater: str, raters: Sequence[s
 
 
 def duplicate_issues(df: DataFrame, text: Column, entity: str) -> DataFrame:
-    return issue(rollup.duplicate_text(df, text, entity), F.lit(True), "duplicate_theses", F.col("snippet"), F.array_join("entities", ","))
+    """One issue per shared text; its detail names the number of entities and the least of them."""
+    found = rollup.duplicate_members(df, text, entity).groupBy("text_key").agg(F.first("snippet").alias("snippet"), F.first("n_entities").alias("n"), F.min("entity").alias("least"))
+    return issue(found, F.lit(True), "duplicate_theses", F.col("snippet"), F.concat_ws(" from ", F.col("n").cast("string"), F.col("least").cast("string")))
 
 
 def audit_summary(issues: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorefold.functions import expr, parse
-from scorefold.operators import rollup
+from scorefold.operators import audit, rollup
 
 
 @dataclass(frozen=True)
@@ -74,35 +74,53 @@ def score_record(ratings: DataFrame, stocks: DataFrame, listing: DataFrame, buy:
     )
 
 
-def number(places: int):
-    return lambda c: expr.plain_number(c, places)
+def number(places: int, mark: str = ""):
+    """Fractional columns with that many decimals, whole-number columns as they are."""
+    return lambda c, kind: F.concat(F.lit(mark), c.cast("string") if kind in ("tinyint", "smallint", "int", "bigint") else expr.plain_number(c, places))
 
 
-#: Sections of the financial summary: heading, then field, label and format of each line.
+def decimals(places: int, mark: str = ""):
+    return lambda c, kind: F.concat(F.lit(mark), expr.plain_number(c.cast("double"), places))
+
+
+def percent(c: Column, kind: str) -> Column:
+    return expr.format_pct(c)
+
+
+def money(c: Column, kind: str) -> Column:
+    return expr.format_currency(c)
+
+
+#: Headings of the financial summary, then field, label and format of each line, in this order.
 SUMMARY = (
-    ("VALUATION", (("pe", "P/E (TTM)", number(2)), ("forward_pe", "P/E (Forward)", number(2)), ("price_to_book", "Price/Book", number(2)), ("enterprise_value", "Enterprise Value", expr.format_currency))),
-    ("PROFITABILITY", (("roe", "ROE", expr.format_pct), ("operating_margin", "Operating Margin", expr.format_pct), ("net_margin", "Net Margin", expr.format_pct))),
-    ("GROWTH", (("revenue_growth", "Revenue Growth (YoY)", expr.format_pct), ("earnings_growth", "Earnings Growth (YoY)", expr.format_pct))),
-    ("BALANCE SHEET & CASH FLOW", (("debt_to_equity", "Debt/Equity", number(1)), ("current_ratio", "Current Ratio", number(2)), ("total_debt", "Total Debt", expr.format_currency), ("fcf", "Free Cash Flow", expr.format_currency), ("book_value", "Book Value/Share", number(2)))),
-    ("SHAREHOLDING", (("promoter", "Insider Holding", expr.format_pct), ("dividend_yield", "Dividend Yield", expr.format_pct))),
+    ("VALUATION", (("pe", "P/E (TTM)", number(2)), ("forward_pe", "P/E (Forward)", number(2)), ("price_to_book", "Price/Book", number(2)), ("price_to_sales", "Price/Sales", number(2)), ("enterprise_value", "Enterprise Value", money), ("ev_to_ebitda", "EV/EBITDA", number(2)), ("ev_to_revenue", "EV/Revenue", number(2)))),
+    ("PROFITABILITY", (("roe", "ROE", percent), ("operating_margin", "Operating Margin", percent), ("net_margin", "Net Margin", percent), ("gross_margin", "Gross Margin", percent), ("ebitda_margin", "EBITDA Margin", percent))),
+    ("GROWTH", (("revenue_growth", "Revenue Growth (YoY)", percent), ("earnings_growth", "Earnings Growth (YoY)", percent))),
+    ("BALANCE SHEET & CASH FLOW", (("debt_to_equity", "Debt/Equity", decimals(1)), ("current_ratio", "Current Ratio", decimals(2)), ("total_debt", "Total Debt", money), ("total_cash", "Total Cash", money), ("fcf", "Free Cash Flow", money), ("operating_cash_flow", "Operating Cash Flow", money), ("total_revenue", "Total Revenue", money), ("ebitda", "EBITDA", money), ("net_income", "Net Income", money), ("book_value", "Book Value/Share", decimals(2, "INR ")))),
+    ("SHAREHOLDING", (("promoter", "Insider Holding", percent), ("institutions", "Institutional Holding", percent), ("dividend_yield", "Dividend Yield", percent))),
 )
 
 
-def financial_summary(columns: Sequence[str], about: str | None = None, facts: str | None = None) -> Column:
-    """Lines of the fields that are there, each section only if it has a line; then the statement lines (an array of text)
-    and the shortened description."""
-    sections = []
+#: Heading of the statement lines, and the text where nothing is known.
+STATEMENT_HEADING = "INCOME STATEMENT (available years):"
+NOTHING = "LIMITED DATA AVAILABLE — This is a recent IPO with minimal public financial history."
+
+
+def financial_summary(df: DataFrame, about: str | None = None, facts: str | None = None) -> Column:
+    """Lines of the fields of df that are there, each section only if it has a line; then the statement lines (an array of
+    text) and the shortened description."""
+    sections, columns = [], dict(df.dtypes)
     for heading, fields in SUMMARY:
-        lines = [F.when(F.col(f).isNotNull(), F.concat(F.lit(f"  {label}: "), shown(F.col(f)))) for f, label, shown in fields if f in columns]
+        lines = [F.when(F.col(f).isNotNull(), F.concat(F.lit(f"  {label}: "), shown(F.col(f), columns[f]))) for f, label, shown in fields if f in columns]
         if lines:
             body = F.concat_ws("\n", *lines)
             sections.append(F.when(body != "", F.concat(F.lit(f"{heading}:\n"), body)))
     if facts:
-        sections.append(F.when(F.size(facts) > 0, F.concat(F.lit("INCOME STATEMENT:\n"), F.array_join(facts, "\n"))))
+        sections.append(F.when(F.size(facts) > 0, F.concat(F.lit(STATEMENT_HEADING + "\n"), F.array_join(facts, "\n"))))
     if about:
         sections.append(F.when(expr.truthy(F.col(about), text=True), F.concat(F.lit("BUSINESS: "), expr.truncate(F.col(about)))))
     whole = F.concat_ws("\n\n", *sections)
-    return F.when(whole != "", whole).otherwise("No public financial data yet.")
+    return F.when(whole != "", whole).otherwise(NOTHING)
 
 
 def statement_lines(facts: DataFrame, keys: Sequence[str], metrics: Sequence[str] = ("Total Revenue", "Net Income", "EBITDA")) -> DataFrame:
@@ -120,12 +138,34 @@ def prompt_set(items: DataFrame, header: Sequence[tuple[str, str]], summary: Col
     return items.withColumn("prompt", F.concat_ws("\n", *lines, F.lit(""), summary, F.lit(""), F.lit(instructions)))
 
 
-def ingest_responses(raw: DataFrame, keys: Sequence[str], response: str = "response") -> tuple[DataFrame, DataFrame]:
-    """(ratings, quarantine): answers that parse, with an integral score from 0 to 10 and a known recommendation, are taken."""
-    doc = F.try_parse_json(response)
-    rows = raw.withColumn("_doc", doc)
-    score, rec = F.try_variant_get("_doc", "$.score", "double"), F.try_variant_get("_doc", "$.recommendation", "string")
-    good = F.coalesce(F.col("_doc").isNotNull() & expr.integral_score(F.col("_doc"), "$.score") & rec.isin(*rollup.RECOMMENDATIONS), F.lit(False))
-    taken = rows.where(good).select(*keys, score.cast("int").alias("score"), rec.alias("recommendation"), F.col(response))
-    reason = F.when(F.col("_doc").isNull(), "unparseable").when(~F.coalesce(expr.integral_score(F.col("_doc"), "$.score"), F.lit(False)), "score").otherwise("recommendation")
-    return taken, rows.where(~good).select(*keys, reason.alias("reason"), F.col(response))
+def ingest_responses(raw: DataFrame, keys: Sequence[str], response: str = "response", whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(ratings, quarantine): answers that parse, with an integral score from 0 to 10 and a known recommendation, are taken.
+
+    whole: an answer must also hold every required field, allowed metric values, non-empty lists and texts of some length, and
+    its score may not contradict its recommendation; the quarantine's reason is the first finding."""
+    doc = F.col("_doc")
+    rows = raw.withColumn("_doc", F.try_parse_json(response))
+    score, rec = F.try_variant_get(doc, "$.score", "double"), F.try_variant_get(doc, "$.recommendation", "string")
+    integral = F.coalesce(expr.integral_score(doc, "$.score"), F.lit(False))
+    reason = F.when(doc.isNull(), "unparseable").when(~integral, "score").when(~F.coalesce(rec.isin(*rollup.RECOMMENDATIONS), F.lit(False)), "recommendation")
+    if whole:
+        reason = F.coalesce(reason, F.get(audit.findings(doc), 0)["category"])
+    rows = rows.withColumn("_reason", reason)
+    taken = rows.where("_reason IS NULL").select(*keys, score.cast("int").alias("score"), rec.alias("recommendation"), F.col(response))
+    return taken, rows.where("_reason IS NOT NULL").select(*keys, F.col("_reason").alias("reason"), F.col(response))
+
+
+def list_rows(df: DataFrame, keys: Sequence[str], lists: Sequence[str]) -> DataFrame:
+    """(keys, list, position, text) of array columns such as strengths, risks and flags; an empty or null one has one row
+    without position."""
+    parts = [df.select(*keys, F.lit(name).alias("list"), F.posexplode_outer(name).alias("position", "text")) for name in lists]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def metric_rows(df: DataFrame, keys: Sequence[str], metrics: str) -> DataFrame:
+    """(keys, metric, value): one row per field of a struct column."""
+    names = df.select(f"{metrics}.*").columns
+    return df.select(*keys, f"{metrics}.*").unpivot(list(keys), names, "metric", "value")

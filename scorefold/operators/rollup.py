@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scorefold.sources import stage
+
 RECOMMENDATIONS = ("BUY", "HOLD", "AVOID")
 BRACKETS = (("70-100", 70), ("50-69", 50), ("30-49", 30), ("10-29", 10), ("0-9", None))
 
@@ -31,20 +33,27 @@ def composite_scores(ratings: DataFrame, entity: str, score: str = "score", buy:
     return out.withColumn("consensus_recommendation", consensus(F.col("composite_score"), buy, hold))
 
 
-def place(df: DataFrame, by: str, out: str, ties: Sequence[str] = (), buckets: int = 128) -> DataFrame:
+def place(df: DataFrame, by: str, out: str, ties: Sequence[str] = ()) -> DataFrame:
     """df with `out`: its place by descending value; equal values share one, unless ties gives an order among them.
 
-    No task holds the whole order: values are dealt into buckets between approximate quantiles (one row of cut points, equal
-    values in one bucket), numbered within their bucket, and what lies above a bucket is a prefix sum over one row each.
-    Null values come last."""
-    cuts = df.agg(F.percentile_approx(F.col(by).cast("double"), F.array(*[F.lit(k / buckets) for k in range(1, buckets)]), 10_000).alias("_cuts"))
-    bucket = F.when(F.col(by).isNull(), F.lit(buckets)).otherwise(F.size(F.filter(F.coalesce("_cuts", F.array().cast("array<double>")), lambda c: c > F.col(by))))
-    rows = df.crossJoin(F.broadcast(cuts)).withColumn("_bucket", bucket).drop("_cuts")
-    sizes = rows.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    above = sizes.select("_bucket", F.coalesce(F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_above"))
-    w = Window.partitionBy("_bucket").orderBy(F.col(by).desc_nulls_last(), *ties)
-    numbered = rows.withColumn("_in", (F.row_number() if ties else F.rank()).over(w))
-    return numbered.join(F.broadcast(above), "_bucket").withColumn(out, (F.col("_above") + F.col("_in")).cast("long")).drop("_above", "_in", "_bucket")
+    No task holds the whole order and no value meets in one task: rows are range-partitioned by value and ties (without ties
+    by a hash of the row), written once, and numbered within their partition; what lies before a partition is a prefix sum
+    over one row each. Equal values then share the least of their numbers. Null values come last."""
+    order = [F.col(by).desc_nulls_last(), *(F.col(t) for t in ties)]
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = order if ties else [*order, F.xxhash64(*df.columns).asc()]
+    rows = df.repartitionByRange(n, *spread).sortWithinPartitions(*order)
+    at = F.monotonically_increasing_id()
+    rows = stage.written(rows.withColumns({"_part": F.shiftright(at, 33), "_in": at.bitwiseAND(F.lit((1 << 33) - 1)) + 1}), "placed")
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))  # one row per partition
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    above = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_above"))
+    numbered = rows.join(F.broadcast(above), "_part").withColumn(out, (F.col("_above") + F.col("_in")).cast("long"))
+    if ties:
+        return numbered.select(*[c for c in df.columns if c != out], out)
+    first = numbered.groupBy(F.col(by).alias("_by")).agg(F.min(out).alias("_first"))
+    shared = numbered.drop(out).join(first, F.col(by).eqNullSafe(F.col("_by")))
+    return shared.select(*[c for c in df.columns if c != out], F.col("_first").alias(out))
 
 
 def rank_scores(scores: DataFrame, by: str = "composite_score", entity: str = "symbol") -> DataFrame:
@@ -135,17 +144,25 @@ def buy_convergence(ratings: DataFrame, rater: str, recommendation: str = "recom
     return ratings.where(F.col(recommendation) == "BUY").groupBy(rater).agg(F.count("*").alias("buys"))
 
 
-def duplicate_text(df: DataFrame, text: Column, entity: str, least: int = 20, snippet: int = 100) -> DataFrame:
-    """Normalised texts of more than `least` characters that several entities share: (n_entities, entities, snippet).
+def duplicate_members(df: DataFrame, text: Column, entity: str, least: int = 20, snippet: int = 100) -> DataFrame:
+    """Normalised texts of more than `least` characters that several entities share, one row per text and entity: (text_key,
+    n_entities, entity, snippet). No text's entities are gathered anywhere.
 
     Rows are grouped by a hash first, so only texts whose hash repeats are shuffled whole and confirmed."""
     from scorefold.functions.parse import normalise_text
 
-    rows = df.select(F.col(entity).alias("_entity"), normalise_text(text).alias("_text")).where(F.length("_text") > least).withColumn("_hash", F.xxhash64("_text"))
-    shared = rows.groupBy("_hash").agg((F.min("_entity") < F.max("_entity")).alias("_several")).where("_several").select("_hash")
-    once = rows.join(shared, "_hash", "left_semi").dropDuplicates(["_text", "_entity"])
-    found = once.groupBy("_text").agg(F.count("*").alias("n_entities"), F.sort_array(F.collect_list("_entity")).alias("entities")).where("n_entities > 1")
-    return found.select("n_entities", "entities", F.substring("_text", 1, snippet).alias("snippet"))
+    rows = df.select(F.col(entity).alias("_entity"), normalise_text(text).alias("_text")).where(F.length("_text") > least)
+    shared = rows.groupBy(F.xxhash64("_text").alias("_hash")).agg((F.min("_entity") < F.max("_entity")).alias("_several")).where("_several").select("_hash")
+    once = rows.withColumn("_hash", F.xxhash64("_text")).join(shared, "_hash", "left_semi").select("_entity", F.sha2("_text", 256).alias("text_key"), F.substring("_text", 1, snippet).alias("snippet"))
+    once = once.groupBy("text_key", "_entity").agg(F.min("snippet").alias("snippet"))
+    sizes = once.groupBy("text_key").agg(F.count("*").alias("n_entities")).where("n_entities > 1")
+    return once.join(sizes, "text_key").select("text_key", "n_entities", F.col("_entity").alias("entity"), "snippet")
+
+
+def duplicate_text(df: DataFrame, text: Column, entity: str, least: int = 20, snippet: int = 100) -> DataFrame:
+    """duplicate_members with the entities of a text in one row, sorted: for texts that few entities share."""
+    found = duplicate_members(df, text, entity, least, snippet).groupBy("text_key").agg(F.first("n_entities").alias("n_entities"), F.sort_array(F.collect_list("entity")).alias("entities"), F.first("snippet").alias("snippet"))
+    return found.select("n_entities", "entities", "snippet")
 
 
 def trailing(df: DataFrame, key: str, order: Sequence[Column]) -> Column:
@@ -154,16 +171,17 @@ def trailing(df: DataFrame, key: str, order: Sequence[Column]) -> Column:
 
 
 def price_summary(prices: DataFrame, key: str, date: str, close: str, volume: str, tie: Sequence[str] = (), year: int = 252, month: int = 30) -> DataFrame:
-    """First and last date and close, days, extremes of the last `year` closes and mean volume of the last `month` rows."""
-    place = trailing(prices, key, [F.col(date).desc(), *[F.col(t).desc() for t in tie]])
-    rows = prices.withColumn("_n", place)
+    """First and last date and close, days, extremes of the last `year` closes and mean volume of the last `month` rows.
+
+    The whole history goes through one aggregation; only the last `year` rows of a key per task are shuffled for the rest, as
+    the rank filter below the window becomes Spark's group limit."""
     order = F.struct(date, *tie)
-    c, recent = F.col(close), F.col("_n") <= year
-    return rows.groupBy(key).agg(
-        F.min(date).alias("first_date"), F.max(date).alias("last_date"), F.count("*").alias("total_days"),
-        F.min_by(c, order).alias("first_close"), F.max_by(c, order).alias("last_close"),
-        F.max(F.when(recent, c)).alias("high_52w"), F.min(F.when(recent, c)).alias("low_52w"), F.avg(F.when(F.col("_n") <= month, F.col(volume))).alias("avg_volume_30d"),
+    whole = prices.groupBy(key).agg(
+        F.min(date).alias("first_date"), F.max(date).alias("last_date"), F.count("*").alias("total_days"), F.min_by(close, order).alias("first_close"), F.max_by(close, order).alias("last_close")
     )
+    last = prices.withColumn("_n", trailing(prices, key, [F.col(date).desc(), *[F.col(t).desc() for t in tie]])).where(F.col("_n") <= year)
+    recent = last.groupBy(key).agg(F.max(close).alias("high_52w"), F.min(close).alias("low_52w"), F.avg(F.when(F.col("_n") <= month, F.col(volume))).alias("avg_volume_30d"))
+    return whole.join(recent, key)
 
 
 def listing_coverage(listing: DataFrame) -> DataFrame:
@@ -177,8 +195,10 @@ def status_counts(df: DataFrame, status: str) -> DataFrame:
     return df.groupBy(status).agg(F.count("*").alias("n"))
 
 
-def usage_rollup(df: DataFrame, by: Sequence[str], cost: str, duration: str) -> DataFrame:
-    return df.groupBy(*by).agg(F.count("*").alias("calls"), F.sum(cost).alias("total_cost"), F.avg(cost).alias("mean_cost"), F.avg(duration).alias("mean_duration"), F.percentile(duration, F.lit(0.5)).alias("median_duration"))
+def usage_rollup(df: DataFrame, by: Sequence[str], cost: str, duration: str, tokens: Sequence[str] = ()) -> DataFrame:
+    """Calls, cost, duration and the sums of any token columns (fields of a struct by their path)."""
+    sums = [F.sum(t).alias(f"total_{t.rsplit('.', 1)[-1]}") for t in tokens]
+    return df.groupBy(*by).agg(F.count("*").alias("calls"), F.sum(cost).alias("total_cost"), F.avg(cost).alias("mean_cost"), F.avg(duration).alias("mean_duration"), F.percentile(duration, F.lit(0.5)).alias("median_duration"), *sums)
 
 
 def page_years(listing: DataFrame, page: str, date: str) -> DataFrame:

@@ -59,7 +59,14 @@ def magic_formula(df: DataFrame, entity: str, ebit: str, ev: str, capital: str,
     return ranked.withColumn("magic_rank", F.col("yield_rank") + F.col("capital_rank"))
 
 
-def rubric_band(df: DataFrame, score: str) -> DataFrame:
-    """df with band and meaning of each score; scores outside all bands have none."""
-    bands = df.sparkSession.createDataFrame(list(BANDS), "band string, _low int, _high int, meaning string")
-    return df.join(F.broadcast(bands), F.col(score).between(F.col("_low"), F.col("_high")), "left").drop("_low", "_high")
+def rubric_band(df: DataFrame, score: str, rater: str | None = None, bands: DataFrame | None = None) -> DataFrame:
+    """df with band and meaning of each score; scores outside all bands have none.
+
+    bands: a table of (band, low, high, meaning), the general one if left out; with `rater`, a rubric for each rater with a
+    column of that name too. Scores are looked up one by one, so bands join on equality."""
+    if bands is None:
+        bands = df.sparkSession.createDataFrame(list(BANDS), "band string, low int, high int, meaning string")
+    keys = [rater] if rater else []
+    each = bands.select(*keys, "band", "meaning", F.explode(F.sequence(F.col("low").cast("bigint"), F.col("high").cast("bigint"))).alias("_score"))
+    rows = df.withColumn("_score", F.when(F.col(score) == F.floor(score), F.col(score).cast("bigint")))
+    return rows.join(each, [*keys, "_score"], "left").drop("_score").select(*df.columns, "band", "meaning")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from scorefold.functions import expr, parse
 from scorefold.operators import audit, enrich, joins, rollup, rules, screen
-from scorefold.sources import documents, html
+from scorefold.sources import documents, html, stage
 from scorefold.streaming import ratings as streams
 
 RATERS = ("AF", "AO", "NF", "NO", "RF", "RO")
@@ -270,12 +270,12 @@ def parse_money(spark, d):
     return o.select("o_orderkey", parse.parse_price(price).alias("price"), F.round(parse.parse_mcap(F.format_number("o_totalprice", 2)), 1).alias("mcap"), parse.parse_price(junk).alias("junk"))
 
 
-@query("SELECT c_custkey, (CASE WHEN c_acctbal < 0 THEN -1 ELSE 1 END) * abs(trunc(c_acctbal)) AS change, NULL::DOUBLE AS junk FROM customer")
+@query("SELECT c_custkey, (CASE WHEN c_acctbal < 0 THEN -1 ELSE 1 END) * abs(trunc(c_acctbal)) AS change, CASE WHEN c_custkey % 2 = 0 THEN NULL ELSE abs(trunc(c_acctbal)) END AS junk FROM customer")
 def parse_pct(spark, d):
     c = table(spark, d, "customer")
     whole = F.abs(F.col("c_acctbal")).cast("bigint").cast("string")
     text = F.concat(F.when(F.col("c_acctbal") < 0, F.when(F.col("c_custkey") % 2 == 0, "⇣ ").otherwise("Down ")).otherwise("⇡ +"), whole, F.lit("%"))
-    return c.select("c_custkey", parse.parse_pct_change(text).alias("change"), parse.parse_pct_change(F.concat(whole, F.lit("-"), whole)).alias("junk"))
+    return c.select("c_custkey", parse.parse_pct_change(text).alias("change"), parse.parse_pct_change(F.when(F.col("c_custkey") % 2 == 0, F.concat(whole, F.lit("-"), whole)).otherwise(F.concat(F.lit("about "), whole))).alias("junk"))
 
 
 @query("SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN NULL ELSE round(c_acctbal, 2) END AS number FROM customer")
@@ -284,10 +284,10 @@ def parse_number(spark, d):
     return table(spark, d, "customer").select("c_custkey", parse.parse_number(F.regexp_replace(text, " %$", "%")).alias("number"))
 
 
-@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS listing_date, 'soon' AS odd FROM orders")
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS listing_date, 'soon ' || o_orderkey AS odd FROM orders")
 def parse_dates(spark, d):
     o = table(spark, d, "orders")
-    return o.select("o_orderkey", parse.parse_listing_date(F.date_format("o_orderdate", "d MMM yyyy")).alias("listing_date"), parse.parse_listing_date(F.when(F.col("o_orderkey") >= 0, " soon ")).alias("odd"))
+    return o.select("o_orderkey", parse.parse_listing_date(F.date_format("o_orderdate", "d MMM yyyy")).alias("listing_date"), parse.parse_listing_date(F.concat(F.lit(" soon "), "o_orderkey", F.lit("\t"))).alias("odd"))
 
 
 @query(
@@ -337,10 +337,12 @@ def listing_pages(spark, d):
     return html.listing_from_pages(items, ["p_partkey"]).select("p_partkey", "company_name", "id.identifier", "issue_price", "current_price", "ipo_return_pct", "ipo_mcap_cr", "listing_date")
 
 
-@query("SELECT event_id, (props::JSON ->> '$.k')::BIGINT AS k, array_to_string(json_keys(props), ',') AS keys, 'm' AS missing, true AS integral FROM events")
+@query("SELECT event_id, (props::JSON ->> '$.k')::BIGINT AS k, array_to_string(json_keys(props), ',') AS keys, 2 AS n_keys, CASE WHEN event_id % 3 = 0 THEN 'm' ELSE '' END AS missing, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id % 3 = 1 END AS integral FROM (SELECT event_id, CASE event_id % 3 WHEN 0 THEN props[:-2] || ', \"x\": 1}' WHEN 1 THEN props[:-2] || ', \"m\": 4.0}' ELSE props[:-2] || ', \"m\": 4.5}' END AS props FROM events)")
 def json_fields(spark, d):
-    e = table(spark, d, "events").select("event_id", "props", F.try_parse_json("props").alias("v"))
-    return e.select("event_id", expr.get(F.col("v"), "$.k", "bigint").alias("k"), F.array_join(expr.keys_of(F.col("props")), ",").alias("keys"), F.array_join(expr.missing_keys(F.col("props"), ["k", "m"]), ",").alias("missing"), expr.integral_score(F.col("v"), "$.k", -(10**9), 10**9).alias("integral"))
+    more = F.when(F.col("event_id") % 3 == 0, ', "x": 1}').when(F.col("event_id") % 3 == 1, ', "m": 4.0}').otherwise(', "m": 4.5}')
+    e = table(spark, d, "events").select("event_id", F.concat(F.regexp_replace("props", r"\}\s*$", ""), more).alias("props"))
+    v = F.try_parse_json("props")
+    return e.select("event_id", expr.get(v, "$.k", "bigint").alias("k"), F.array_join(expr.keys_of(F.col("props")), ",").alias("keys"), expr.key_count(F.col("props")).alias("n_keys"), F.array_join(expr.missing_keys(F.col("props"), ["k", "m"]), ",").alias("missing"), expr.integral_score(v, "$.m").alias("integral"))
 
 
 @query("SELECT event_id, unnest(json_keys(props)) AS key, (props::JSON ->> '$.k')::BIGINT AS value FROM events")
@@ -369,13 +371,14 @@ def fill_gaps(spark, d):
     """WITH g AS (SELECT o_orderkey, o_orderkey % 5 AS o, (o_orderkey % 2 = 0)::INT + (o_orderkey % 3 = 0)::INT + (o_orderkey % 4 = 0)::INT + (o_orderkey % 7 = 0)::INT AS n FROM orders),
 b AS (SELECT *, greatest(n, CASE o WHEN 0 THEN 4 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END) AS best FROM g)
 SELECT o_orderkey, CASE WHEN best >= 3 THEN 'full' WHEN best >= 2 THEN 'partial' WHEN best >= 1 THEN 'limited' ELSE 'minimal' END AS upgraded,
-  CASE WHEN n >= 4 THEN 'full' WHEN n >= 2 THEN 'partial' WHEN n >= 1 THEN 'limited' ELSE 'minimal' END AS from_sources FROM b"""
+  CASE WHEN n + (o_orderkey % 37 > 30)::INT >= 4 THEN 'full' WHEN n + (o_orderkey % 37 > 30)::INT >= 2 THEN 'partial' WHEN n + (o_orderkey % 37 > 30)::INT >= 1 THEN 'limited' ELSE 'minimal' END AS from_sources FROM b"""
 )
 def quality_upgrade(spark, d):
     k = F.col("o_orderkey")
     there = [k % m == 0 for m in (2, 3, 4, 7)]
+    info = F.when(k % 37 > 0, F.to_json(F.map_from_arrays(F.transform(F.sequence(F.lit(1), (k % 37).cast("int")), lambda i: F.concat(F.lit("f"), i.cast("string"))), F.sequence(F.lit(1), (k % 37).cast("int")))))
     old = F.element_at(F.array(*map(F.lit, ("full", "partial", "limited", "minimal", "none"))), (k % 5 + 1).cast("int"))
-    return table(spark, d, "orders").select("o_orderkey", expr.quality_upgrade(old, *there).alias("upgraded"), expr.quality_from_sources(F.lit(3), *there).alias("from_sources"))
+    return table(spark, d, "orders").select("o_orderkey", expr.quality_upgrade(old, *there).alias("upgraded"), expr.quality_from_sources(expr.key_count(info), *there).alias("from_sources"))
 
 
 @query(
@@ -389,24 +392,34 @@ def format_currency(spark, d):
 
 @query(
     """SELECT c_custkey, '?stock=' || c_custkey || '#' || c_name AS link, CASE WHEN c_acctbal >= 7 THEN 'green' WHEN c_acctbal >= 4 THEN 'yellow' ELSE 'red' END AS band, CASE WHEN c_acctbal >= 0 THEN '+' ELSE '' END || printf('%.1f', c_acctbal) || '%' AS change,
-  CASE WHEN c_nationkey % 2 = 0 THEN 'NSE' ELSE 'BSE' END AS exchange, 'Growth Potential' AS label, CASE WHEN length(c_name) > 10 THEN left(c_name, 7) || '...' ELSE c_name END AS short FROM customer"""
+  CASE WHEN c_nationkey % 2 = 0 THEN 'NSE' ELSE 'BSE' END AS exchange, upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) || ' Potential' AS label, CASE WHEN length(c_name) > 10 THEN left(c_name, 7) || '...' ELSE c_name END AS short FROM customer"""
 )
 def format_labels(spark, d):
     c = table(spark, d, "customer")
     suffix = F.concat("c_name", F.when(F.col("c_nationkey") % 2 == 0, ".NS").otherwise(".BO"))
-    return c.select("c_custkey", expr.detail_link(F.col("c_custkey").cast("string"), F.col("c_name")).alias("link"), expr.score_band(F.col("c_acctbal")).alias("band"), expr.format_return(F.col("c_acctbal")).alias("change"), expr.exchange(suffix).alias("exchange"), expr.title_label(F.when(F.col("c_custkey") >= 0, "growth_potential")).alias("label"), expr.truncate(F.col("c_name"), 10).alias("short"))
+    return c.select("c_custkey", expr.detail_link(F.col("c_custkey").cast("string"), F.col("c_name")).alias("link"), expr.score_band(F.col("c_acctbal")).alias("band"), expr.format_return(F.col("c_acctbal")).alias("change"), expr.exchange(suffix).alias("exchange"), expr.title_label(F.concat(F.lower("c_mktsegment"), F.lit("_potential"))).alias("label"), expr.truncate(F.col("c_name"), 10).alias("short"))
 
 
 @query("WITH s AS (SELECT conv_id, turn, string_split(text, ' ') AS w FROM conversations), e AS (SELECT conv_id, turn, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM s) SELECT conv_id, count(*) AS words, max(length(word))::BIGINT AS longest, sum(pos)::BIGINT AS positions FROM e GROUP BY conv_id")
 def array_explode(spark, d):
-    words = table(spark, d, "conversations").select("conv_id", F.posexplode_outer(F.split("text", " ")).alias("pos", "word"))
-    return words.groupBy("conv_id").agg(F.count("*").alias("words"), F.max(F.length("word")).cast("bigint").alias("longest"), F.sum("pos").alias("positions"))
+    words = enrich.list_rows(table(spark, d, "conversations").select("conv_id", "turn", F.split("text", " ").alias("words")), ["conv_id", "turn"], ["words"])
+    return words.groupBy("conv_id").agg(F.count("*").alias("words"), F.max(F.length("text")).cast("bigint").alias("longest"), F.sum("position").alias("positions"))
 
 
 @query("SELECT p_partkey, 'brand' AS metric, p_brand AS value FROM part UNION ALL SELECT p_partkey, 'type', p_type FROM part UNION ALL SELECT p_partkey, 'name', p_name FROM part")
 def metrics_unpivot(spark, d):
-    part = table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("brand"), F.col("p_type").alias("type"), F.col("p_name").alias("name"))
-    return part.unpivot("p_partkey", ["brand", "type", "name"], "metric", "value")
+    part = table(spark, d, "part").select("p_partkey", F.struct(F.col("p_brand").alias("brand"), F.col("p_type").alias("type"), F.col("p_name").alias("name")).alias("m"))
+    return enrich.metric_rows(part, ["p_partkey"], "m")
+
+
+@query("SELECT c_custkey, l AS list, CASE WHEN n > 0 THEN pos::INT END AS position, CASE WHEN n > 0 THEN l || pos END AS text FROM customer, (VALUES ('key_strengths', 4), ('key_risks', 3)) v(l, m), LATERAL (SELECT c_custkey % m AS n), LATERAL (SELECT unnest(range(greatest(n, 1))) AS pos)")
+def detail_lists(spark, d):
+    def some(name, most):
+        n = (F.col("c_custkey") % most).cast("int")
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.concat(F.lit(name), i.cast("string")))).otherwise(F.when(F.col("c_custkey") % 2 == 0, F.array().cast("array<string>"))).alias(name)
+
+    c = table(spark, d, "customer")
+    return enrich.list_rows(c.select("c_custkey", some("key_strengths", 4), some("key_risks", 3)), ["c_custkey"], ["key_strengths", "key_risks"])
 
 
 def faulty(spark, d):
@@ -419,8 +432,8 @@ def faulty(spark, d):
     return rows.withColumns({"score": score, "recommendation": rec, "thesis": thesis})
 
 
-def all_issues(spark, d):
-    rows = faulty(spark, d)
+def all_issues(spark, d, rows=None):
+    rows = stage.written(faulty(spark, d), "faulty-ratings") if rows is None else rows  # one scan and aggregation for all checks
     return audit.union([audit.row_issues(rows, F.concat_ws("/", F.col("symbol").cast("string"), "persona"), thesis="thesis"), audit.table_issues(rows, "symbol", "persona", RATERS, ("AF", "RF"), 3, 11.0), audit.duplicate_issues(rows, F.col("thesis"), "symbol")])
 
 
@@ -459,19 +472,40 @@ SELECT *, round(total * 100.0 / files, 6) AS issue_rate, round(critical * 100.0
   WHEN critical * 100.0 / files < 5 THEN 'C' WHEN critical * 100.0 / files < 10 THEN 'D' ELSE 'F' END AS grade FROM t"""
 )
 def audit_grade(spark, d):
-    return audit.audit_grade(all_issues(spark, d), faulty(spark, d)).withColumns({c: F.round(c, 6) for c in ("issue_rate", "critical_rate")})
+    rows = stage.written(faulty(spark, d), "faulty-ratings")
+    return audit.audit_grade(all_issues(spark, d, rows), rows).withColumns({c: F.round(c, 6) for c in ("issue_rate", "critical_rate")})
 
 
 @query(
-    """SELECT p_partkey AS symbol, s_suppkey AS persona, 'Company: ' || p_name || chr(10) || 'Sector: ' || p_brand || chr(10) || 'Issue: N/A' || chr(10) || chr(10) ||
-  'VALUATION:' || chr(10) || '  P/E (TTM): ' || printf('%.2f', p_size::DOUBLE) || CASE WHEN p_size > 25 THEN chr(10) || chr(10) || 'PROFITABILITY:' || chr(10) || '  ROE: ' || printf('%.1f', p_size / 100.0 * 100) || '%' ELSE '' END || chr(10) || chr(10) || 'BUSINESS: ' || p_type || chr(10) || chr(10) || 'Score 0-10.' AS prompt
-FROM part CROSS JOIN supplier WHERE s_suppkey <= 2"""
+    """WITH f AS (SELECT l_partkey AS symbol, year(l_shipdate)::VARCHAR AS period, count(*) * 100000 AS v FROM lineitem GROUP BY ALL),
+i AS (SELECT symbol, '  Net Income: ' || string_agg(period || ': ' || printf('%.1f', v / 1e5) || ' L', ' | ' ORDER BY period DESC) AS line FROM f GROUP BY symbol)
+SELECT p_partkey AS symbol, r_name AS persona, 'Company: ' || p_name || chr(10) || 'Sector: ' || p_brand || chr(10) || 'Issue: N/A' || chr(10) || chr(10) ||
+  CASE WHEN p_size % 10 = 0 AND line IS NULL THEN 'LIMITED DATA AVAILABLE — This is a recent IPO with minimal public financial history.' ELSE
+  array_to_string(list_filter([
+    CASE WHEN p_size % 10 <> 0 THEN 'VALUATION:' || chr(10) || '  P/E (TTM): ' || printf('%.2f', p_size::DOUBLE) || chr(10) || '  Price/Sales: ' || p_size || CASE WHEN p_size % 2 = 1 THEN chr(10) || '  EV/EBITDA: ' || printf('%.2f', p_size / 4.0) ELSE '' END END,
+    CASE WHEN p_size % 10 <> 0 AND p_size > 25 THEN 'PROFITABILITY:' || chr(10) || '  ROE: ' || printf('%.1f', p_size / 100.0 * 100) || '%' || chr(10) || '  Gross Margin: ' || printf('%.1f', p_size / 200.0 * 100) || '%' END,
+    CASE WHEN p_size % 10 <> 0 THEN 'BALANCE SHEET & CASH FLOW:' || chr(10) || '  Total Cash: ' || printf('%.1f', p_size * 1e5 / 1e5) || ' L' || chr(10) || '  Book Value/Share: INR ' || printf('%.2f', p_size / 5.0) END,
+    CASE WHEN p_size % 10 <> 0 AND p_size > 40 THEN 'SHAREHOLDING:' || chr(10) || '  Institutional Holding: ' || printf('%.1f', p_size / 100.0 * 100) || '%' END,
+    CASE WHEN line IS NOT NULL THEN 'INCOME STATEMENT (available years):' || chr(10) || line END,
+    CASE WHEN p_size % 10 <> 0 THEN 'BUSINESS: ' || p_type END], lambda x: x IS NOT NULL), chr(10) || chr(10)) END || chr(10) || chr(10) || 'Score 0-10.' AS prompt
+FROM part CROSS JOIN region LEFT JOIN i ON symbol = p_partkey"""
 )
 def prompt_set(spark, d):
-    part = table(spark, d, "part").select(F.col("p_partkey").alias("symbol"), "p_name", "p_brand", "p_type", F.lit(None).cast("double").alias("issue"), F.col("p_size").cast("double").alias("pe"), F.when(F.col("p_size") > 25, F.col("p_size") / 100).alias("roe"))
-    raters = table(spark, d, "supplier").where("s_suppkey <= 2").select(F.col("s_suppkey").alias("persona"))
-    items = joins.work_items(part, raters)
-    summary = enrich.financial_summary(items.columns, about="p_type")
+    size = F.col("p_size")
+    some = size % 10 != 0
+
+    def where(test, value):
+        return F.when(test, value)
+
+    part = table(spark, d, "part").select(
+        F.col("p_partkey").alias("symbol"), "p_name", "p_brand", where(some, F.col("p_type")).alias("about"), F.lit(None).cast("double").alias("issue"), where(some, size.cast("double")).alias("pe"), where(some, size).alias("price_to_sales"),
+        where(some & (size % 2 == 1), size / 4).alias("ev_to_ebitda"), where(some & (size > 25), size / 100).alias("roe"), where(some & (size > 25), size / 200).alias("gross_margin"), where(some, size * 1e5).alias("total_cash"),
+        where(some, size / 5).alias("book_value"), where(some & (size > 40), size / 100).alias("institutions"),
+    )
+    facts = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("symbol"), F.year("l_shipdate").cast("string").alias("period")).agg((F.count("*") * 100000).cast("double").alias("value"))
+    lines = enrich.statement_lines(facts.withColumn("metric", F.lit("Net Income")), ["symbol"])
+    items = joins.work_items(joins.left_enrich(part, lines, ["symbol"]), table(spark, d, "region").select(F.col("r_name").alias("persona")))
+    summary = enrich.financial_summary(items, about="about", facts="lines")
     return enrich.prompt_set(items, [("Company", "p_name"), ("Sector", "p_brand"), ("Issue", "issue")], summary, "Score 0-10.").select("symbol", "persona", "prompt")
 
 
@@ -578,20 +612,9 @@ def upsert_documents(spark, d):
     return documents.upsert_documents(c, new, ["c_custkey"])
 
 
-def shared(spark, name):
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="scorefold-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 def event_parts(spark, d):
     """The events as ratings, split over files that a stream reads one after the other."""
-    path = shared(spark, "event-parts")
+    path = stage.new_path(spark, "event-parts")
     rows = table(spark, d, "events").select(F.col("user_id").alias("symbol"), F.col("event_type").alias("persona"), (F.col("event_id") % 11).alias("score"), "event_id")
     rows.repartition(4).write.parquet(path)
     return streams.stream_files(spark, path, "symbol long, persona string, score long, event_id long", files_per_batch=2)
@@ -599,16 +622,264 @@ def event_parts(spark, d):
 
 @query("WITH l AS (SELECT user_id AS symbol, event_type, event_id % 11 AS score FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1) SELECT symbol, sum(score)::BIGINT AS composite_score, count(*) AS coverage, CASE WHEN sum(score) >= 36 THEN 'BUY' WHEN sum(score) >= 24 THEN 'HOLD' ELSE 'AVOID' END AS consensus_recommendation FROM l GROUP BY symbol")
 def stream_ratings(spark, d):
-    path = shared(spark, "stream-ratings")
+    path = stage.new_path(spark, "stream-ratings")
     streams.stream_ratings(event_parts(spark, d), f"{path}/table", f"{path}/checkpoint", ["symbol", "persona"], ["event_id"]).awaitTermination()
-    return rollup.composite_scores(spark.read.parquet(f"{path}/table"), "symbol", buy=BUY, hold=HOLD)
+    streams.compact_ratings(spark, f"{path}/table", ["symbol", "persona"], ["event_id"], f"{path}/compact")
+    return rollup.composite_scores(documents.read_table(spark, f"{path}/compact"), "symbol", buy=BUY, hold=HOLD)
 
 
 @query("SELECT user_id AS symbol, sum(event_id % 11)::BIGINT AS composite_score, count(*) AS coverage, CASE WHEN sum(event_id % 11) >= 36 THEN 'BUY' WHEN sum(event_id % 11) >= 24 THEN 'HOLD' ELSE 'AVOID' END AS consensus_recommendation FROM events GROUP BY user_id")
 def stream_composite(spark, d):
-    path = shared(spark, "stream-composite")
+    path = stage.new_path(spark, "stream-composite")
     streams.run_to_table(streams.stream_composite(event_parts(spark, d), "symbol", buy=BUY, hold=HOLD), f"{path}/table", f"{path}/checkpoint")
-    return spark.read.parquet(f"{path}/table")
+    return documents.read_table(spark, f"{path}/table")
+
+
+SCREEN_SQL = {
+    "deep_value": ["price < sqrt(CASE WHEN eps > 0 AND book_value > 0 THEN 22.5 * eps * book_value END)", "pe < 15", "price / nullif(book_value, 0) < 1.5", "current_ratio > 2", "debt_to_equity < 0.5", "dividend_yield > 0.02"],
+    "earnings_quality": ["roic > 0.15", "fcf / nullif(net_income, 0) > 0.8", "debt / nullif(ebitda, 0) < 2.5"],
+    "growth_quality": ["revenue_growth >= 0.2", "earnings_growth >= 0.2", "roe > 0.2", "debt_to_equity < 0.5"],
+    "risk_first": ["fcf / nullif(market_cap, 0) > 0.06", "debt / nullif(ebitda, 0) < 3"],
+    "owner_growth": ["pe BETWEEN 12 AND 25", "revenue_growth >= 0.12", "roe > 0.15", "debt_to_equity < 0.6", "promoter > 0.5"],
+    "conservative": ["pe BETWEEN 12 AND 20", "roe > 0.15", "debt_to_equity < 0.3", "current_ratio > 1.5", "fcf / nullif(market_cap, 0) > 0.05", "promoter > 0.55"],
+    "small_cap": ["market_cap_cr BETWEEN 100 AND 1000", "pe BETWEEN 8 AND 15", "revenue_growth >= 0.15", "debt_to_equity < 0.4", "promoter > 0.5"],
+}
+#: Ratios of the screens as whole-number remainders of the part's key, null where a remainder is 0; the same text on both sides.
+MEASURES = {
+    "price": "nullif(p_partkey % 7, 0) * 20.0", "eps": "(p_partkey % 5 - 1) * 2.0", "book_value": "(p_partkey % 9 - 1) * 10.0", "pe": "nullif(p_partkey % 31, 0) * 1.0", "current_ratio": "nullif(p_partkey % 6, 0) / 2.0", "debt_to_equity": "nullif(p_partkey % 11, 0) / 16.0",
+    "dividend_yield": "nullif(p_partkey % 8, 0) / 128.0", "roic": "nullif(p_partkey % 13, 0) / 64.0", "fcf": "(p_partkey % 10 - 3) * 1.0", "net_income": "(p_partkey % 12) * 1.0", "debt": "(p_partkey % 17) * 1.0", "ebitda": "(p_partkey % 4) * 2.0",
+    "revenue_growth": "nullif(p_partkey % 19, 0) / 64.0", "earnings_growth": "nullif(p_partkey % 23, 0) / 64.0", "roe": "nullif(p_partkey % 29, 0) / 128.0", "market_cap": "(p_partkey % 3) * 32.0", "promoter": "nullif(p_partkey % 37, 0) / 64.0", "market_cap_cr": "nullif(p_partkey % 14, 0) * 90.0",
+}
+
+
+@query(
+    "WITH v AS (SELECT p_partkey, " + ", ".join(f"({e})::DOUBLE AS {n}" for n, e in MEASURES.items()) + " FROM part), r AS ("
+    + " UNION ALL ".join(f"SELECT p_partkey, '{n}' AS screen, [{', '.join(rules_)}] AS t FROM v" for n, rules_ in SCREEN_SQL.items())
+    + ") SELECT p_partkey AS symbol, screen, len(list_filter(t, lambda x: x))::INT AS passed, len(list_filter(t, lambda x: x IS NOT NULL))::INT AS known, array_to_string(list_transform(t, lambda x: CASE WHEN x THEN 'pass' WHEN NOT x THEN 'fail' ELSE 'unknown' END), ',') AS outcome FROM r"
+)
+def threshold_screens(spark, d):
+    v = table(spark, d, "part").select(F.col("p_partkey").alias("symbol"), *[F.expr(f"cast({e} AS double)").alias(n) for n, e in MEASURES.items()])
+    out = v
+    for name in SCREEN_SQL:
+        out = rules.apply_screen(out, name)
+    each = [F.struct(F.lit(n).alias("screen"), F.col(f"{n}_passed").alias("passed"), F.col(f"{n}_known").alias("known"), F.concat_ws(",", *[f"{n}_{rule}" for rule in rules.SCREENS[n]]).alias("outcome")) for n in SCREEN_SQL]
+    return out.select("symbol", F.explode(F.array(*each)).alias("s")).select("symbol", "s.*")
+
+
+@query(W + "SELECT symbol, persona, score, band, persona || ' ' || meaning AS meaning FROM ratings, (VALUES ('9-10', 9, 10, 'exceptional'), ('7-8', 7, 8, 'good'), ('4-6', 4, 6, 'average'), ('2-3', 2, 3, 'weak'), ('0-1', 0, 1, 'poor')) v(band, low, high, meaning) WHERE score BETWEEN low AND high")
+def rubric_by_rater(spark, d):
+    view = ratings(spark, d)
+    general = spark.createDataFrame(list(rules.BANDS), "band string, low int, high int, meaning string")
+    own = general.crossJoin(F.broadcast(spark.createDataFrame([(r,) for r in RATERS], "persona string")))
+    own = own.withColumn("meaning", F.concat_ws(" ", "persona", "meaning"))
+    return rules.rubric_band(view, "score", "persona", own).select("symbol", "persona", "score", "band", "meaning")
+
+
+def analysis_text(spark, d):
+    """One rater's answer as JSON for each supplier and return flag, with faults planted by the supplier's number."""
+    rows = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("k"), F.col("l_returnflag").alias("persona")).agg((F.sum(F.col("l_quantity").cast("bigint")) % 11).alias("score"))
+    k = F.col("k")
+
+    def quoted(c):
+        return F.concat(F.lit('"'), c, F.lit('"'))
+
+    score = F.when(k % 13 == 0, "4.5").when(k % 13 == 1, '"4"').when(k % 13 == 2, "12").when(k % 13 == 3, "3.0").when(k % 13 == 4, "null").otherwise(F.col("score").cast("string"))
+    rec = F.when(k % 11 == 0, quoted(F.lit("MAYBE"))).when(k % 11 == 1, "5").when(k % 11 == 2, "null").otherwise(quoted(recommendation(F.col("score"))))
+    risks = F.when(k % 7 == 0, "[]").otherwise('["debt"]')
+    thesis = F.when(k % 5 == 0, quoted(F.lit(" too short "))).otherwise(quoted(F.concat(F.lit("thesis of supplier number "), k.cast("string"))))
+    metrics = F.when(k % 17 == 0, "[]").when(k % 17 == 1, '{"moat_strength": "huge", "management_quality": "good", "financial_health": "good", "valuation": "fair"}').otherwise('{"moat_strength": "weak", "management_quality": "good", "financial_health": "good", "valuation": "fair", "growth_potential": "low"}')
+    metrics = F.when(k % 17 == 2, F.replace(metrics, F.lit("}"), F.lit(', "luck": "good"}'))).otherwise(metrics)
+    flags = F.when(k % 19 == 0, "").otherwise('"red_flags": [], ')
+    body = F.concat(F.lit('{"score": '), score, F.lit(', "recommendation": '), rec, F.lit(', "investment_thesis": '), thesis, F.lit(', "key_strengths": ["name"], "key_risks": '), risks, F.lit(", "), flags, F.lit('"detailed_analysis": "a text of more than twenty characters", "metrics_evaluated": '), metrics, F.when(k % 23 == 0, "").otherwise("}"))
+    return rows.select("k", "persona", F.col("score").alias("true_score"), body.alias("response"))
+
+
+ANSWERS = """a AS (SELECT l_suppkey AS k, l_returnflag AS persona, sum(trunc(l_quantity))::BIGINT % 11 AS s FROM lineitem GROUP BY ALL),
+b AS (SELECT *, k % 23 = 0 AS broken, CASE WHEN k % 13 IN (0, 1, 2, 4) THEN NULL WHEN k % 13 = 3 THEN 3 ELSE s END AS score, CASE WHEN k % 11 IN (0, 1, 2) THEN NULL WHEN s >= 6 THEN 'BUY' WHEN s >= 4 THEN 'HOLD' ELSE 'AVOID' END AS rec FROM a),
+c AS (SELECT *, score IS NOT NULL AND rec IS NOT NULL AND ((rec = 'BUY' AND score <= 3) OR (rec = 'AVOID' AND score >= 8) OR (rec = 'HOLD' AND (score >= 9 OR score <= 1))) AS clash FROM b)"""
+
+
+@query(
+    "WITH " + ANSWERS + """, i AS (
+  SELECT k, persona, 'parse_errors' AS category FROM c WHERE broken
+  UNION ALL SELECT k, persona, 'missing_fields' FROM c WHERE NOT broken AND k % 29 = 0
+  UNION ALL SELECT k, persona, 'missing_fields' FROM c WHERE NOT broken AND k % 29 <> 0 AND k % 19 = 0
+  UNION ALL SELECT k, persona, 'missing_fields' FROM c WHERE NOT broken AND k % 29 <> 0 AND k % 17 = 1
+  UNION ALL SELECT k, persona, 'score_out_of_range' FROM c WHERE NOT broken AND k % 29 <> 0 AND k % 13 IN (0, 1, 2)
+  UNION ALL SELECT k, persona, 'invalid_recommendation' FROM c WHERE NOT broken AND k % 29 <> 0 AND k % 11 IN (0, 1)
+  UNION ALL SELECT k, persona, 'score_recommendation_mismatch' FROM c WHERE NOT broken AND k % 29 <> 0 AND clash
+  UNION ALL SELECT k, persona, 'empty_arrays' FROM c WHERE NOT broken AND k % 29 <> 0 AND k % 7 = 0
+  UNION ALL SELECT k, persona, 'empty_strings' FROM c WHERE NOT broken AND k % 29 <> 0 AND k % 5 = 0
+  UNION ALL SELECT k, persona, 'invalid_metric_values' FROM c WHERE NOT broken AND k % 29 <> 0 AND k % 17 IN (0, 1, 2))
+SELECT 'S' || k || '/' || persona AS key, category, count(*) AS n FROM i GROUP BY ALL"""
+)
+def file_issues(spark, d):
+    """Answers as files {symbol}/{persona}.json, read back and checked."""
+    rows = analysis_text(spark, d)
+    body = F.when(F.col("k") % 29 == 0, F.replace("response", F.lit('{"score"'), F.lit('{"analysis": null, "other": {"score"'))).otherwise(F.concat(F.lit('{"analysis": '), "response"))
+    files = rows.select(F.concat(F.lit("S"), F.col("k").cast("string"), F.lit("/"), "persona", F.lit(".json")).alias("name"), F.concat(body, F.when(F.col("k") % 23 == 0, "").otherwise("}")).alias("text"))
+    folder = stage.new_path(spark, "rater-files")
+    documents.write_documents(files, folder, "name", "text").write.format("noop").mode("overwrite").save()
+    found = audit.document_issues(documents.read_ratings(spark, folder))
+    return found.groupBy("key", "category").agg(F.count("*").alias("n"))
+
+
+@query(
+    "WITH " + ANSWERS + """ SELECT k, persona, CASE WHEN broken THEN 'unparseable' WHEN score IS NULL THEN 'score' WHEN rec IS NULL THEN 'recommendation' WHEN k % 19 = 0 THEN 'missing_fields' WHEN clash THEN 'score_recommendation_mismatch'
+  WHEN k % 17 = 1 THEN 'invalid_metric_values' WHEN k % 17 IN (0, 2) THEN 'invalid_metric_values' WHEN k % 7 = 0 THEN 'empty_arrays' WHEN k % 5 = 0 THEN 'empty_strings' END AS reason, CASE WHEN reason IS NULL THEN score END::INT AS score FROM c"""
+)
+def accepted_answers(spark, d):
+    taken, rest = enrich.ingest_responses(analysis_text(spark, d), ["k", "persona"], whole=True)
+    return taken.select("k", "persona", F.lit(None).cast("string").alias("reason"), "score").unionByName(rest.select("k", "persona", "reason", F.lit(None).cast("int").alias("score")))
+
+
+@query("SELECT 'S' || s_suppkey AS symbol, s_name AS name, round(s_acctbal, 2) AS price, CASE WHEN s_suppkey % 3 = 0 THEN 'Unknown' WHEN s_suppkey % 3 = 1 THEN NULL ELSE 'x' END AS sector, 2 + (s_suppkey % 3 <> 0)::INT AS n_keys FROM supplier WHERE s_suppkey % 5 <> 0")
+def stock_documents(spark, d):
+    """Documents as files {symbol}.json, read back; broken ones have no document. Bulky keys are left out of the info."""
+    k = F.col("s_suppkey")
+    sector = F.when(k % 3 == 0, "").when(k % 3 == 1, ', "sector": null').otherwise(', "sector": "x"')
+    info = F.concat(F.lit('{"name": "'), "s_name", F.lit('", "price": '), F.round("s_acctbal", 2).cast("string"), sector, F.lit("}"))
+    files = table(spark, d, "supplier").select(F.concat(F.lit("S"), k.cast("string"), F.lit(".json")).alias("name"), F.concat(F.lit('{"info": '), info, F.when(k % 5 == 0, "").otherwise("}")).alias("text"))
+    folder = stage.new_path(spark, "stock-files")
+    documents.write_documents(files, folder, "name", "text").write.format("noop").mode("overwrite").save()
+    docs = documents.read_documents(spark, folder).where("doc IS NOT NULL")
+    keys = F.to_json(F.try_variant_get("doc", "$.info", "variant"))
+    return docs.select("symbol", expr.get(F.col("doc"), "$.info.name", "string").alias("name"), expr.get(F.col("doc"), "$.info.price", "double").alias("price"), expr.get_or_unknown(F.col("doc"), "$.info.sector").alias("sector"), expr.key_count(keys).alias("n_keys"))
+
+
+@query("SELECT 'P' || p_partkey AS symbol, p_name AS company_name, p_size::DOUBLE AS issue_price FROM part")
+def listing_envelope(spark, d):
+    """A registry written as one document per brand, {metadata, stocks}, and read back as rows."""
+    part = table(spark, d, "part")
+    stock = F.struct(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("symbol"), F.col("p_name").alias("company_name"), F.col("p_size").cast("double").alias("issue_price"))
+    bodies = part.groupBy("p_brand", F.pmod(F.xxhash64("p_partkey"), F.lit(64)).alias("salt")).agg(F.to_json(F.struct(F.struct(F.count("*").cast("int").alias("total_count")).alias("metadata"), F.collect_list(stock).alias("stocks"))).alias("text"))
+    folder = stage.new_path(spark, "registry")
+    bodies.select("text").write.text(folder)
+    return documents.read_envelope_lines(spark, folder).select("symbol", "company_name", "issue_price")
+
+
+@query(W + "SELECT (SELECT count(*) FROM scores) AS total, 'sum' AS method, row_number() OVER (ORDER BY composite_score DESC, symbol) AS rank, symbol, composite_score FROM scores")
+def export_envelope(spark, d):
+    ranked = rollup.rank_scores(scores(spark, d))
+    text = documents.export_scores_json(ranked.select("rank", "symbol", "composite_score"), RATERS)
+    body = F.from_json("json", "total bigint, method string, stocks array<struct<symbol:bigint,composite_score:bigint>>")
+    rows = text.select(body.alias("e")).select("e.total", "e.method", F.posexplode("e.stocks").alias("pos", "s"))
+    return rows.select("total", "method", (F.col("pos") + 1).cast("bigint").alias("rank"), "s.symbol", "s.composite_score")
+
+
+@query("SELECT c_custkey, round(c_acctbal * 2, 2) AS c_acctbal FROM customer")
+def table_versions(spark, d):
+    """A table refreshed twice; readers see the last whole version."""
+    c = table(spark, d, "customer").select("c_custkey", "c_acctbal")
+    path = stage.new_path(spark, "versions")
+    documents.write_table(c, path)
+    documents.write_table(documents.read_table(spark, path).withColumn("c_acctbal", F.round(F.col("c_acctbal") * 2, 2)), path)
+    return documents.read_table(spark, path)
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'error' ELSE 'success' END AS fetch_status, CASE WHEN c_custkey % 4 = 0 THEN 'none' ELSE 'full' END AS data_quality, false AS pending FROM customer WHERE c_custkey % 6 <> 0 UNION ALL SELECT c_custkey, NULL, NULL, true FROM customer WHERE c_custkey % 6 = 0")
+def quarantined(spark, d):
+    """Failed fetches leave error rows, which count as done."""
+    c = table(spark, d, "customer").select("c_custkey")
+    fetched = c.where("c_custkey % 6 <> 0").withColumns({"fetch_status": F.lit("success"), "data_quality": F.lit("full")})
+    good, bad = documents.quarantine(fetched, F.col("c_custkey") % 4 != 0)
+    done = good.unionByName(bad)
+    left = documents.pending(c, done, ["c_custkey"]).withColumns({"fetch_status": F.lit(None).cast("string"), "data_quality": F.lit(None).cast("string"), "pending": F.lit(True)})
+    return done.withColumn("pending", F.lit(False)).unionByName(left)
+
+
+@query(
+    """WITH c AS (SELECT c_custkey AS k, c_custkey % 4 AS q FROM customer)
+SELECT 'unresolved' AS test, k FROM c WHERE k % 3 <> 0 AND k % 5 <> 0 UNION ALL SELECT 'incomplete', k FROM c WHERE q IN (1, 2) UNION ALL SELECT 'analyzable', k FROM c WHERE q = 0 AND k % 7 <> 0
+UNION ALL SELECT 'by_key', k FROM c WHERE q = 3 AND k % 7 = 1 UNION ALL (SELECT 'limited', k FROM c ORDER BY k DESC LIMIT 25) UNION ALL SELECT 'all', k FROM c UNION ALL SELECT DISTINCT 'options', q FROM c UNION ALL SELECT 'pages', k FROM c WHERE q = 0 UNION ALL SELECT 'pages', k FROM c WHERE q < 2"""
+)
+def selections(spark, d):
+    k = F.col("k")
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("k")).withColumns({
+        "q": k % 4, "yf_symbol": F.when(k % 3 == 0, F.lit(None)).when(k % 5 == 0, "").otherwise("x"), "data_quality": F.element_at(F.array(*map(F.lit, ("full", "partial", "minimal", "limited"))), (k % 4 + 1).cast("int")),
+        "fetch_status": F.when(k % 7 == 0, "error").when(k % 7 != 1, "success"),
+    })
+    parts = {
+        "unresolved": screen.drop_unresolved(c), "incomplete": screen.only_incomplete(c, c, "k"), "analyzable": screen.analyzable(c), "by_key": screen.by_key(c.withColumn("r", k % 7), q=3, r=1), "limited": screen.limit_items(c.withColumn("o", -k), 25, ["o"]),
+        "all": screen.limit_items(c, 0, ["k"]), "options": screen.options(c, "q").select(F.col("q").alias("k")), "pages": joins.union_pages(c.where("q = 0"), c.where("q < 2")),
+    }
+    return joins.union_pages(*[df.select(F.lit(name).alias("test"), "k") for name, df in parts.items()])
+
+
+@query(
+    """SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 AND c_custkey % 4 = 0 THEN 'N' || c_custkey WHEN c_custkey % 3 <> 0 AND c_custkey % 4 = 1 THEN c_custkey::VARCHAR ELSE 'id' || c_custkey END AS identifier,
+  CASE WHEN c_custkey % 3 = 0 OR c_custkey % 4 = 0 THEN 'symbol' WHEN c_custkey % 4 = 1 THEN 'bse_code' ELSE 'screener_id' END AS id_type FROM customer"""
+)
+def resolved_ids(spark, d):
+    """Identifiers resolved by the codes named on each company's page."""
+    k = F.col("c_custkey")
+    c = table(spark, d, "customer").select("c_custkey")
+    listing = c.withColumns({"identifier": F.concat(F.lit("id"), k.cast("string")), "id_type": F.when(k % 3 == 0, "symbol").otherwise("screener_id")})
+    text = F.when(k % 4 == 0, F.concat(F.lit("BSE: 77 NSE: N"), k.cast("string"))).when(k % 4 == 1, F.concat(F.lit("BSE - SME: "), k.cast("string"))).when(k % 4 == 2, "no codes")
+    pages = c.where(k % 8 != 7).select("c_custkey", parse.page_ids(text).alias("p")).select("c_custkey", "p.nse", "p.bse")
+    return joins.resolve_ids(listing, pages, "c_custkey")
+
+
+@query(
+    """WITH c AS (SELECT o_orderkey, CASE o_orderkey % 9 WHEN 0 THEN NULL WHEN 1 THEN 'nan'::DOUBLE WHEN 2 THEN -'inf'::DOUBLE ELSE round(o_totalprice, 2) END AS v FROM orders), f AS (SELECT o_orderkey, CASE WHEN isfinite(v) THEN v END AS v FROM c)
+SELECT o_orderkey, v AS finite, coalesce(CASE WHEN v * 10 >= 100000 THEN printf('%.2f', v * 10 / 100000) || 'L Cr' WHEN v * 10 >= 10000 THEN printf('%.1f', v * 10 / 1000) || 'K Cr' ELSE format('{:,}', round_even(v * 10, 0)::BIGINT) || ' Cr' END, 'N/A') AS cap,
+  coalesce('₹' || format('{:,}', trunc(v)::BIGINT) || right(printf('%.2f', v), 3), 'N/A') AS price, coalesce(printf('%.1f', v / 1000), 'N/A') AS pe FROM f"""
+)
+def format_figures(spark, d):
+    k = F.col("o_orderkey")
+    v = F.when(k % 9 == 0, F.lit(None).cast("double")).when(k % 9 == 1, float("nan")).when(k % 9 == 2, float("-inf")).otherwise(F.round("o_totalprice", 2))
+    rows = screen.finite(table(spark, d, "orders").select("o_orderkey", v.alias("v"), v.alias("finite")), ["finite"])
+    return rows.select("o_orderkey", "finite", expr.format_market_cap(F.col("v") * 10).alias("cap"), expr.format_price(F.col("v")).alias("price"), expr.format_pe(F.col("v") / 1000).alias("pe"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'b,d' ELSE 'd' END AS kept FROM orders")
+def dropped_fields(spark, d):
+    k = F.col("o_orderkey")
+    fields = F.when(k % 2 == 0, F.create_map(*[F.lit(x) for x in "a1b2c3d4"])).otherwise(F.create_map(*[F.lit(x) for x in "c3d4"]))
+    return table(spark, d, "orders").select("o_orderkey", F.array_join(F.array_sort(F.map_keys(expr.drop_fields(fields, ["a", "c"]))), ",").alias("kept"))
+
+
+@query("SELECT s_suppkey, s_name || '=' || round(s_acctbal, 1) || ';P/E=' || s_suppkey AS ratios, 'first of ' || s_suppkey AS about, CASE WHEN s_suppkey % 2 = 0 THEN 'X' || s_suppkey END AS nse, CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey::VARCHAR END AS bse, 5 AS facts, 'balance_sheet,cash_flow,profit_loss,quarterly_results,shareholding' AS statements FROM supplier")
+def company_pages(spark, d):
+    """A company page's ratios, description, codes and all five statements."""
+    k = F.col("s_suppkey").cast("string")
+
+    def block(head, tail, name):
+        return F.concat(F.lit(f"{head}<table><tr><th><th>2024</tr><tr><td>{name}<td>"), k, F.lit(f"</tr></table>{tail}"))
+
+    ratios = F.concat(F.lit("<ul><li><span class='name'>P/E</span><span class='number'>0</span><li><span class='name'>P/E</span> <span class='value'>"), k, F.lit("</span><li><span class='name'>"), "s_name", F.lit("</span><span class='number'>"), F.round("s_acctbal", 1).cast("string"), F.lit("</span></ul>"))
+    codes = F.concat(F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("<p>NSE: X"), k)).otherwise(""), F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit(" BSE: "), k)).otherwise(""))
+    about = F.concat(F.lit("<div class='about'><p>first of "), k, F.lit("<p>second</div>"))
+    page = F.concat(ratios, about, block("", "", "Sales"), block("", "", "Profit"), block("<section id='balance-sheet'>", "</section>", "Assets"), block("<section id='cash-flow'>", "</section>", "Cash"), block("<section id='shareholding'>", "</section>", "Owners"))
+    rows = table(spark, d, "supplier").select("s_suppkey", page.alias("html"), parse.page_ids(codes).alias("ids"))
+    key = ["s_suppkey"]
+    items = stage.written(html.page_items(rows, key), "page-items")
+    pairs = html.html_name_value(items, key).groupBy(*key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.when(F.col("name") == "P/E", 1).otherwise(0).alias("o"), "name", "value"))), lambda p: F.concat(p["name"], F.lit("="), p["value"])), ";").alias("ratios"))
+    facts = html.company_facts_from_pages(items, key).groupBy(*key).agg(F.count("*").cast("int").alias("facts"), F.array_join(F.sort_array(F.collect_set("statement")), ",").alias("statements"))
+    return rows.select("s_suppkey", "ids.nse", "ids.bse").join(pairs, key).join(html.html_section_text(items, key), key).join(facts, key)
+
+
+@query("SELECT event_type, count(*) AS calls, round(sum(value), 4) AS total_cost, sum(event_id % 1000)::BIGINT AS total_input_tokens, sum(user_id)::BIGINT AS total_output_tokens FROM events GROUP BY event_type")
+def usage_tokens(spark, d):
+    usage = F.struct(F.struct((F.col("event_id") % 1000).alias("input_tokens"), F.col("user_id").alias("output_tokens")).alias("usage"), F.col("value").alias("total_cost_usd"), F.col("user_id").alias("duration_ms")).alias("metadata")
+    out = rollup.usage_rollup(table(spark, d, "events").select("event_type", usage), ["event_type"], "metadata.total_cost_usd", "metadata.duration_ms", ["metadata.usage.input_tokens", "metadata.usage.output_tokens"])
+    return out.select("event_type", "calls", F.round("total_cost", 4).alias("total_cost"), "total_input_tokens", "total_output_tokens")
+
+
+@query("SELECT 2 AS batches, count(*)::BIGINT AS total, round(count(*) * 100.0 / (SELECT count(*) FROM orders), 6) AS pct FROM events")
+def stream_progress(spark, d):
+    path = stage.new_path(spark, "stream-progress")
+    streams.stream_progress(event_parts(spark, d), f"{path}/notes", f"{path}/checkpoint").awaitTermination()
+    over_time = streams.progress_over_time(spark.read.parquet(f"{path}/notes"), table(spark, d, "orders"))
+    return over_time.agg(F.count("*").cast("int").alias("batches"), F.max("total").alias("total"), F.round(F.max("pct"), 6).alias("pct"))
+
+
+@query(W + "SELECT s.symbol, coalesce(r.score, 0)::BIGINT AS score, k.n AS known FROM scores s LEFT JOIN ratings r ON r.symbol = s.symbol AND r.persona = 'RO' LEFT JOIN (SELECT symbol, count(*) FILTER (persona IN ('RO', 'AF')) AS n FROM ratings GROUP BY symbol) k ON k.symbol = s.symbol")
+def rater_order(spark, d):
+    view = ratings(spark, d)
+    known = view.groupBy("symbol").agg(F.lit(0).alias("zero")).join(joins.known_raters(view, ["RO", "AF", "ZZ"], "persona").groupBy("symbol").agg(F.count("*").alias("n")), "symbol", "left")
+    wide = scores(spark, d).join(rollup.persona_scores(view, "symbol", "persona"), "symbol").join(known.select("symbol", F.coalesce("n", F.lit(0)).alias("known")), "symbol")
+    return screen.order_by_rater(wide, "RO").select("symbol", expr.map_or_zero(F.col("persona_scores"), "RO").alias("score"), "known")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Sequence
 
@@ -13,7 +14,7 @@ ANALYSIS = (
     "struct<score:double,recommendation:string,investment_thesis:string,key_strengths:array<string>,key_risks:array<string>,red_flags:array<string>,"
     "detailed_analysis:string,metrics_evaluated:struct<moat_strength:string,management_quality:string,financial_health:string,valuation:string,growth_potential:string>>"
 )
-RATING = f"symbol string, persona string, persona_display_name string, analyzed_at string, analysis {ANALYSIS}, metadata struct<duration_ms:bigint,model_used:string,total_cost_usd:double>"
+RATING = f"symbol string, persona string, persona_display_name string, analyzed_at string, analysis {ANALYSIS}, metadata struct<duration_ms:bigint,model_used:string,total_cost_usd:double,usage:struct<input_tokens:bigint,output_tokens:bigint,cache_creation_input_tokens:bigint,cache_read_input_tokens:bigint>>"
 LISTING = "symbol string, company_name string, nse_symbol string, yf_symbol string, listing_date string, issue_price double, current_price double, ipo_return_pct double, ipo_mcap_cr double, screener_url string"
 REGISTRY = f"metadata struct<generated_at:string,source:string,year:int,pages_scraped:int,total_count:int>, stocks array<struct<{', '.join(x.strip().replace(' ', ':', 1) for x in LISTING.split(','))}>>"
 
@@ -66,6 +67,11 @@ def read_envelope(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(REGISTRY).json(path, multiLine=True).select(F.inline("stocks"))
 
 
+def read_envelope_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The rows inside envelopes that stand one per line."""
+    return spark.read.schema(REGISTRY).json(path).select(F.inline("stocks"))
+
+
 def maps_to_facts(df: DataFrame, keys: Sequence[str], statements: Sequence[str]) -> DataFrame:
     """Columns of {metric: {period: value}} as long facts (keys, statement, metric, period, value); null values go."""
     parts = None
@@ -85,17 +91,53 @@ def facts_to_maps(facts: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> str:
-    """Write a full refresh beside the old version; the new folder's name is returned once the write has been committed.
+    """Write a full refresh beside the old version; the new folder's name is returned once the write has been committed, and
+    read_table shows it from then on: names rise with time, and only a committed folder holds its mark.
 
     With partition_by, only the partitions present in df are replaced, in place."""
     if partition_by:
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
         return path
-    version = f"{path}/version={uuid.uuid4().hex}"
+    version = f"{path}/version-{time.time_ns():020d}-{uuid.uuid4().hex}"
     df.write.parquet(version)
     return version
 
 
+def current_version(spark: SparkSession, path: str) -> str | None:
+    """The newest committed folder of a table written by write_table."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    marks = store.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version-*/_SUCCESS"))
+    return max((m.getPath().getParent().toString() for m in marks), default=None)
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """The table's current version; one that nothing was written to is an error."""
+    version = current_version(spark, path)
+    if version is None:
+        raise FileNotFoundError(path)
+    return spark.read.parquet(version)
+
+
+def write_documents(df: DataFrame, folder: str, name: str, text: str) -> DataFrame:
+    """One file per row, `folder/<name>` with the text; the names written come back once the job has run. A task that runs
+    again writes the same files."""
+
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        store, inner = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for file, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                store.create_dir(f"{inner}/{file}".rsplit("/", 1)[0], recursive=True)
+                with store.open_output_stream(f"{inner}/{file}") as out:
+                    out.write((body or "").encode())
+            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["file"])
+
+    return df.select(name, text).mapInArrow(run, "file string")
+
+
 def pending(left: DataFrame, done: DataFrame, keys: Sequence[str], force: bool = False) -> DataFrame:
     """Rows whose key is not done yet; force keeps all."""
     return left if force else left.join(done.select(*keys), list(keys), "left_anti")

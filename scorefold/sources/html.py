@@ -21,7 +21,7 @@ class Page(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.about, self.items, self.sections, self.tables = about, [], [], []
         self.seen_tables, self.li, self.span, self.link, self.div, self.paragraph = 0, None, None, None, [], None
-        self.pairs = self.links = 0
+        self.pairs = self.links = self.paragraphs = 0
 
     def handle_starttag(self, tag, attrs):
         attrs = dict(attrs)
@@ -110,7 +110,8 @@ class Page(HTMLParser):
 
     def close_paragraph(self):
         if self.paragraph is not None:
-            self.add("about", 0, 0, "".join(self.paragraph))
+            self.add("about", self.paragraphs, 0, "".join(self.paragraph))
+            self.paragraphs += 1
         self.paragraph = None
 
     def done(self):
@@ -161,7 +162,7 @@ def html_name_value(items: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def html_section_text(items: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, about): the first paragraph of the about section."""
-    return items.where("kind = 'about'").groupBy(*keys).agg(F.first("text").alias("about"))
+    return items.where("kind = 'about'").groupBy(*keys).agg(F.min_by("text", "row_idx").alias("about"))
 
 
 def html_links(items: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -4,43 +4,54 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scorefold.operators import rollup
+from scorefold.sources import documents
 
 
 def stream_files(spark: SparkSession, path: str, schema: str, fmt: str = "parquet", files_per_batch: int = 4, **options) -> DataFrame:
     return spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", files_per_batch).options(**options).load(path)
 
 
-def stream_ratings(stream: DataFrame, table: str, checkpoint: str, keys: Sequence[str], order: Sequence[str], buckets: int = 16):
-    """Upsert every micro-batch into a bucket-partitioned Parquet table: of each key the row of the largest order stays.
+def stream_ratings(stream: DataFrame, table: str, checkpoint: str, keys: Sequence[str], order: Sequence[str]):
+    """Append every micro-batch, its latest row of each key, as a folder of its own under `table`; the running query comes back.
 
-    Only the buckets that a batch touches are read and replaced. The write goes to a new version of each touched bucket and
-    a batch that runs again gives the same rows, since the latest row of old and new is the same. Returns the running query."""
-    spark = stream.sparkSession
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+    A batch costs what it brings, not what is there. One that runs again replaces its own folder, whose files appear when
+    the write commits, so readers never meet half of it. `latest_ratings` reads the table; `compact_ratings` keeps it short."""
 
-    def upsert(batch: DataFrame, number: int) -> None:
-        new = batch.withColumn("bucket", bucket)
-        touched = [r[0] for r in new.select("bucket").distinct().collect()]  # at most `buckets` numbers
-        if not touched:
-            return
-        try:
-            old = batch.sparkSession.read.schema(new.schema).parquet(table).where(F.col("bucket").isin(*touched))
-        except Exception as error:  # noqa: BLE001 - the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            old = new.limit(0)
-        merged = rollup.latest_rating(old.unionByName(new).drop("bucket"), keys, order).withColumn("bucket", bucket)
-        staged = f"{table}-staged/{number}"
-        merged.write.mode("overwrite").parquet(staged)
-        merged = batch.sparkSession.read.schema(new.schema).parquet(staged)
-        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(table)
+    def append(batch: DataFrame, number: int) -> None:
+        rollup.latest_rating(batch, keys, order).write.mode("overwrite").parquet(f"{table}/batch={number}")
 
-    spark.conf.get("spark.sql.shuffle.partitions")
-    return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_ratings(spark: SparkSession, table: str, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Of each key the row of the largest order over all batches: one partial aggregation."""
+    return rollup.latest_rating(spark.read.parquet(table).drop("batch"), keys, order)
+
+
+def compact_ratings(spark: SparkSession, table: str, keys: Sequence[str], order: Sequence[str], into: str) -> str:
+    """The table's latest rows as a new version of the table `into`, for readers that need no more batches."""
+    return documents.write_table(latest_ratings(spark, table, keys, order), into)
+
+
+def stream_progress(stream: DataFrame, table: str, checkpoint: str):
+    """One row (batch, at, done) per micro-batch under `table`: when it came and how many rows it brought."""
+
+    def note(batch: DataFrame, number: int) -> None:
+        batch.agg(F.lit(number).cast("long").alias("batch"), F.current_timestamp().alias("at"), F.count("*").alias("done")).write.mode("overwrite").parquet(f"{table}/number={number}")
+
+    return stream.writeStream.foreachBatch(note).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def progress_over_time(notes: DataFrame, target: int | DataFrame) -> DataFrame:
+    """(batch, at, done, total, pct): what was done after each micro-batch against a target; one row per batch."""
+    total = F.sum("done").over(Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, 0))
+    rows = notes.select("batch", "at", "done", total.alias("total"))
+    goal = target.agg(F.count("*").alias("_target")) if isinstance(target, DataFrame) else notes.sparkSession.createDataFrame([(target,)], "_target long")
+    return rows.crossJoin(F.broadcast(goal)).withColumn("pct", F.coalesce(F.try_divide(F.col("total") * 100.0, F.col("_target")), F.lit(0.0))).drop("_target")
 
 
 def stream_composite(stream: DataFrame, entity: str, score: str = "score", buy: float = 60, hold: float = 40) -> DataFrame:
@@ -51,9 +62,10 @@ def stream_composite(stream: DataFrame, entity: str, score: str = "score", buy:
 
 
 def run_to_table(df: DataFrame, path: str, checkpoint: str) -> None:
-    """Run an aggregating stream over what is there and leave its last full result as Parquet."""
+    """Run an aggregating stream over what is there; every full result is a new version of the table, so readers
+    (`documents.read_table`) see the old one until the new one is whole."""
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+        documents.write_table(batch, path)
 
     df.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
