@@ -17,9 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset in local mode (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="scorefold-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -47,6 +49,11 @@ def drop_written(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files that nothing refers to any more; it looks when the driver collects garbage."""
+    spark._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -71,6 +78,75 @@ def word_hashes(found: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
 
 
+#: Bytes that part words, and the odd multiplier of the polynomial hash of a word's bytes with its inverse modulo 2**64.
+GAPS = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+GAP = re.compile(rb"[\t-\r ]")
+BASE = 0xD6E8FEB86659FD93
+UNBASE = pow(BASE, -1, 1 << 64)
+
+
+class Powers:
+    """Powers of BASE and of its inverse, as many as were asked for so far."""
+
+    up = down = np.ones(0, np.uint64)
+
+    @classmethod
+    def get(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.up) < n:
+            cls.up, cls.down = (np.cumprod(np.r_[np.uint64(1), np.full(n - 1, x, np.uint64)]) for x in (BASE, UNBASE))
+        return cls.up[:n], cls.down[:n]
+
+
+def _hashed(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and first places of the words of lower-cased bytes, by differences of one running sum over all bytes."""
+    found = np.frombuffer(raw, np.uint8)
+    edges = np.flatnonzero(np.diff(GAPS.take(found), prepend=True, append=True))
+    starts, stops = edges[::2], edges[1::2]
+    up, down = Powers.get(max(len(found), 1))
+    total = np.zeros(len(found) + 1, np.uint64)
+    np.cumsum(up[: len(found)] * (found.astype(np.uint64) + np.uint64(1)), out=total[1:])
+    out = (total[stops] - total[starts]) * down[starts]
+    out = (out ^ (out >> np.uint64(32))) * np.uint64(0x9FB21C651E98DF25)
+    return out ^ (out >> np.uint64(29)), starts
+
+
+def hashed_words(texts: list[str | None], block: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of the texts, as words() parts them, text after text, and the number of words of each text.
+
+    About a fifth of the time of word_hashes(words(text)); the hashes are other ones. Long texts are worked on in parts of
+    about `block` bytes that end between words.
+    """
+    hashes, sizes, held, size = [np.zeros(0, np.uint64)], [], [], 0
+
+    def flush():
+        nonlocal held, size
+        found, starts = _hashed(b"\n".join(held))
+        hashes.append(found)
+        sizes.extend(np.diff(np.searchsorted(starts, np.cumsum([0, *(len(x) + 1 for x in held)]))).tolist())
+        held, size = [], 0
+
+    for text in texts:
+        raw = b"" if text is None else text.encode("utf-8", "surrogatepass").lower()
+        if len(raw) > block:
+            if held:
+                flush()
+            at = n = 0
+            while at < len(raw):
+                stop = GAP.search(raw, at + block)
+                stop = stop.start() if stop else len(raw)
+                hashes.append(_hashed(raw[at:stop])[0])
+                at, n = stop, n + len(hashes[-1])
+            sizes.append(n)
+            continue
+        held.append(raw)
+        size += len(raw)
+        if size >= block:
+            flush()
+    if held:
+        flush()
+    return np.concatenate(hashes), np.array(sizes, np.int64)
+
+
 #: Odd multiplier of the rolling hash of word sequences.
 ROLL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -86,14 +162,20 @@ def rolling(hashes: np.ndarray, n: int) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
-def bounded_sample(rows: DataFrame, key: str, most: int, seed: int = 17) -> DataFrame:
+def bounded_sample(rows: DataFrame, key: str, most: int, seed: int = 17, total: int | None = None) -> DataFrame:
     """About `most` rows, picked by a hash of the key: the same ones in every run, spread over the whole table."""
-    total = rows.count()
+    total = rows.count() if total is None else total
     if total <= most:
         return rows
     return rows.where(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 30)) < int((1 << 30) * most / total))
 
 
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts are wide rows: where Spark's default of 10,000 rows to an Arrow batch stands, batches get `rows` instead."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def with_columns_from_text(docs: DataFrame, text: str, fields: str, make) -> DataFrame:
     """docs with new columns computed from the whole text in Arrow batches; columns of those names are replaced.
 
@@ -106,6 +188,7 @@ def with_columns_from_text(docs: DataFrame, text: str, fields: str, make) -> Dat
     added = StructType.fromDDL(fields)
     kinds = [to_arrow_type(f.dataType) for f in added]
     docs = docs.drop(*[c for c in docs.columns if c in added.names])
+    text_batches(docs.sparkSession)
     keep = docs.columns
     schema = StructType([*docs.schema.fields, *added.fields])
 

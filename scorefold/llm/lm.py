@@ -56,8 +56,8 @@ def word_counts(train: DataFrame, text: str = "text", block: int = 1 << 20) -> D
             return pa.RecordBatch.from_pydict({"word": pa.array(words.view(np.int64)), "c": pa.array(counts.astype(np.int64))})
 
         for batch in batches:
-            for t in batch.column(0):
-                held.append(common.word_hashes(common.words(t.as_py())))
+            for at in range(0, batch.num_rows, 256):
+                held.append(common.hashed_words(batch.column(0).slice(at, 256).to_pylist())[0])
                 size += len(held[-1])
                 if size >= block:
                     yield out()
@@ -84,6 +84,29 @@ def hot_words(counts: DataFrame, most: int = HOT) -> tuple[np.ndarray, np.ndarra
     return words[order], c[order], least
 
 
+class HashTable:
+    """Places of hashes in an ascending array of them, by their leading bits."""
+
+    def __init__(self, words: np.ndarray, bits: int = 20):
+        self.words, self.shift = words, np.uint64(64 - bits)
+        self.first = np.searchsorted(words >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64))
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Place of each hash, -1 where it is not there."""
+        out = np.full(len(hashes), -1)
+        bucket = (hashes >> self.shift).astype(np.intp)
+        at, stop = self.first[bucket], self.first[bucket + 1]
+        left = np.flatnonzero(at < stop)
+        while len(left):
+            place = at[left]
+            hit = self.words[place] == hashes[left]
+            out[left[hit]] = place[hit]
+            left = left[~hit]
+            at[left] += 1
+            left = left[at[left] < stop[left]]
+        return out
+
+
 # --- counts of subword ids ----------------------------------------------------------------------------------------------
 
 
@@ -427,33 +450,36 @@ def encoded(docs: DataFrame, tokenizer: str, hot: tuple, ends: int, n_train: int
 
     words, counts, _ = hot
     scale = np.log10(n_train + 0.1 * (distinct + 1))
-    hot_scores = np.log10(counts + 0.1) - scale
+    hot_scores = np.log10(np.append(counts, 0) + 0.1) - scale
     end_score = float(np.log10(ends + 0.1) - scale)
 
     def run(batches):
-        coder = subwords(tokenizer)
+        coder, table = subwords(tokenizer), HashTable(words)
         kind = smallest_dtype(coder.vocabulary + 1)
         end = np.array([coder.vocabulary], kind).tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ids, base, known, total, cold_words, cold_counts = [], [], [], [], [], []
-                for t in part.column(text):
-                    t = t.as_py()
-                    ids.append(np.frombuffer(coder.ids(t), "<u4").astype(kind).tobytes() + end)
-                    found = common.word_hashes(common.words(t))
-                    place = np.minimum(np.searchsorted(words, found), max(len(words) - 1, 0))
-                    is_hot = words[place] == found if len(words) else np.zeros(len(found), bool)
-                    base.append(end_score + float(hot_scores[place[is_hot]].sum()))
-                    known.append(int(is_hot.sum()) + (ends > 0))
-                    total.append(len(found) + 1)
-                    rest, n = np.unique(found[~is_hot], return_counts=True)
-                    cold_words.append(rest.view(np.int64))
-                    cold_counts.append(n.astype(np.int32))
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts = part.column(text).to_pylist()
+                ids = [np.frombuffer(coder.ids(t), "<u4").astype(kind).tobytes() + end for t in texts]
+                found, sizes = common.hashed_words(texts)
+                owner = np.repeat(np.arange(len(texts)), sizes)
+                place = table.find(found)
+                cold = place < 0
+                base = end_score + np.bincount(owner, np.where(cold, 0, hot_scores[place]), len(texts))
+                known = np.bincount(owner, ~cold, len(texts)).astype(np.int64) + (ends > 0)
+                of, rest = owner[cold], found[cold]
+                order = np.lexsort((rest, of))
+                of, rest = of[order], rest[order]
+                first = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (rest[1:] != rest[:-1])]) if len(of) else np.zeros(0, np.intp)
+                offsets = pa.array(np.searchsorted(of[first], np.arange(len(texts) + 1)).astype(np.int32))
+                cold_words = pa.ListArray.from_arrays(offsets, pa.array(rest[first].view(np.int64)))
+                cold_counts = pa.ListArray.from_arrays(offsets, pa.array(np.diff(np.append(first, len(of))).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(doc_id), part.column(train), pa.array(ids, pa.binary()), pa.array(base), pa.array(known, pa.int64()), pa.array(total, pa.int64()), pa.array(cold_words, pa.list_(pa.int64())), pa.array(cold_counts, pa.list_(pa.int32()))],
+                    [part.column(doc_id), part.column(train), pa.array(ids, pa.binary()), pa.array(base), pa.array(known), pa.array(sizes + 1, pa.int64()), cold_words, cold_counts],
                     names=["doc_id", "train", "ids", "base", "n_known", "n_tokens", "words", "counts"],
                 )
+        coder.forget()
 
     rows = docs.select(doc_id, train, text).mapInArrow(run, "doc_id long, train boolean, ids binary, base double, n_known long, n_tokens long, words array<long>, counts array<int>")
     # the row's number is fixed once the table is written
@@ -470,6 +496,7 @@ def score(docs: DataFrame, tokenizer: str, train: str, doc_id: str = "doc_id", t
 
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(train), F.lit(False)).alias("train"), F.col(text).alias("text"))
     learned = docs.where("train")
+    common.text_batches(docs.sparkSession)
     counts = common.written(word_counts(learned), "lm-words")
     tokens, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     ends = learned.count()

@@ -154,3 +154,25 @@ def test_wide_vocabularies_keep_their_ids(spark):
     ids = np.array([70_000, 5, 70_000, 69_999, 70_000], "<u4")
     counts = lm.id_counts(spark.createDataFrame([(bytearray(ids.tobytes()),)], "ids binary"), 70_001)
     assert counts[70_000] == 3 and counts[69_999] == 1 and counts.sum() == 5
+
+
+def test_hash_table_finds_what_is_there():
+    rng = np.random.default_rng(11)
+    words = np.unique(np.concatenate([rng.integers(0, 1 << 63, 5000, dtype=np.uint64), np.arange(50, dtype=np.uint64), [np.uint64(2**64 - 1)]]))
+    asked = np.concatenate([words, rng.integers(0, 1 << 63, 5000, dtype=np.uint64)])
+    want = [int(np.searchsorted(words, h)) if h in set(words.tolist()) else -1 for h in asked[-100:].tolist()]
+    assert (lm.HashTable(words).find(asked)[: len(words)] == np.arange(len(words))).all()
+    assert lm.HashTable(words).find(asked)[-100:].tolist() == want
+    assert (lm.HashTable(np.zeros(0, np.uint64)).find(asked) == -1).all()
+
+
+def test_hashed_words_tell_words_apart_as_words_does():
+    rng = np.random.default_rng(12)
+    letters = ["a", "B", "b", " ", "\t", "\x0b", "\x1c", "é", "É", "\u2003", "漢"]
+    texts = ["".join(rng.choice(letters, n)) for n in rng.integers(0, 60, 300)] + [None, "", " ", "x " * 3000, "Y" * 5000, "\ud800 q"]
+    for block in (16, 1 << 20):
+        hashes, sizes = common.hashed_words(texts, block)
+        found = [common.words(t) for t in texts]
+        assert sizes.tolist() == [len(w) for w in found]
+        pairs = set(zip([w for ws in found for w in ws], hashes.tolist(), strict=True))
+        assert len({w for w, _ in pairs}) == len({h for _, h in pairs}) == len(pairs)
