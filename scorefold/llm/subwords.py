@@ -16,6 +16,8 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scorefold.llm import common
+
 #: Letters whose lower case and normal form need no look at their neighbours.
 SAFE = re.compile(r"[\n\t\r !-~À-ÿ]*")
 PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
@@ -105,6 +107,12 @@ class Subwords:
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.words = Words(self.tokenizer, Pieces(self.tokenizer.model, cached), cached) if word_by_word(config) else None
 
+    def forget(self) -> None:
+        """Empty the caches: at the end of a task, so that a worker which waits for other work holds no words."""
+        for cache in (self.words, self.words.pieces) if self.words is not None else ():
+            cache.clear()
+            cache.old = {}
+
     def ids(self, text: str | None) -> bytes:
         """Little-endian ids of the whole text; a null text counts as empty."""
         if not text:
@@ -118,7 +126,7 @@ class Subwords:
 
 @lru_cache(maxsize=2)
 def subwords(path: str) -> Subwords:
-    """One instance for each file and worker process; it lives as long as the worker."""
+    """One instance for each file and worker process; it lives as long as the worker, its caches as long as a task."""
     return Subwords(path)
 
 
@@ -131,6 +139,7 @@ def encode(docs: DataFrame, path: str, end_id: int, text: str = "text", flush_by
     import pyarrow as pa
 
     docs = docs.drop("ids") if "ids" in docs.columns else docs
+    common.text_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c != text]
     out = docs.select(*keep, F.lit(b"").alias("ids")).schema
     end = array("I", [end_id]).tobytes()
@@ -147,5 +156,6 @@ def encode(docs: DataFrame, path: str, end_id: int, text: str = "text", flush_by
                     part = kept.slice(begun, len(ids))
                     yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.binary())], names=[*keep, "ids"])
                     ids, size, begun = [], 0, k + 1
+        coder.forget()
 
     return docs.select(*keep, text).mapInArrow(run, out)

@@ -61,6 +61,7 @@ def smallest_dtype(vocabulary: int) -> str:
 def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Write all documents in ascending doc_id order (nulls first; repeated ids by text); the shard table with `base`."""
     spark = docs.sparkSession
+    common.text_batches(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     dealt = rows.repartitionByRange(common.partitions(spark), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
 
@@ -87,6 +88,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str, doc_
                         out.write(np.frombuffer(b"".join(buffer), "<u4").astype(dtype).tobytes())
                         buffer, held = [], 0
             out.write(np.frombuffer(b"".join(buffer), "<u4").astype(dtype).tobytes())
+        coder.forget()
         if not sizes:
             return
         with open_out(docs_file) as out:

@@ -35,6 +35,9 @@ def test_any_text(text):
 def test_small_caches_change_nothing():
     small = subwords.Subwords(PATH, cached=3)
     text = "one two three four five one two ábc déf! one"
+    small.ids(text)
+    small.forget()
+    assert not small.words and not small.words.pieces.old
     assert np.frombuffer(small.ids(text), "<u4").tolist() == plain(text, 0)[:-1]
 
 
