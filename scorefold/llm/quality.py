@@ -127,10 +127,15 @@ def train(samples: list[tuple[np.ndarray, float]], epochs: int = 5, batch: int =
     return net
 
 
-def fit(rows: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", labelled: int = 4000, most_bytes: int = 64 << 20) -> dict[str, np.ndarray]:
-    """A network from whole labelled texts; null labels are left out. Without rows it is the untrained one."""
-    rows = rows.where(F.col(label).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_text"), (F.col(label) == 1).cast("double").alias("_y"))
-    n, size = rows.agg(F.count("*"), F.sum(F.coalesce(F.octet_length("_text"), F.lit(0)).cast("long") + CHUNK)).first()
+def fit(rows: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", labelled: int = 4000, most_bytes: int = 64 << 20, n_bytes: str | None = None) -> dict[str, np.ndarray]:
+    """A network from whole labelled texts; null labels are left out. Without rows it is the untrained one.
+
+    n_bytes: a column with the texts' lengths in bytes. Where rows come out of a join, lengths taken before it spare the pass
+    that measures the texts from carrying them through the join.
+    """
+    length = F.octet_length(text) if n_bytes is None else F.col(n_bytes)
+    rows = rows.where(F.col(label).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_text"), length.alias("_bytes"), (F.col(label) == 1).cast("double").alias("_y"))
+    n, size = rows.agg(F.count("*"), F.sum(F.coalesce("_bytes", F.lit(0)).cast("long") + CHUNK)).first()
     if not n:
         return new_network()
     most = labelled if size * labelled <= most_bytes * n else most_bytes * n // size

@@ -30,13 +30,13 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labelled(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
-    """doc_id, text and label of the labelled documents that may be learned from; of several labels the largest counts."""
+    """doc_id, text, n_bytes and label of the labelled documents that may be learned from; of several labels the largest counts."""
     labels = common.table(spark, sf_dir, "labels").where(~common.held_out("doc_id") & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias(label))
-    return common.table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id")
+    return common.table(spark, sf_dir, "documents").select("doc_id", "text", F.octet_length("text").alias("n_bytes")).join(labels, "doc_id")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    net = quality.fit(labelled(spark, sf_dir, "quality"))
+    net = quality.fit(labelled(spark, sf_dir, "quality"), n_bytes="n_bytes")
     scored = quality.score(common.table(spark, sf_dir, "documents").select("doc_id", "text"), net)
     return scored.select("doc_id", common.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 

@@ -97,3 +97,11 @@ def test_tied_labels_and_long_samples(spark):
     got = quality.score(frame, quality.fit(frame)).where("doc_id < 60").collect()
     assert sum((r.score >= 0.5) == (r.quality == 1) for r in got) >= 55
     assert quality.score(frame, quality.fit(frame, most_bytes=4000)).count() == len(rows)
+
+
+def test_lengths_taken_before_a_join_give_the_same_network(spark):
+    frame = spark.createDataFrame([(k, None if k == 5 else "bad " * (k % 9), k % 2) for k in range(40)], "doc_id long, text string, quality int")
+    known = frame.selectExpr("*", "octet_length(text) AS n")
+    for most in (64 << 20, 4000):
+        one, two = quality.fit(frame, most_bytes=most), quality.fit(known, most_bytes=most, n_bytes="n")
+        assert all(np.array_equal(one[k], two[k]) for k in one)
