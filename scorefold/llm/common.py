@@ -74,6 +74,11 @@ def words(text: str | None) -> list[bytes]:
     return [] if text is None else text.encode("utf-8", "surrogatepass").lower().split()
 
 
+def exact_words(text: str | None) -> list[bytes]:
+    """Words of the UTF-8 text as they stand; they are parted by ASCII space and 0x09-0x0D only."""
+    return [] if text is None else text.encode("utf-8", "surrogatepass").split()
+
+
 def word_hashes(found: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
 

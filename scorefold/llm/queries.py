@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorefold.llm import chat, common, decontaminate, embeddings, language, lm, packing, quality, simhash, subwords, token_files, toxicity
+from scorefold.llm import chat, common, decontaminate, embeddings, language, lm, packing, periodic, quality, quality_rules, simhash, subwords, token_files, toxicity
 
 ROOM = 4096
 
@@ -90,6 +90,34 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules.filter_quality(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.col("kept")).alias("kept"), F.round("quality", 6).alias("quality"))
+
+
+def repeat_tails(docs: DataFrame) -> DataFrame:
+    """docs with texts of op13: where h = crc32(doc_id) ends in 0, the words from g % n on repeat with period p, g = h div 10."""
+    words = F.regexp_extract_all("text", F.lit("([^\\x20\\x09-\\x0D]+)"), F.lit(1))
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    rows = docs.withColumns({"_h": h}).withColumn("_words", F.when(F.col("_h") % 10 == 0, words))
+    rows = rows.withColumns({"_n": F.size("_words"), "_g": F.expr("_h div 10")})
+    rows = rows.withColumn("_a", F.when(F.col("_n") > 0, F.col("_g") % F.col("_n")))
+    rows = rows.withColumn("_p", 1 + F.expr("(_n - _a) div (3 + _g % 8)"))
+    repeated = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_n").cast("long") - 1), lambda i: F.element_at("_words", (F.when(i < F.col("_a"), i).otherwise(F.col("_a") + (i - F.col("_a")) % F.col("_p")) + 1).cast("int")))
+    return rows.withColumn("text", F.when(F.col("_n") > 0, F.array_join(repeated, " ")).otherwise(F.col("text"))).select(*docs.columns)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find_runs(repeat_tails(common.table(spark, sf_dir, "documents").select("doc_id", "text")))
+    lines = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    return found.select(
+        "doc_id", "n_runs", "start", "length", "period", "exponent_milli",
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 def _escaped_sql(text: str) -> str:
     """chat.escape in plain replacements: each control string gets a backslash behind its first character."""
     out = f"replace({text}, '\\', '\\\\')"
@@ -133,6 +161,61 @@ LEFT JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) r ON r.a = e.vec_id
 """
 
 
+def _vote_sql(value: str, good: tuple, bad: tuple) -> str:
+    a, b = value.split(" / ")
+    v = f"({a}::DOUBLE / nullif({b}, 0))"
+    below = f" WHEN {v} < {bad[0]} THEN -1" if bad[0] is not None else ""
+    above = f" WHEN {v} > {bad[1]} THEN -1" if bad[1] is not None else ""
+    return f"CASE WHEN {v} BETWEEN {good[0]} AND {good[1]} THEN 1{below}{above} ELSE 0 END"
+
+
+def _op11_sql() -> str:
+    """Counts by words and lines, votes, and EM as a recursive query over the combinations of votes."""
+    r = quality_rules
+    k = range(len(r.RULES))
+    low, high = 1 - r.MOST, r.MOST
+    odd = r.ODD_PATTERN.replace("'", "''")
+    votes = ", ".join(f"{_vote_sql(*rule[1:])} AS v{j}" for j, rule in enumerate(r.RULES))
+    weights = "".join(f" + CASE v{j} WHEN 1 THEN ln(g{j} / (1 - b{j})) WHEN -1 THEN ln((1 - g{j}) / b{j}) ELSE 0 END" for j in k)
+    posterior = f"1 / (1 + exp(-(ln(prior / (1 - prior)){weights})))"
+    start = ", ".join(f"{r.START_GOOD}::DOUBLE AS g{j}, {r.START_BAD}::DOUBLE AS b{j}" for j in k)
+    sums = ", ".join(
+        f"(coalesce(sum(n * p) FILTER (v{j} = 1), 0) + {r.START_GOOD}) / (sum(n * p * abs(v{j})) + 1) AS g{j}, "
+        f"(coalesce(sum(n * (1 - p)) FILTER (v{j} = -1), 0) + {r.START_BAD}) / (sum(n * (1 - p) * abs(v{j})) + 1) AS b{j}" for j in k
+    )
+    bounded = {j: f"least(greatest(g{j}, {low}), {high})" for j in k}
+    bounds = ", ".join(f"{bounded[j]}, least(greatest(b{j}, 1 - {bounded[j]}, {low}), {high})" for j in k)
+    zero = ", ".join(f"coalesce({c}, 0)::BIGINT AS {c}" for c in "n_words word_chars n_letter_words n_capital_words n_ended_words n_odd_words n_top_word n_lines n_dup_lines n_repeat_words".split())
+    return rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+s AS (SELECT r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+w AS (SELECT r, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM s),
+x AS (SELECT *, lead(word, 1) OVER o AS word1, lead(word, 2) OVER o AS word2 FROM w WINDOW o AS (PARTITION BY r ORDER BY pos)),
+twice AS (SELECT unnest([pos, pos + 1, pos + 2]) AS pos, r FROM (SELECT r, pos, count(*) OVER (PARTITION BY r, word, word1, word2) AS n FROM x WHERE word2 IS NOT NULL) WHERE n > 1),
+again AS (SELECT r, count(DISTINCT pos) AS n_repeat_words FROM twice GROUP BY r),
+kinds AS (SELECT r, word, count(*) AS n FROM w GROUP BY r, word),
+words AS (
+  SELECT r, sum(n) AS n_words, sum(n * length(word)) AS word_chars, sum(n) FILTER (regexp_matches(word, '\p{{L}}')) AS n_letter_words,
+    sum(n) FILTER (length(word) > 1 AND regexp_matches(word, '\p{{Lu}}') AND NOT regexp_matches(word, '\p{{Ll}}')) AS n_capital_words,
+    sum(n) FILTER (regexp_matches(word, '[.!?]$')) AS n_ended_words, sum(n) FILTER (regexp_matches(word, '{odd}')) AS n_odd_words, max(n) AS n_top_word
+  FROM kinds GROUP BY r
+), ls AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d),
+lines AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM ls WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+measured AS (
+  SELECT doc_id, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, {zero}
+  FROM d LEFT JOIN words USING (r) LEFT JOIN lines USING (r) LEFT JOIN again USING (r)
+), voted AS (SELECT *, {votes} FROM measured),
+patterns AS (SELECT {", ".join(f"v{j}" for j in k)}, count(*) AS n FROM voted WHERE n_words > 0 GROUP BY ALL),
+em AS (
+  SELECT 0 AS i, {r.START_PRIOR}::DOUBLE AS prior, {start}
+  UNION ALL
+  SELECT i, least(greatest(prior, {low}), {high}), {bounds}
+  FROM (SELECT i + 1 AS i, sum(n * p) / sum(n) AS prior, {sums} FROM (SELECT *, {posterior} AS p FROM em, patterns WHERE i < {r.ROUNDS}) GROUP BY i)
+), judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {posterior} AS quality FROM voted, em WHERE i = {r.ROUNDS})
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND quality >= 0.5 AS kept, round(quality, 6) AS quality FROM judged
+"""
+
+
 def queries() -> dict:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
@@ -145,8 +228,10 @@ def queries() -> dict:
         "op8_simhash": op8_simhash,
         "op9_decontaminate": op9_decontaminate,
         "op10_language_model": op10_language_model,
+        "op11_quality_rules": op11_quality_rules,
+        "op13_periodic_runs": op13_periodic_runs,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_format": OP5_SQL, "op6_near_vectors": OP6_SQL}
+    return {"op5_chat_format": OP5_SQL, "op6_near_vectors": OP6_SQL, "op11_quality_rules": _op11_sql()}
