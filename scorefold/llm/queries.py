@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorefold.llm import chat, common, decontaminate, embeddings, language, lm, packing, periodic, quality, quality_rules, simhash, subwords, token_files, toxicity
+from scorefold.llm import chat, common, decontaminate, embeddings, language, lm, packing, periodic, quality, quality_rules, search, simhash, subwords, token_files, toxicity
 
 ROOM = 4096
 
@@ -96,6 +96,11 @@ def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.col("kept")).alias("kept"), F.round("quality", 6).alias("quality"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = search.build_index(common.table(spark, sf_dir, "documents"))
+    return search.search(index, common.table(spark, sf_dir, "benchmark"))
+
+
 def repeat_tails(docs: DataFrame) -> DataFrame:
     """docs with texts of op13: where h = crc32(doc_id) ends in 0, the words from g % n on repeat with period p, g = h div 10."""
     words = F.regexp_extract_all("text", F.lit("([^\\x20\\x09-\\x0D]+)"), F.lit(1))
@@ -161,6 +166,23 @@ LEFT JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) r ON r.a = e.vec_id
 """
 
 
+#: Every score in full, in 64-bit integers.
+OP12_SQL = rf"""
+WITH t AS (SELECT r, doc_id, unnest(regexp_extract_all(translate(text, '{search.UPPER}', '{search.LOWER}'), '{search.TERM}')) AS term FROM (SELECT row_number() OVER () AS r, doc_id, text FROM documents)),
+tf AS (SELECT r, doc_id, term, count(*) AS tf FROM t GROUP BY r, doc_id, term),
+lengths AS (SELECT r, sum(tf)::BIGINT AS n FROM tf GROUP BY r),
+totals AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM lengths),
+b AS (SELECT i, item_id, unnest(regexp_extract_all(translate(text, '{search.UPPER}', '{search.LOWER}'), '{search.TERM}')) AS term FROM (SELECT row_number() OVER () AS i, item_id, text FROM benchmark)),
+asked AS (SELECT i, item_id, term, count(*) AS times FROM b GROUP BY i, item_id, term),
+weights AS (SELECT term, floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, totals WHERE term IN (SELECT term FROM asked) GROUP BY term, docs),
+scores AS (
+  SELECT i, item_id, r, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms))))::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN tf USING (term) JOIN lengths USING (r), totals GROUP BY i, item_id, r, doc_id
+)
+SELECT item_id, (row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST))::INT AS rank, doc_id, score FROM scores WHERE score > 0 QUALIFY rank <= 10
+"""
+
+
 def _vote_sql(value: str, good: tuple, bad: tuple) -> str:
     a, b = value.split(" / ")
     v = f"({a}::DOUBLE / nullif({b}, 0))"
@@ -229,9 +251,10 @@ def queries() -> dict:
         "op9_decontaminate": op9_decontaminate,
         "op10_language_model": op10_language_model,
         "op11_quality_rules": op11_quality_rules,
+        "op12_ranked_search": op12_ranked_search,
         "op13_periodic_runs": op13_periodic_runs,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_format": OP5_SQL, "op6_near_vectors": OP6_SQL, "op11_quality_rules": _op11_sql()}
+    return {"op5_chat_format": OP5_SQL, "op6_near_vectors": OP6_SQL, "op11_quality_rules": _op11_sql(), "op12_ranked_search": OP12_SQL}
