@@ -53,51 +53,63 @@ def row_issues(ratings: DataFrame, key: Column, allowed: Sequence[str] = rollup.
     return ratings.select(key.cast("string").alias("key"), F.explode(found).alias("f")).select("key", "f.category", "f.detail")
 
 
-def findings(a: Column) -> Column:
-    """Array of (category, detail) of one rater's analysis as VARIANT: types and presence are judged on the value itself."""
-
-    def field(name: str, kind: str = "string") -> Column:
-        return F.try_variant_get(a, f"$.{name}", kind)
-
-    def shape(name: str) -> Column:
-        return F.schema_of_variant(field(name, "variant"))
-
-    def text(name: str) -> Column:
-        return F.when(shape(name) == "STRING", field(name))
-
-    score = F.when(expr.integral_score(a, "$.score"), field("score", "double"))
-    rec = text("recommendation")
-    finds: list[tuple[str, Column, Column]] = [("missing_fields", ~F.array_contains(F.json_object_keys(F.to_json(a)), f), F.lit(f)) for f in REQUIRED]
-    finds += [
-        ("score_out_of_range", ~expr.integral_score(a, "$.score"), field("score")),
-        ("invalid_recommendation", rec.isNotNull() & ~rec.isin(*rollup.RECOMMENDATIONS) | shape("recommendation").isin("BIGINT", "BOOLEAN", "DOUBLE"), field("recommendation")),
-        ("score_recommendation_mismatch", score.isNotNull() & rec.isin(*rollup.RECOMMENDATIONS) & expr.extreme_mismatch(score, rec), F.concat_ws("/", field("score"), rec)),
+def with_findings(rows: DataFrame, analysis: Column, out: str = "findings") -> DataFrame:
+    """rows with an array of (category, detail) of one rater's analysis, a VARIANT; presence and types are judged on the values.
+
+    Every field is taken out of the VARIANT once, into a struct, and its type read once; the tests look at those. Absent fields
+    are one finding together; a field that is there as null is not absent and passes the tests of its value. What is no object
+    has no fields: one finding."""
+    kind = F.schema_of_variant(analysis)
+    rows = rows.withColumn("_fields", F.struct(*[F.try_variant_get(analysis, f"$.{f}", "variant").alias(f) for f in REQUIRED]))
+    rows = rows.withColumn("_kinds", F.struct(*[F.schema_of_variant(F.col("_fields")[f]).alias(f) for f in REQUIRED], kind.alias("_whole")))
+    metrics = F.col("_fields")["metrics_evaluated"]
+    rows = rows.withColumn("_metrics", F.struct(*[F.try_variant_get(metrics, f"$.{m}", "variant").alias(m) for m in METRICS]))
+
+    def has(name: str) -> Column:
+        return (F.col("_kinds")[name] != "VOID") & F.col("_kinds")[name].isNotNull()
+
+    def value(name: str, kind: str = "string") -> Column:
+        return F.try_variant_get(F.col("_fields")[name], "$", kind)
+
+    is_object = F.col("_kinds")["_whole"].startswith("OBJECT")
+    missing = F.array_compact(F.array(*[F.when(F.col("_kinds")[f].isNull(), f) for f in REQUIRED]))
+    integral = expr.integral_score(F.col("_fields")["score"], "$")
+    score = F.when(integral, value("score", "double"))
+    rec = F.when(F.col("_kinds")["recommendation"] == "STRING", value("recommendation"))
+    finds: list[tuple[str, Column, Column]] = [
+        ("missing_fields", ~is_object, F.lit("analysis is not an object")),
+        ("missing_fields", is_object & (F.size(missing) > 0), F.array_join(missing, ",")),
+        ("score_out_of_range", ~integral, value("score")),
+        ("invalid_recommendation", has("recommendation") & ~F.coalesce(rec.isin(*rollup.RECOMMENDATIONS), F.lit(False)), F.to_json(F.col("_fields")["recommendation"])),
+        ("score_recommendation_mismatch", score.isNotNull() & rec.isin(*rollup.RECOMMENDATIONS) & expr.extreme_mismatch(score, rec), F.concat_ws("/", value("score"), rec)),
     ]
-    is_object = shape("metrics_evaluated").startswith("OBJECT")
-    finds.append(("invalid_metric_values", ~is_object, F.lit("metrics_evaluated is not an object")))
+    metrics_object = F.col("_kinds")["metrics_evaluated"].startswith("OBJECT")
+    finds.append(("invalid_metric_values", has("metrics_evaluated") & ~metrics_object, F.lit("metrics_evaluated is not an object")))
     for name, allowed in METRICS.items():
-        value = field(f"metrics_evaluated.{name}")
-        finds.append(("missing_fields", is_object & value.isNull(), F.lit(f"metrics_evaluated.{name}")))
-        finds.append(("invalid_metric_values", is_object & value.isNotNull() & ~value.isin(*allowed), F.concat_ws("=", F.lit(name), value)))
-    extra = F.when(is_object, expr.unexpected_keys(F.to_json(field("metrics_evaluated", "variant")), list(METRICS)))
+        found = F.col("_metrics")[name]
+        none = found.isNull() | F.is_variant_null(found)
+        known = F.coalesce((F.schema_of_variant(found) == "STRING") & F.try_variant_get(found, "$", "string").isin(*allowed), F.lit(False))
+        finds.append(("missing_fields", metrics_object & none, F.lit(f"metrics_evaluated.{name}")))
+        finds.append(("invalid_metric_values", metrics_object & ~none & ~known, F.concat_ws("=", F.lit(name), F.to_json(found))))
+    extra = F.when(metrics_object, expr.unexpected_keys(F.to_json(metrics), list(METRICS)))
     finds.append(("invalid_metric_values", F.size(extra) > 0, F.array_join(extra, ",")))
-    finds += [("empty_arrays", field(f, "array<string>").isNotNull() & (F.size(field(f, "array<string>")) == 0), F.lit(f)) for f in ("key_strengths", "key_risks")]
-    finds += [("empty_strings", F.length(parse.strip(text(f))) < 20, F.lit(f)) for f in ("investment_thesis", "detailed_analysis")]
-    return F.filter(F.array(*[F.when(F.coalesce(t, F.lit(False)), F.struct(F.lit(c).alias("category"), d.cast("string").alias("detail"))) for c, t, d in finds]), lambda x: x.isNotNull())
+    finds += [("empty_arrays", F.col("_kinds")[f].startswith("ARRAY") & (F.to_json(F.col("_fields")[f]) == "[]"), F.lit(f)) for f in ("key_strengths", "key_risks")]
+    for f in ("investment_thesis", "detailed_analysis"):
+        short = F.when(F.col("_kinds")[f] == "STRING", F.length(parse.strip(value(f))) < 20).otherwise(has(f))
+        finds.append(("empty_strings", short, F.lit(f)))
+    whole = F.array(*[F.when(F.coalesce(t, F.lit(False)), F.struct(F.lit(c).alias("category"), d.cast("string").alias("detail"))) for c, t, d in finds])
+    return rows.withColumn(out, F.array_compact(whole)).drop("_fields", "_kinds", "_metrics")
 
 
 def document_issues(files: DataFrame) -> DataFrame:
-    """Checks of raw rater files (symbol, persona, doc, parse_error)."""
-    key = F.concat_ws("/", "symbol", "persona")
-    has = files.where("NOT parse_error").withColumn("a", F.try_variant_get(F.col("doc"), "$.analysis", "variant"))
-    absent = F.col("a").isNull() | F.is_variant_null("a")
-    return union(
-        [
-            issue(files, F.col("parse_error"), "parse_errors", key, F.lit("not valid JSON")),
-            issue(has, absent, "missing_fields", key, F.lit("analysis")),
-            has.where(~absent).select(key.alias("key"), F.explode(findings(F.col("a"))).alias("f")).select("key", "f.category", "f.detail"),
-        ]
-    )
+    """Checks of raw rater files (symbol, persona, doc, error): (key, category, detail), in one pass over the files."""
+    files = files.withColumn("_analysis", F.try_variant_get("doc", "$.analysis", "variant"))
+    rows = with_findings(files, F.col("_analysis"), "_found")
+    none = F.col("_analysis").isNull() | F.is_variant_null("_analysis")
+    one = F.when(F.col("parse_error"), F.struct(F.lit("parse_errors").alias("category"), F.col("error").alias("detail")))
+    one = one.when(none, F.struct(F.lit("missing_fields").alias("category"), F.lit("analysis").alias("detail")))
+    found = F.when(F.col("parse_error") | none, F.array(one)).otherwise(F.col("_found"))
+    return rows.select(F.concat_ws("/", "symbol", "persona").alias("key"), F.explode(found).alias("f")).select("key", "f.category", "f.detail")
 
 
 def table_issues(ratings: DataFrame, entity: str, rater: str, raters: Sequence[str], pair: tuple[str, str], gap: float = 3, threshold: float = 80.0) -> DataFrame:

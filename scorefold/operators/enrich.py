@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from scorefold.functions import expr, parse
 from scorefold.operators import audit, rollup
+from scorefold.sources import stage
 
 
 @dataclass(frozen=True)
@@ -124,8 +125,8 @@ def financial_summary(df: DataFrame, about: str | None = None, facts: str | None
 
 
 def statement_lines(facts: DataFrame, keys: Sequence[str], metrics: Sequence[str] = ("Total Revenue", "Net Income", "EBITDA")) -> DataFrame:
-    """(keys, lines): "metric: period: value | period: value" of the named metrics, newest period first."""
-    rows = facts.where(F.col("metric").isin(*metrics)).groupBy(*keys, "metric").agg(F.sort_array(F.collect_list(F.struct("period", "value")), asc=False).alias("v"))
+    """(keys, lines): "metric: period: value | period: value" of the named metrics, newest period first; periods without a value are left out."""
+    rows = facts.where(F.col("metric").isin(*metrics) & F.col("value").isNotNull()).groupBy(*keys, "metric").agg(F.sort_array(F.collect_list(F.struct("period", "value")), asc=False).alias("v"))
     text = F.array_join(F.transform("v", lambda x: F.concat(F.substring(x["period"], 1, 10), F.lit(": "), expr.format_currency(x["value"]))), " | ")
     place = F.array_position(F.array(*map(F.lit, metrics)), F.col("metric"))
     lines = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(place.alias("p"), F.concat(F.lit("  "), "metric", F.lit(": "), text).alias("t")))).alias("l"))
@@ -142,17 +143,56 @@ def ingest_responses(raw: DataFrame, keys: Sequence[str], response: str = "respo
     """(ratings, quarantine): answers that parse, with an integral score from 0 to 10 and a known recommendation, are taken.
 
     whole: an answer must also hold every required field, allowed metric values, non-empty lists and texts of some length, and
-    its score may not contradict its recommendation; the quarantine's reason is the first finding."""
+    its score may not contradict its recommendation; the quarantine's reason is the first finding. Answers are judged once and
+    written with their reasons; both parts read that table."""
     doc = F.col("_doc")
-    rows = raw.withColumn("_doc", F.try_parse_json(response))
+    rows = raw.select(*keys, response).withColumn("_doc", F.try_parse_json(response))
+    rows = audit.with_findings(rows, doc, "_found") if whole else rows
     score, rec = F.try_variant_get(doc, "$.score", "double"), F.try_variant_get(doc, "$.recommendation", "string")
     integral = F.coalesce(expr.integral_score(doc, "$.score"), F.lit(False))
     reason = F.when(doc.isNull(), "unparseable").when(~integral, "score").when(~F.coalesce(rec.isin(*rollup.RECOMMENDATIONS), F.lit(False)), "recommendation")
     if whole:
-        reason = F.coalesce(reason, F.get(audit.findings(doc), 0)["category"])
-    rows = rows.withColumn("_reason", reason)
-    taken = rows.where("_reason IS NULL").select(*keys, score.cast("int").alias("score"), rec.alias("recommendation"), F.col(response))
-    return taken, rows.where("_reason IS NOT NULL").select(*keys, F.col("_reason").alias("reason"), F.col(response))
+        reason = F.coalesce(reason, F.get("_found", 0)["category"])
+    judged = stage.written(rows.select(*keys, response, score.alias("_score"), rec.alias("_rec"), reason.alias("_reason")), "judged-answers")
+    taken = judged.where("_reason IS NULL").select(*keys, F.col("_score").cast("int").alias("score"), F.col("_rec").alias("recommendation"), response)
+    return taken, judged.where("_reason IS NOT NULL").select(*keys, F.col("_reason").alias("reason"), response)
+
+
+#: JSON texts that count as nothing.
+NOTHING_JSON = ("null", "false", "0", '""', "[]", "{}")
+
+
+def ingest_envelopes(raw: DataFrame, keys: Sequence[str], model: str, response: str = "response", exit_code: str | None = None, stderr: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(records, quarantine) of answers inside an envelope {is_error, result, structured_output, duration_ms, total_cost_usd, usage}.
+
+    A record has keys, analysis (VARIANT) and metadata (duration_ms, model_used, total_cost_usd and usage, a VARIANT that is {}
+    where the envelope has none). Refused with a reason, the first of: an exit code other than 0 (with the start of stderr), an
+    empty output, one that is no JSON object, an error flag (with its result), no structured output."""
+    doc = F.col("_doc")
+    rows = raw.withColumn("_doc", F.try_parse_json(response))
+    flag = F.to_json(F.try_variant_get(doc, "$.is_error", "variant"))
+    output = F.try_variant_get(doc, "$.structured_output", "variant")
+    result = F.try_variant_get(doc, "$.result", "variant")
+    said = F.when(result.isNull(), "unknown").when(F.is_variant_null(result), "None").otherwise(F.coalesce(F.try_variant_get(doc, "$.result", "string"), F.to_json(result)))
+    reason = F.when(F.coalesce(parse.strip(F.col(response)), F.lit("")) == "", "empty output")
+    if exit_code:
+        said_last = F.substring(F.coalesce(F.col(stderr), F.lit("")), 1, 200) if stderr else F.lit("")
+        reason = F.when(F.col(exit_code) != 0, F.concat(F.lit("exit code "), F.col(exit_code).cast("string"), F.lit(": "), said_last)).when(F.coalesce(parse.strip(F.col(response)), F.lit("")) == "", "empty output")
+    reason = reason.when(doc.isNull() | ~F.schema_of_variant(doc).startswith("OBJECT"), "unparseable")
+    reason = reason.when(flag.isNotNull() & ~flag.isin(*NOTHING_JSON), F.concat(F.lit("error: "), said))
+    reason = reason.when(output.isNull() | F.to_json(output).isin(*NOTHING_JSON), "no structured output")
+    metadata = F.struct(
+        F.try_variant_get(doc, "$.duration_ms", "bigint").alias("duration_ms"), F.lit(model).alias("model_used"), F.try_variant_get(doc, "$.total_cost_usd", "double").alias("total_cost_usd"),
+        F.coalesce(F.try_variant_get(doc, "$.usage", "variant"), F.parse_json(F.lit("{}"))).alias("usage"),
+    )
+    judged = stage.written(rows.select(*keys, response, output.alias("analysis"), metadata.alias("metadata"), reason.alias("_reason")), "judged-envelopes")
+    return judged.where("_reason IS NULL").select(*keys, "analysis", "metadata"), judged.where("_reason IS NOT NULL").select(*keys, F.col("_reason").alias("reason"), response)
+
+
+def rating_documents(records: DataFrame, symbol: str, persona: str, display_name: str, analyzed_at: Column) -> DataFrame:
+    """(name, text): records of ingest_envelopes as the files {symbol}/{persona}.json that `documents.write_documents` writes."""
+    body = F.struct(F.col(symbol).alias("symbol"), F.col(persona).alias("persona"), F.col(display_name).alias("persona_display_name"), analyzed_at.cast("string").alias("analyzed_at"), "analysis", "metadata")
+    return records.select(F.concat(F.col(symbol), F.lit("/"), F.col(persona), F.lit(".json")).alias("name"), F.to_json(body).alias("text"))
 
 
 def list_rows(df: DataFrame, keys: Sequence[str], lists: Sequence[str]) -> DataFrame:

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorefold.functions import expr, parse
-from scorefold.operators import audit, enrich, joins, rollup, rules, screen
-from scorefold.sources import documents, html, stage
+from scorefold.operators import audit, enrich, joins, prompts, rollup, rules, screen
+from scorefold.sources import documents, html, rated_files, stage
 from scorefold.streaming import ratings as streams
 
 RATERS = ("AF", "AO", "NF", "NO", "RF", "RO")
@@ -517,6 +517,65 @@ def ingest_responses(spark, d):
     return taken.drop("response").withColumn("reason", F.lit(None).cast("string")).unionByName(rest.select("event_id", F.lit(None).cast("int").alias("score"), F.lit(None).cast("string").alias("recommendation"), "reason"))
 
 
+@query(
+    """SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'exit code 1: ' || left(props, 200) WHEN event_id % 7 = 0 THEN 'empty output' WHEN event_id % 13 = 0 THEN 'unparseable' WHEN event_id % 5 = 0 THEN 'error: ' || CASE WHEN event_id % 10 = 0 THEN 'unknown' ELSE event_type END
+    WHEN event_id % 3 = 0 THEN 'no structured output' END AS reason, CASE WHEN reason IS NULL THEN length(event_type) END::BIGINT AS score, CASE WHEN reason IS NULL THEN user_id END::BIGINT AS duration_ms, CASE WHEN reason IS NULL AND event_id % 2 = 0 THEN user_id * 2 END::BIGINT AS input_tokens FROM events"""
+)
+def ingest_envelopes(spark, d):
+    """Answers in their envelopes: errors by exit code, output, flag and content; what is taken keeps duration and usage."""
+    k = F.col("event_id")
+    output = F.when(k % 3 == 0, F.when(k % 2 == 0, "{}").otherwise("null")).otherwise(F.concat(F.lit('{"score": '), F.length("event_type").cast("string"), F.lit("}")))
+    error = F.when(k % 5 == 0, F.concat(F.lit('"is_error": true, '), F.when(k % 10 == 0, "").otherwise(F.concat(F.lit('"result": "'), "event_type", F.lit('", '))))).otherwise('"is_error": false, ')
+    usage = F.when(k % 2 == 0, F.concat(F.lit(', "usage": {"input_tokens": '), (F.col("user_id") * 2).cast("string"), F.lit("}"))).otherwise("")
+    body = F.concat(F.lit("{"), error, F.lit('"structured_output": '), output, F.lit(', "duration_ms": '), F.col("user_id").cast("string"), F.lit(', "total_cost_usd": 0.5'), usage, F.when(k % 13 == 0, "").otherwise("}"))
+    raw = table(spark, d, "events").select("event_id", F.when(k % 7 == 0, " \n").otherwise(body).alias("response"), (k % 11 == 0).cast("int").alias("code"), F.col("props").alias("said"))
+    taken, rest = enrich.ingest_envelopes(raw, ["event_id"], "m", exit_code="code", stderr="said")
+    got = taken.select("event_id", F.lit(None).cast("string").alias("reason"), F.try_variant_get("analysis", "$.score", "bigint").alias("score"), F.col("metadata.duration_ms").alias("duration_ms"), F.try_variant_get("metadata.usage", "$.input_tokens", "bigint").alias("input_tokens"))
+    none = F.lit(None).cast("bigint")
+    return got.unionByName(rest.select("event_id", "reason", none.alias("score"), none.alias("duration_ms"), none.alias("input_tokens")))
+
+
+@query(
+    """WITH x AS (SELECT *, chr(10) AS nl, 'S' || s_suppkey AS symbol FROM supplier),
+f AS (SELECT *, CASE WHEN s_suppkey % 3 = 0 THEN s_name WHEN s_suppkey % 3 = 1 THEN 'registry ' || s_suppkey ELSE symbol END AS name,
+  CASE WHEN s_suppkey % 4 = 0 THEN 'Unknown' WHEN s_suppkey % 4 = 1 THEN 'None' ELSE 'Steel' END AS sector, CASE WHEN s_suppkey % 5 = 0 THEN 'N/A' WHEN s_suppkey % 5 = 1 THEN 'None' ELSE (100 + s_suppkey) || '.0' END AS issue,
+  CASE WHEN s_suppkey % 7 = 0 THEN '250.5' WHEN s_suppkey % 7 = 1 THEN 'N/A' ELSE s_suppkey::VARCHAR END AS price,
+  concat_ws(nl, CASE WHEN s_suppkey % 2 = 0 THEN 'VALUATION:' || nl || '  P/E (TTM): ' || CASE WHEN s_suppkey % 6 = 0 THEN s_suppkey || '.50' ELSE s_suppkey::VARCHAR END END,
+    CASE WHEN s_suppkey % 3 <> 1 THEN nl || 'PROFITABILITY:' || nl || '  ROE: ' || CASE WHEN s_suppkey % 9 = 0 THEN 'high' ELSE '15.2%' END END,
+    CASE WHEN s_suppkey % 5 <> 2 THEN nl || 'INCOME STATEMENT (available years):' || nl || '  Total Revenue: 2024-03-31: 2.5 L | 2022-03-31: 999' END,
+    CASE WHEN s_suppkey % 8 = 0 THEN nl || 'BUSINESS: Makes ' || s_name || '.' END) AS body FROM x)
+SELECT symbol, r_name AS persona, concat_ws(nl, 'Company: ' || name, 'Symbol: ' || symbol || ' (listed on ' || CASE WHEN s_suppkey % 2 = 0 THEN 'NSE' ELSE 'BSE' END || ')', 'Sector: ' || sector || ' | Industry: Unknown', 'Listed: 2024-01-05 at INR ' || issue,
+  'Current Price: INR ' || price || ' | Market Cap: INR ' || CASE WHEN s_suppkey % 2 = 0 THEN '123 Cr' ELSE 'N/A' END, 'IPO Return: ' || CASE WHEN s_suppkey % 3 = 0 THEN '12.5%' ELSE 'N/A' END, '', '=== FINANCIAL DATA ===',
+  CASE WHEN body = '' THEN 'LIMITED DATA AVAILABLE — This is a recent IPO with minimal public financial history.' ELSE body END, '', '=== INSTRUCTIONS ===', 'Score 0-10.') AS prompt
+FROM f, region WHERE s_suppkey % 11 <> 0 AND s_suppkey % 13 <> 0"""
+)
+def document_prompts(spark, d):
+    """Prompts from stock documents: every fallback of the header, sections that are there, null periods left out."""
+    k = F.col("s_suppkey")
+    n = k.cast("string")
+
+    def pick(mod, cases, other):
+        out = None
+        for r, text in cases.items():
+            out = F.when(k % mod == r, text) if out is None else out.when(k % mod == r, text)
+        return out.otherwise(other)
+
+    info = F.concat(
+        F.lit("{"), pick(3, {0: F.concat(F.lit('"longName": "'), "s_name", F.lit('", "returnOnEquity": '), F.when(k % 9 == 0, '"high"').otherwise("0.152"), F.lit(", ")), 2: F.lit('"longName": "", "returnOnEquity": 0.152, ')}, F.lit('"longName": null, ')),
+        pick(4, {0: F.lit(""), 1: F.lit('"sector": null, ')}, F.lit('"sector": "Steel", ')), pick(7, {0: F.lit('"currentPrice": 250.5, '), 1: F.lit('"currentPrice": 0, ')}, F.concat(F.lit('"currentPrice": null, "regularMarketPrice": '), n, F.lit(", "))),
+        F.when(k % 2 == 0, F.concat(F.lit('"marketCap": 1234567890, "trailingPE": '), n, F.when(k % 6 == 0, ".5").otherwise(""), F.lit(", "))).otherwise(""),
+        F.when(k % 8 == 0, F.concat(F.lit('"longBusinessSummary": "Makes '), "s_name", F.lit('.", '))).otherwise(""), F.lit('"x": 1}'),
+    )
+    ipo = F.concat(
+        F.lit('{"listing_date": "2024-01-05"'), F.when(k % 3 == 1, F.concat(F.lit(', "company_name": "registry '), n, F.lit('"'))).otherwise(""), pick(5, {0: F.lit(""), 1: F.lit(', "issue_price": null')}, F.concat(F.lit(', "issue_price": '), (k + 100).cast("string"), F.lit(".0"))),
+        F.when(k % 3 == 0, ', "ipo_return_pct": 12.5').otherwise(', "ipo_return_pct": null'), F.lit("}"),
+    )
+    facts = F.when(k % 5 == 2, "{}").otherwise('{"Total Revenue": {"2024-03-31 00:00": 250000, "2023-03-31": null, "2022-03-31": 999}, "Net Income": {"2024-03-31": null}, "Other": {"2024": 5}}')
+    text = F.concat(F.lit('{"fetch_status": "'), F.when(k % 11 == 0, "error").otherwise("success"), F.lit('", "data_quality": "'), F.when(k % 13 == 0, "partial").otherwise("full"), F.lit('", "yf_symbol": "S'), n, F.when(k % 2 == 0, ".NS").otherwise(".BO"), F.lit('", "info": '), info, F.lit(', "ipo_data": '), ipo, F.lit(', "financials": '), facts, F.lit("}"))
+    stocks = table(spark, d, "supplier").select(F.concat(F.lit("S"), n).alias("symbol"), F.try_parse_json(text).alias("doc"))
+    return prompts.document_prompts(prompts.analysable(stocks), table(spark, d, "region").select(F.col("r_name").alias("persona")), "Score 0-10.").select("symbol", "persona", "prompt")
+
+
 RATIOS = """x AS (SELECT l_partkey AS symbol, sum(l_extendedprice * (1 - l_discount)) AS sales, sum(l_extendedprice * l_discount) AS debt, sum(l_quantity) AS q, count(*) AS n FROM lineitem GROUP BY l_partkey)"""
 
 
@@ -684,49 +743,68 @@ def analysis_text(spark, d):
         return F.concat(F.lit('"'), c, F.lit('"'))
 
     score = F.when(k % 13 == 0, "4.5").when(k % 13 == 1, '"4"').when(k % 13 == 2, "12").when(k % 13 == 3, "3.0").when(k % 13 == 4, "null").otherwise(F.col("score").cast("string"))
-    rec = F.when(k % 11 == 0, quoted(F.lit("MAYBE"))).when(k % 11 == 1, "5").when(k % 11 == 2, "null").otherwise(quoted(recommendation(F.col("score"))))
+    rec = F.when(k % 11 == 0, quoted(F.lit("MAYBE"))).when(k % 11 == 1, "5").when(k % 11 == 2, "null").when(k % 11 == 3, "5.5").when(k % 11 == 4, '["BUY"]').otherwise(quoted(recommendation(F.col("score"))))
     risks = F.when(k % 7 == 0, "[]").otherwise('["debt"]')
-    thesis = F.when(k % 5 == 0, quoted(F.lit(" too short "))).otherwise(quoted(F.concat(F.lit("thesis of supplier number "), k.cast("string"))))
-    metrics = F.when(k % 17 == 0, "[]").when(k % 17 == 1, '{"moat_strength": "huge", "management_quality": "good", "financial_health": "good", "valuation": "fair"}').otherwise('{"moat_strength": "weak", "management_quality": "good", "financial_health": "good", "valuation": "fair", "growth_potential": "low"}')
+    thesis = F.when(k % 41 == 0, "5").when(k % 5 == 0, quoted(F.lit(" too short "))).otherwise(quoted(F.concat(F.lit("thesis of supplier number "), k.cast("string"))))
+    metrics = F.when(k % 17 == 0, "[]").when(k % 17 == 3, "null").when(k % 17 == 1, '{"moat_strength": "huge", "management_quality": "good", "financial_health": "good", "valuation": "fair"}').otherwise('{"moat_strength": "weak", "management_quality": "good", "financial_health": "good", "valuation": "fair", "growth_potential": "low"}')
     metrics = F.when(k % 17 == 2, F.replace(metrics, F.lit("}"), F.lit(', "luck": "good"}'))).otherwise(metrics)
-    flags = F.when(k % 19 == 0, "").otherwise('"red_flags": [], ')
-    body = F.concat(F.lit('{"score": '), score, F.lit(', "recommendation": '), rec, F.lit(', "investment_thesis": '), thesis, F.lit(', "key_strengths": ["name"], "key_risks": '), risks, F.lit(", "), flags, F.lit('"detailed_analysis": "a text of more than twenty characters", "metrics_evaluated": '), metrics, F.when(k % 23 == 0, "").otherwise("}"))
+    flags = F.when(k % 19 == 0, "").otherwise('"red_flags": [], "detailed_analysis": "a text of more than twenty characters", ')
+    body = F.concat(F.lit('{"score": '), score, F.lit(', "recommendation": '), rec, F.lit(', "investment_thesis": '), thesis, F.lit(', "key_strengths": ["name"], "key_risks": '), risks, F.lit(", "), flags, F.lit('"metrics_evaluated": '), metrics, F.when(k % 23 == 0, "").otherwise("}"))
     return rows.select("k", "persona", F.col("score").alias("true_score"), body.alias("response"))
 
 
 ANSWERS = """a AS (SELECT l_suppkey AS k, l_returnflag AS persona, sum(trunc(l_quantity))::BIGINT % 11 AS s FROM lineitem GROUP BY ALL),
-b AS (SELECT *, k % 23 = 0 AS broken, CASE WHEN k % 13 IN (0, 1, 2, 4) THEN NULL WHEN k % 13 = 3 THEN 3 ELSE s END AS score, CASE WHEN k % 11 IN (0, 1, 2) THEN NULL WHEN s >= 6 THEN 'BUY' WHEN s >= 4 THEN 'HOLD' ELSE 'AVOID' END AS rec FROM a),
-c AS (SELECT *, score IS NOT NULL AND rec IS NOT NULL AND ((rec = 'BUY' AND score <= 3) OR (rec = 'AVOID' AND score >= 8) OR (rec = 'HOLD' AND (score >= 9 OR score <= 1))) AS clash FROM b)"""
+b AS (SELECT *, k % 23 = 0 AS broken, CASE WHEN k % 13 IN (0, 1, 2, 4) THEN NULL WHEN k % 13 = 3 THEN 3 ELSE s END AS score, CASE WHEN k % 11 IN (0, 1, 2, 3, 4) THEN NULL WHEN s >= 6 THEN 'BUY' WHEN s >= 4 THEN 'HOLD' ELSE 'AVOID' END AS rec FROM a),
+c AS (SELECT *, broken OR k % 31 = 0 AS unread, k % 29 = 0 OR k % 37 = 0 AS bare, score IS NOT NULL AND rec IS NOT NULL AND ((rec = 'BUY' AND score <= 3) OR (rec = 'AVOID' AND score >= 8) OR (rec = 'HOLD' AND (score >= 9 OR score <= 1))) AS clash FROM b)"""
 
 
 @query(
     "WITH " + ANSWERS + """, i AS (
-  SELECT k, persona, 'parse_errors' AS category FROM c WHERE broken
-  UNION ALL SELECT k, persona, 'missing_fields' FROM c WHERE NOT broken AND k % 29 = 0
-  UNION ALL SELECT k, persona, 'missing_fields' FROM c WHERE NOT broken AND k % 29 <> 0 AND k % 19 = 0
-  UNION ALL SELECT k, persona, 'missing_fields' FROM c WHERE NOT broken AND k % 29 <> 0 AND k % 17 = 1
-  UNION ALL SELECT k, persona, 'score_out_of_range' FROM c WHERE NOT broken AND k % 29 <> 0 AND k % 13 IN (0, 1, 2)
-  UNION ALL SELECT k, persona, 'invalid_recommendation' FROM c WHERE NOT broken AND k % 29 <> 0 AND k % 11 IN (0, 1)
-  UNION ALL SELECT k, persona, 'score_recommendation_mismatch' FROM c WHERE NOT broken AND k % 29 <> 0 AND clash
-  UNION ALL SELECT k, persona, 'empty_arrays' FROM c WHERE NOT broken AND k % 29 <> 0 AND k % 7 = 0
-  UNION ALL SELECT k, persona, 'empty_strings' FROM c WHERE NOT broken AND k % 29 <> 0 AND k % 5 = 0
-  UNION ALL SELECT k, persona, 'invalid_metric_values' FROM c WHERE NOT broken AND k % 29 <> 0 AND k % 17 IN (0, 1, 2))
+  SELECT k, persona, 'parse_errors' AS category FROM c WHERE unread
+  UNION ALL SELECT k, persona, 'missing_fields' FROM c WHERE NOT unread AND bare
+  UNION ALL SELECT k, persona, 'missing_fields' FROM c WHERE NOT unread AND NOT bare AND k % 19 = 0
+  UNION ALL SELECT k, persona, 'missing_fields' FROM c WHERE NOT unread AND NOT bare AND k % 17 = 1
+  UNION ALL SELECT k, persona, 'score_out_of_range' FROM c WHERE NOT unread AND NOT bare AND k % 13 IN (0, 1, 2)
+  UNION ALL SELECT k, persona, 'invalid_recommendation' FROM c WHERE NOT unread AND NOT bare AND k % 11 IN (0, 1, 3, 4)
+  UNION ALL SELECT k, persona, 'score_recommendation_mismatch' FROM c WHERE NOT unread AND NOT bare AND clash
+  UNION ALL SELECT k, persona, 'empty_arrays' FROM c WHERE NOT unread AND NOT bare AND k % 7 = 0
+  UNION ALL SELECT k, persona, 'empty_strings' FROM c WHERE NOT unread AND NOT bare AND (k % 5 = 0 OR k % 41 = 0)
+  UNION ALL SELECT k, persona, 'invalid_metric_values' FROM c WHERE NOT unread AND NOT bare AND k % 17 IN (0, 1, 2))
 SELECT 'S' || k || '/' || persona AS key, category, count(*) AS n FROM i GROUP BY ALL"""
 )
 def file_issues(spark, d):
-    """Answers as files {symbol}/{persona}.json, read back and checked."""
+    """Answers as files {symbol}/{persona}.json, read back by their bytes and checked."""
+    found = audit.document_issues(documents.read_ratings(spark, answer_files(spark, d)))
+    return found.groupBy("key", "category").agg(F.count("*").alias("n"))
+
+
+def answer_files(spark, d) -> str:
+    """The folder of answers as files; some have no analysis or a text in its place, some end early, some are no UTF-8."""
     rows = analysis_text(spark, d)
-    body = F.when(F.col("k") % 29 == 0, F.replace("response", F.lit('{"score"'), F.lit('{"analysis": null, "other": {"score"'))).otherwise(F.concat(F.lit('{"analysis": '), "response"))
-    files = rows.select(F.concat(F.lit("S"), F.col("k").cast("string"), F.lit("/"), "persona", F.lit(".json")).alias("name"), F.concat(body, F.when(F.col("k") % 23 == 0, "").otherwise("}")).alias("text"))
+    k = F.col("k")
+    body = F.when(k % 29 == 0, F.replace("response", F.lit('{"score"'), F.lit('{"analysis": null, "other": {"score"')))
+    body = body.when((k % 37 == 0) & (k % 23 != 0), '{"analysis": "only a text"').otherwise(F.concat(F.lit('{"analysis": '), "response"))
+    text = F.concat(body, F.when(k % 23 == 0, "").otherwise("}"))
+    files = rows.select(F.concat(F.lit("S"), k.cast("string"), F.lit("/"), "persona", F.lit(".json")).alias("name"), F.when(k % 31 == 0, F.unhex(F.lit("7BFFFE7D"))).otherwise(F.encode(text, "UTF-8")).alias("text"))
     folder = stage.new_path(spark, "rater-files")
     documents.write_documents(files, folder, "name", "text").write.format("noop").mode("overwrite").save()
-    found = audit.document_issues(documents.read_ratings(spark, folder))
-    return found.groupBy("key", "category").agg(F.count("*").alias("n"))
+    return folder
+
+
+@query(
+    "WITH " + ANSWERS + """ SELECT persona, count(*) AS files, count(*) FILTER (unread) AS unread, count(*) FILTER (NOT unread AND NOT bare AND score IS NOT NULL) AS scored, (sum(score) FILTER (NOT unread AND NOT bare))::BIGINT AS total
+FROM c WHERE persona IN ('A', 'R') GROUP BY persona"""
+)
+def rated_selection(spark, d):
+    """Files of two raters by the source that opens no others."""
+    rows = rated_files.read_rated(spark, answer_files(spark, d)).where(F.col("persona").isin("A", "R"))
+    score = F.when(expr.integral_score(F.col("doc"), "$.analysis.score"), F.try_variant_get("doc", "$.analysis.score", "bigint"))
+    return rows.groupBy("persona").agg(F.count("*").alias("files"), F.count_if("parse_error").alias("unread"), F.count(score).alias("scored"), F.sum(score).alias("total"))
 
 
 @query(
     "WITH " + ANSWERS + """ SELECT k, persona, CASE WHEN broken THEN 'unparseable' WHEN score IS NULL THEN 'score' WHEN rec IS NULL THEN 'recommendation' WHEN k % 19 = 0 THEN 'missing_fields' WHEN clash THEN 'score_recommendation_mismatch'
-  WHEN k % 17 = 1 THEN 'invalid_metric_values' WHEN k % 17 IN (0, 2) THEN 'invalid_metric_values' WHEN k % 7 = 0 THEN 'empty_arrays' WHEN k % 5 = 0 THEN 'empty_strings' END AS reason, CASE WHEN reason IS NULL THEN score END::INT AS score FROM c"""
+  WHEN k % 17 = 1 THEN 'invalid_metric_values' WHEN k % 17 IN (0, 2) THEN 'invalid_metric_values' WHEN k % 7 = 0 THEN 'empty_arrays' WHEN k % 5 = 0 OR k % 41 = 0 THEN 'empty_strings' END AS reason, CASE WHEN reason IS NULL THEN score END::INT AS score FROM c"""
 )
 def accepted_answers(spark, d):
     taken, rest = enrich.ingest_responses(analysis_text(spark, d), ["k", "persona"], whole=True)

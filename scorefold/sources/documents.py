@@ -9,6 +9,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scorefold.sources import rated_files
+
 #: The contract of a rater's output.
 ANALYSIS = (
     "struct<score:double,recommendation:string,investment_thesis:string,key_strengths:array<string>,key_risks:array<string>,red_flags:array<string>,"
@@ -20,22 +22,22 @@ REGISTRY = f"metadata struct<generated_at:string,source:string,year:int,pages_sc
 
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text): one row per file. Many tiny files are packed into few tasks by their open cost."""
-    return spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    """(path, content): one row per .json file with its bytes. Many tiny files are packed into few tasks by their open cost."""
+    return spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter="*.json").load(path).select("path", "content")
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(symbol, doc): each JSON file as VARIANT, its name as symbol; a file that does not parse has a null doc."""
-    raw = read_raw(spark, path)
-    return raw.select(F.regexp_extract("path", r"([^/]+)\.json$", 1).alias("symbol"), F.try_parse_json("text").alias("doc"), "text")
+    """(symbol, doc, text): each JSON file as VARIANT, its name as symbol; a file that does not parse has a null doc, one that is
+    no UTF-8 has no text either."""
+    return rated_files.decode(read_raw(spark, path)).select(F.regexp_extract("path", r"([^/]+)\.json$", 1).alias("symbol"), "doc", "text")
 
 
 def read_ratings(spark: SparkSession, path: str) -> DataFrame:
-    """(symbol, persona, text, doc, parse_error): keys from the path {symbol}/{persona}.json; broken files stay as rows."""
-    raw = read_raw(spark, path)
+    """(symbol, persona, text, doc, parse_error, error): keys from the path {symbol}/{persona}.json; files that are no UTF-8 or
+    no JSON stay as rows. For a few keys of many, `rated_files.read_rated` opens their folders only."""
     keys = r"([^/]+)/([^/]+)\.json$"
-    doc = F.try_parse_json("text")
-    return raw.select(F.regexp_extract("path", keys, 1).alias("symbol"), F.regexp_extract("path", keys, 2).alias("persona"), "text", doc.alias("doc"), doc.isNull().alias("parse_error"))
+    raw = read_raw(spark, path).select(F.regexp_extract("path", keys, 1).alias("symbol"), F.regexp_extract("path", keys, 2).alias("persona"), "content")
+    return rated_files.decode(raw)
 
 
 def typed_ratings(raw: DataFrame) -> DataFrame:
@@ -120,7 +122,7 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_documents(df: DataFrame, folder: str, name: str, text: str) -> DataFrame:
-    """One file per row, `folder/<name>` with the text; the names written come back once the job has run. A task that runs
+    """One file per row, `folder/<name>` with the text (or bytes); the names written come back once the job has run. A task that runs
     again writes the same files."""
 
     def run(batches):
@@ -132,7 +134,7 @@ def write_documents(df: DataFrame, folder: str, name: str, text: str) -> DataFra
             for file, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 store.create_dir(f"{inner}/{file}".rsplit("/", 1)[0], recursive=True)
                 with store.open_output_stream(f"{inner}/{file}") as out:
-                    out.write((body or "").encode())
+                    out.write(body if isinstance(body, bytes) else (body or "").encode())
             yield pa.RecordBatch.from_arrays([batch.column(0)], names=["file"])
 
     return df.select(name, text).mapInArrow(run, "file string")

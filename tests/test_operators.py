@@ -106,6 +106,9 @@ CASES = {
     "ok": (rating(), []), "half": (rating(score=4.5), ["score_out_of_range"]), "text": (rating(score="4"), ["score_out_of_range"]), "float": (rating(score=4.0), []), "null": (rating(score=None), []),
     "rec": (rating(recommendation="SELL"), ["invalid_recommendation"]), "gone": (rating(red_flags="drop"), ["missing_fields"]), "empty": (rating(key_risks=[]), ["empty_arrays"]), "short": (rating(investment_thesis=" x "), ["empty_strings"]),
     "clash": (rating(score=2, recommendation="BUY"), ["score_recommendation_mismatch"]), "metric": (rating(metrics_evaluated={"moat_strength": "huge", "management_quality": "good", "financial_health": "good", "valuation": "fair", "new": "x"}), ["invalid_metric_values", "invalid_metric_values", "missing_fields"]),
+    "two gone": (rating(red_flags="drop", key_risks="drop"), ["missing_fields"]), "number": (rating(investment_thesis=5), ["empty_strings"]), "null text": (rating(investment_thesis=None), []), "no metrics": (rating(metrics_evaluated=None), []),
+    "fraction": (rating(recommendation=5.5), ["invalid_recommendation"]), "rec list": (rating(recommendation=["BUY"]), ["invalid_recommendation"]), "no rec": (rating(recommendation=None), []), "only text": ('{"symbol": "S", "analysis": "score recommendation"}', ["missing_fields"]),
+    "metric number": (rating(metrics_evaluated={"moat_strength": 5, "management_quality": None, "financial_health": "good", "valuation": "fair", "growth_potential": "low"}), ["invalid_metric_values", "missing_fields"]), "bytes": (b'{"analysis": "\xff\xfe"}', ["parse_errors"]),
     "list": (rating(metrics_evaluated=[1]), ["invalid_metric_values"]), "none": ('{"symbol": "S"}', ["missing_fields"]), "broken": ("{", ["parse_errors"]),
 }
 
@@ -113,14 +116,14 @@ CASES = {
 def test_document_audit(spark, tmp_path):
     for name, (text, _) in CASES.items():
         (tmp_path / name).mkdir()
-        (tmp_path / name / "warren_buffett.json").write_text(text)
+        (tmp_path / name / "warren_buffett.json").write_bytes(text if isinstance(text, bytes) else text.encode())
     files = documents.read_ratings(spark, str(tmp_path))
     found = {}
     for r in audit.document_issues(files).collect():
         found.setdefault(r.key.split("/")[0], []).append(r.category)
     assert {k: sorted(v) for k, v in found.items()} == {k: sorted(v) for k, (_, v) in CASES.items() if v}
     typed = {r.symbol: r.score for r in documents.typed_ratings(files).collect()}
-    assert set(typed) == set(CASES) - {"none", "broken"} and typed["ok"] == 4
+    assert set(typed) == set(CASES) - {"none", "broken", "bytes", "only text"} and typed["ok"] == 4
 
 
 def test_grades(spark):
