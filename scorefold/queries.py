@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from scorefold.functions import expr, parse
 from scorefold.operators import audit, enrich, joins, prompts, rollup, rules, screen
 from scorefold.sources import documents, html, rated_files, stage
+from scorefold.sources.buckets import BucketStore
+from scorefold.streaming import incremental, listeners, stateful
 from scorefold.streaming import ratings as streams
 
 RATERS = ("AF", "AO", "NF", "NO", "RF", "RO")
@@ -694,6 +696,66 @@ def stream_composite(spark, d):
     return documents.read_table(spark, f"{path}/table")
 
 
+LATEST_EVENTS = "l AS (SELECT user_id AS symbol, event_type, event_id % 11 AS score FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1)"
+
+
+@query(f"WITH {LATEST_EVENTS}, s AS (SELECT symbol, sum(score)::BIGINT AS composite_score, count(*) AS coverage FROM l GROUP BY symbol) SELECT *, rank() OVER (ORDER BY composite_score DESC) AS rank FROM s")
+def stream_view(spark, d):
+    """Ratings that overwrite each other, batch by batch: scores and ranks kept up to date by what each batch touches."""
+    path = stage.new_path(spark, "stream-view")
+    view = incremental.ViewStore(spark, f"{path}/store", "symbol", "persona", ["event_id"], buckets=8, width=10)
+    incremental.stream_view(event_parts(spark, d), view, f"{path}/checkpoint").awaitTermination()
+    return view.ranked().select("symbol", "composite_score", "coverage", "rank")
+
+
+@query(f"WITH {LATEST_EVENTS} SELECT symbol, sum(score)::BIGINT AS composite_score, count(*) AS coverage, CASE WHEN sum(score) >= 36 THEN 'BUY' WHEN sum(score) >= 24 THEN 'HOLD' ELSE 'AVOID' END AS consensus_recommendation FROM l GROUP BY symbol")
+def stream_stateful(spark, d):
+    """The running composite from keyed state, its changes merged into a bucketed table."""
+    path = stage.new_path(spark, "stream-stateful")
+    store = BucketStore(spark, f"{path}/store", buckets=8)
+    updates = stateful.running_composite(event_parts(spark, d), "symbol", "persona", "event_id", buy=BUY, hold=HOLD)
+    stateful.upsert_updates(updates, store, "symbol", f"{path}/checkpoint").awaitTermination()
+    return store.read("composite")
+
+
+@query("SELECT 'seen' AS metric, count(*) AS value FROM events UNION ALL SELECT 'high', count(*) FILTER (event_id % 11 >= 6) FROM events UNION ALL SELECT 'clicks', count(*) FILTER (event_type = 'click') FROM events")
+def stream_counts(spark, d):
+    """What a stream's listener has counted while the stream was written."""
+    path = stage.new_path(spark, "stream-counts")
+    name = path.rsplit("/", 1)[-1]
+    log = listeners.ProgressLog({name})
+    spark.streams.addListener(log)
+    try:
+        stream = listeners.count_by(event_parts(spark, d), "scores", {"high": F.col("score") >= 6, "clicks": F.col("persona") == "click"})
+        stream.writeStream.queryName(name).format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        listeners.wait_for_events(spark)
+    finally:
+        spark.streams.removeListener(log)
+    log.save(spark, f"{path}/log")
+    return spark.read.parquet(f"{path}/log").where("metric <> 'batch_ms'").groupBy("metric").agg(F.sum("value").alias("value"))
+
+
+@query("SELECT count(*) AS seen, count(*) FILTER (o_orderstatus = 'F') AS skipped, count(*) FILTER (o_orderstatus <> 'F') AS pending, (SELECT count(*) FROM orders WHERE o_orderstatus <> 'F') AS written FROM orders")
+def selection_counts(spark, d):
+    """Work still to do, written, with the numbers of what was skipped counted in the same pass."""
+    path = stage.new_path(spark, "pending-orders")
+    tests = {"skipped": F.col("o_orderstatus") == "F", "pending": F.col("o_orderstatus") != "F"}
+    _, counts = listeners.run_counted(table(spark, d, "orders"), tests, lambda df: df.where("o_orderstatus <> 'F'").write.parquet(path))
+    return spark.read.parquet(path).agg(*[F.lit(v).cast("bigint").alias(k) for k, v in counts.items()], F.count("*").alias("written"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_custkey <> 0 UNION ALL SELECT -c_custkey, 0.0 FROM customer WHERE c_custkey % 10 = 0")
+def bucket_upsert(spark, d):
+    """The upsert of upsert_documents into a bucketed table with a manifest; only touched buckets are written again."""
+    c = table(spark, d, "customer").select("c_custkey", "c_acctbal")
+    store = BucketStore(spark, stage.new_path(spark, "bucket-store"), buckets=16)
+    store.upsert("customers", c, ["c_custkey"])
+    store.upsert("customers", c.where("c_custkey % 2 = 0").withColumn("c_acctbal", F.col("c_acctbal") + 1), ["c_custkey"])
+    store.upsert("customers", c.where("c_custkey % 10 = 0").select((-F.col("c_custkey")).alias("c_custkey"), F.lit(0.0).alias("c_acctbal")), ["c_custkey"])
+    store.vacuum(keep=1)
+    return store.read("customers")
+
+
 SCREEN_SQL = {
     "deep_value": ["price < sqrt(CASE WHEN eps > 0 AND book_value > 0 THEN 22.5 * eps * book_value END)", "pe < 15", "price / nullif(book_value, 0) < 1.5", "current_ratio > 2", "debt_to_equity < 0.5", "dividend_yield > 0.02"],
     "earnings_quality": ["roic > 0.15", "fcf / nullif(net_income, 0) > 0.8", "debt / nullif(ebitda, 0) < 2.5"],
