@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scorefold.operators import quantiles
 from scorefold.sources import stage
 
 RECOMMENDATIONS = ("BUY", "HOLD", "AVOID")
@@ -41,7 +42,7 @@ def place(df: DataFrame, by: str, out: str, ties: Sequence[str] = ()) -> DataFra
     over one row each. Equal values then share the least of their numbers. Null values come last."""
     order = [F.col(by).desc_nulls_last(), *(F.col(t) for t in ties)]
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = order if ties else [*order, F.xxhash64(*df.columns).asc()]
+    spread = order if ties else [*order, F.xxhash64(*[c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]).asc()]
     rows = df.repartitionByRange(n, *spread).sortWithinPartitions(*order)
     at = F.monotonically_increasing_id()
     rows = stage.written(rows.withColumns({"_part": F.shiftright(at, 33), "_in": at.bitwiseAND(F.lit((1 << 33) - 1)) + 1}), "placed")
@@ -56,6 +57,34 @@ def place(df: DataFrame, by: str, out: str, ties: Sequence[str] = ()) -> DataFra
     return shared.select(*[c for c in df.columns if c != out], F.col("_first").alias(out))
 
 
+def place_all(df: DataFrame, outs: dict[str, str], ranges: int = 200) -> DataFrame:
+    """df with the place of each row by several columns, {column: out}: descending, equal values share a place, nulls come last.
+
+    df is written once. All columns are ranked together: their values are counted by column and value, so that a frequent
+    value is one row; the counts are dealt by column and range of values, summed before each range and within it; the places
+    come back by value, and a row's places by its number. No task holds an order of all rows, and none a frequent value.
+    Values are compared as doubles."""
+    if not outs:
+        return df
+    rows = stage.written(df.withColumn("_row", F.monotonically_increasing_id()), "ranked-rows")
+    cells = rows.select("_row", F.inline(F.array(*[F.struct(F.lit(k).alias("_column"), F.col(c).cast("double").alias("_value")) for k, c in enumerate(outs)])))
+    counts = stage.written(cells.groupBy("_column", "_value").agg(F.count("*").alias("_n")), "value-counts")
+    # bounds of about equal numbers of distinct values: at most `ranges` for a column
+    bounds = counts.groupBy("_column").agg(F.percentile_approx("_value", F.array(*[F.lit(k / ranges) for k in range(ranges + 1)]), F.lit(10 * ranges)).alias("_bounds"))
+    dealt = counts.join(F.broadcast(bounds), "_column")
+    dealt = dealt.withColumn("_range", F.when(F.col("_value").isNull(), -1).otherwise(F.size(F.filter("_bounds", lambda b: b < F.col("_value"))))).drop("_bounds")
+    dealt = stage.written(dealt, "value-ranges")
+    sizes = dealt.groupBy("_column", "_range").agg(F.sum("_n").alias("_n"))
+    before = Window.partitionBy("_column").orderBy(F.col("_range").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    above = sizes.select("_column", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_above"))
+    within = Window.partitionBy("_column", "_range").orderBy(F.col("_value").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    placed = dealt.join(F.broadcast(above), ["_column", "_range"])
+    placed = placed.select(F.col("_column").alias("_c"), F.col("_value").alias("_v"), (F.col("_above") + F.coalesce(F.sum("_n").over(within), F.lit(0)) + 1).alias("_place"))
+    both = cells.join(placed, (F.col("_column") == F.col("_c")) & F.col("_value").eqNullSafe(F.col("_v")))
+    places = both.groupBy("_row").agg(*[F.max(F.when(F.col("_column") == k, F.col("_place"))).cast("long").alias(out) for k, out in enumerate(outs.values())])
+    return rows.drop(*outs.values()).join(places, "_row").select(*[c for c in df.columns if c not in outs.values()], *outs.values())
+
+
 def rank_scores(scores: DataFrame, by: str = "composite_score", entity: str = "symbol") -> DataFrame:
     """rank by descending score, ties by entity."""
     return place(scores, by, "rank", [entity])
@@ -81,12 +110,21 @@ def majority_vote(ratings: DataFrame, entity: str, recommendation: str = "recomm
     return n.groupBy(entity).agg(F.max_by("rec", F.struct(F.col("n"), -place)).alias("majority"), F.max("n").alias("votes"))
 
 
+def with_median(stats: DataFrame, rows: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:
+    """stats, one row per group of rows, with the exact median of a value; groups without one have null."""
+    found = quantiles.quantiles(rows, by, value).select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("q0").alias(out))
+    test = F.lit(True)
+    for c in by:
+        test = test & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    return stats.join(found, test, "left").drop(*[f"_by_{c}" for c in by])
+
+
 def rater_stats(ratings: DataFrame, rater: str, score: str = "score", places: int = 2) -> DataFrame:
+    """(rater, mean, median, stdev, min, max, n); the median by distributed selection, whatever the number of scores."""
     s = F.col(score)
-    return ratings.where(s.isNotNull()).groupBy(rater).agg(
-        F.round(F.avg(s), places).alias("mean"), F.percentile(s, F.lit(0.5)).alias("median"), F.coalesce(F.round(F.stddev_samp(s), places), F.lit(0.0)).alias("stdev"),
-        F.min(s).alias("min"), F.max(s).alias("max"), F.count(s).alias("n"),
-    )
+    rows = stage.written(ratings.where(s.isNotNull()).select(rater, score), "rater-scores")
+    stats = rows.groupBy(rater).agg(F.round(F.avg(s), places).alias("mean"), F.coalesce(F.round(F.stddev_samp(s), places), F.lit(0.0)).alias("stdev"), F.min(s).alias("min"), F.max(s).alias("max"), F.count(s).alias("n"))
+    return with_median(stats, rows, [rater], score, "median").select(rater, "mean", "median", "stdev", "min", "max", "n")
 
 
 def score_distribution(ratings: DataFrame, rater: str, score: str = "score") -> DataFrame:
@@ -126,8 +164,11 @@ def group_average(scores: DataFrame, by: str, composite: str = "composite_score"
 
 
 def composite_summary(scores: DataFrame, composite: str = "composite_score") -> DataFrame:
+    """One row: mean, exact median (by distributed selection), sample deviation, extremes."""
     c = F.col(composite)
-    return scores.agg(F.avg(c).alias("mean"), F.percentile(c, F.lit(0.5)).alias("median"), F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias("stdev"), F.min(c).alias("min"), F.max(c).alias("max"))
+    rows = stage.written(scores.select(composite), "composite-scores")
+    stats = rows.agg(F.avg(c).alias("mean"), F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias("stdev"), F.min(c).alias("min"), F.max(c).alias("max"))
+    return with_median(stats, rows, [], composite, "median").select("mean", "median", "stdev", "min", "max")
 
 
 def rater_group_totals(ratings: DataFrame, groups: dict[str, Sequence[str]], entity: str, rater: str, score: str = "score") -> DataFrame:
@@ -196,9 +237,11 @@ def status_counts(df: DataFrame, status: str) -> DataFrame:
 
 
 def usage_rollup(df: DataFrame, by: Sequence[str], cost: str, duration: str, tokens: Sequence[str] = ()) -> DataFrame:
-    """Calls, cost, duration and the sums of any token columns (fields of a struct by their path)."""
+    """Calls, cost, duration (mean and exact median) and the sums of any token columns (fields of a struct by their path)."""
     sums = [F.sum(t).alias(f"total_{t.rsplit('.', 1)[-1]}") for t in tokens]
-    return df.groupBy(*by).agg(F.count("*").alias("calls"), F.sum(cost).alias("total_cost"), F.avg(cost).alias("mean_cost"), F.avg(duration).alias("mean_duration"), F.percentile(duration, F.lit(0.5)).alias("median_duration"), *sums)
+    stats = df.groupBy(*by).agg(F.count("*").alias("calls"), F.sum(cost).alias("total_cost"), F.avg(cost).alias("mean_cost"), F.avg(duration).alias("mean_duration"), *sums)
+    rows = df.select(*by, F.col(duration).alias("_duration"))
+    return with_median(stats, rows, by, "_duration", "median_duration")
 
 
 def page_years(listing: DataFrame, page: str, date: str) -> DataFrame:

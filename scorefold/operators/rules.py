@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorefold.operators.rollup import place
+from scorefold.operators.rollup import place_all
 
 D = F.try_divide
 
@@ -55,7 +55,7 @@ def magic_formula(df: DataFrame, entity: str, ebit: str, ev: str, capital: str,
     zero or less and undefined ratios drop out."""
     rows = df.where((F.col(ebit) > 0) & ~F.coalesce(F.col(sector).isin(*excluded), F.lit(False)))
     rows = rows.select(entity, F.round(D(F.col(ebit), F.col(ev)), 9).alias("earnings_yield"), F.round(D(F.col(ebit), F.col(capital)), 9).alias("return_on_capital")).dropna()
-    ranked = place(place(rows, "earnings_yield", "yield_rank"), "return_on_capital", "capital_rank")
+    ranked = place_all(rows, {"earnings_yield": "yield_rank", "return_on_capital": "capital_rank"})
     return ranked.withColumn("magic_rank", F.col("yield_rank") + F.col("capital_rank"))
 
 
