@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,3 +72,32 @@ def rubric_band(df: DataFrame, score: str, rater: str | None = None, bands: Data
     each = bands.select(*keys, "band", "meaning", F.explode(F.sequence(F.col("low").cast("bigint"), F.col("high").cast("bigint"))).alias("_score"))
     rows = df.withColumn("_score", F.when(F.col(score) == F.floor(score), F.col(score).cast("bigint")))
     return rows.join(each, [*keys, "_score"], "left").drop("_score").select(*df.columns, "band", "meaning")
+
+
+def band_join(df: DataFrame, score: str, bands: DataFrame, keys: Sequence[str] = (), bins: int = 256, outer: bool = True) -> DataFrame:
+    """df with the columns of the band that each score falls in, one row for each band that holds it.
+
+    bands: (keys, low, high, and what else it has). Bounds belong to the band unless a column low_open or high_open says true; a
+    null bound is open to that side. Scores may be fractions. outer: scores in no band, null ones too, stay with nulls.
+
+    An interval join on bins: the range of all finite bounds is cut into `bins` equal parts, with one part below and one above;
+    a band stands under each part that it touches, a score under one, and the exact bounds are tested within equal parts and
+    keys. So the join is one of equality, dealt or broadcast as Spark finds best, and no score meets bands of other parts."""
+    extra = [c for c in bands.columns if c not in (*keys, "low", "high", "low_open", "high_open")]
+    flags = [F.coalesce(F.col(c), F.lit(False)).alias(f"_{c}") if c in bands.columns else F.lit(False).alias(f"_{c}") for c in ("low_open", "high_open")]
+    edges = bands.agg(F.least(F.min("low"), F.min("high")).cast("double").alias("_from"), F.greatest(F.max("low"), F.max("high")).cast("double").alias("_to"))  # one row
+
+    def part(c: Column) -> Column:
+        width = F.greatest((F.col("_to") - F.col("_from")) / bins, F.lit(1e-300))
+        return F.greatest(F.lit(-1), F.least(F.lit(bins + 1), F.floor((c - F.col("_from")) / width))).cast("int")
+
+    held = bands.select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.col("low").cast("double").alias("_low"), F.col("high").cast("double").alias("_high"), *flags, *extra).join(F.broadcast(edges))
+    first, last = F.when(F.col("_low").isNull(), -1).otherwise(part(F.col("_low"))), F.when(F.col("_high").isNull(), bins + 1).otherwise(part(F.col("_high")))
+    held = held.where(F.coalesce(F.col("_low") <= F.col("_high"), F.lit(True))).withColumn("_part", F.explode(F.sequence(first, last))).drop("_from", "_to")
+    rows = df.join(F.broadcast(edges)).withColumns({"_score": F.col(score).cast("double")}).withColumn("_own", F.when(F.col("_from").isNull(), F.lit(-1)).otherwise(part(F.col("_score")))).drop("_from", "_to")
+    low = F.col("_low").isNull() | (F.col("_score") > F.col("_low")) | (~F.col("_low_open") & (F.col("_score") == F.col("_low")))
+    high = F.col("_high").isNull() | (F.col("_score") < F.col("_high")) | (~F.col("_high_open") & (F.col("_score") == F.col("_high")))
+    test = (F.col("_own") == F.col("_part")) & F.col("_score").isNotNull() & low & high
+    for k in keys:
+        test = test & (F.col(k) == F.col(f"_key_{k}"))
+    return rows.join(held, test, "left" if outer else "inner").select(*df.columns, *extra)

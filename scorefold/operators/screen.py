@@ -63,6 +63,21 @@ def restrict_raters(df: DataFrame, chosen: Sequence[str], every: Sequence[str],
     return df.withColumns({composite: total, "max_score": F.lit(most * len(set(chosen)))})
 
 
+def known_choice(chosen: Column, every: Sequence[str]) -> Column:
+    """The raters of an array column that are known, each once, in the order of `every`; none chosen, or none known, is all."""
+    all_of = F.array(*map(F.lit, every))
+    known = F.array_intersect(all_of, F.coalesce(chosen, F.array().cast("array<string>")))
+    return F.when(F.size(known) > 0, known).otherwise(all_of)
+
+
+def restrict_by_choice(df: DataFrame, chosen: str, every: Sequence[str], scores: str = "persona_scores", composite: str = "composite_score", most: int = 10) -> DataFrame:
+    """restrict_raters with a choice in each row, an array of raters: the row's composite over its known choice, and its
+    largest possible value."""
+    rows = df.withColumn("_known", known_choice(F.col(chosen), every))
+    total = F.aggregate(F.transform("_known", lambda k: F.coalesce(F.col(scores)[k].cast("long"), F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, x: a + x)
+    return rows.withColumns({composite: total, "max_score": most * F.size("_known")}).drop("_known")
+
+
 def table_view(df: DataFrame, display: dict[str, str] = DISPLAY) -> DataFrame:
     """The display columns; those that are absent are null."""
     return df.select(*[(F.col(c) if c in df.columns else F.lit(None).cast("string")).alias(name) for c, name in display.items()])

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scorefold.functions import expr, parse
 from scorefold.operators import audit, enrich, joins, prompts, rollup, rules, screen
-from scorefold.sources import documents, html, rated_files, stage
+from scorefold.plans import raters as dimension
+from scorefold.sources import documents, html, infer, rated_files, stage
 from scorefold.sources.buckets import BucketStore
 from scorefold.streaming import incremental, listeners, stateful
 from scorefold.streaming import ratings as streams
@@ -696,6 +697,57 @@ def stream_composite(spark, d):
     return documents.read_table(spark, f"{path}/table")
 
 
+@query("SELECT s_suppkey % 3 AS kind, count(*) AS n, count(*) FILTER (s_suppkey % 3 <> 1) AS priced, round(sum(CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey + 0.5 WHEN s_suppkey % 3 = 2 THEN s_suppkey END::DOUBLE), 6) AS total, count(*) FILTER (s_suppkey % 4 = 0) AS texts, sum(s_nationkey)::BIGINT AS first_period, max(s_name) AS name FROM supplier GROUP BY ALL")
+def typed_documents(spark, d):
+    """Documents of no known schema to one typed table; a field of two types stays open, periods become a map."""
+    k = F.col("s_suppkey")
+    n = k.cast("string")
+    price = F.when(k % 3 == 0, F.concat(F.lit(', "price": '), n, F.lit(".5"))).when(k % 3 == 1, ', "price": null').otherwise(F.concat(F.lit(', "price": '), n))
+    text = F.concat(F.lit('{"info": {"name": "'), "s_name", F.lit('"'), price, F.lit(', "mixed": '), F.when(k % 4 == 0, '"text"').otherwise(n), F.lit('}, "facts": {"'), n, F.lit('": '), F.col("s_nationkey").cast("string"), F.lit("}}"))
+    docs = table(spark, d, "supplier").select("s_suppkey", F.parse_json(text).alias("doc"))
+    rows = infer.write_typed(docs, stage.new_path(spark, "typed-documents"), ["s_suppkey"], types={"facts": "map<string,bigint>"})
+    texts = F.count_if(F.schema_of_variant("info.mixed") == "STRING")
+    return rows.groupBy((k % 3).alias("kind")).agg(F.count("*").alias("n"), F.count("info.price").alias("priced"), F.round(F.sum("info.price"), 6).alias("total"), texts.alias("texts"), F.sum(F.col("facts")[n]).alias("first_period"), F.max("info.name").alias("name"))
+
+
+RUBRIC_ROWS = ", ".join(f"('{slug}', '{band}', {band.split('-')[0]}, {band.split('-')[1]}, '{text}')" for slug, texts in dimension.RUBRICS.items() for band, text in zip(dimension.BANDS, texts, strict=True))
+
+
+@query(
+    f"""WITH b AS (SELECT * FROM (VALUES {RUBRIC_ROWS}) b(persona, band, low, high, meaning)), g AS (SELECT i, persona FROM (SELECT row_number() OVER (ORDER BY p) - 1 AS i, p AS persona FROM (SELECT unnest({list(dimension.SLUGS)}) AS p))),
+e AS (SELECT event_id, g.persona, (event_id % 23) / 2.0 AS score FROM events JOIN g ON g.i = event_id % 11)
+SELECT e.event_id, e.persona, e.score, b.band, b.meaning FROM e LEFT JOIN b ON b.persona = e.persona AND e.score >= b.low AND e.score <= b.high"""
+)
+def rubric_bands(spark, d):
+    """Scores, halves too, with what their rater means by them: an interval join with the bands of all raters."""
+    order = F.array(*[F.lit(s) for s in sorted(dimension.SLUGS)])
+    k = F.col("event_id")
+    rows = table(spark, d, "events").select("event_id", F.get(order, (k % 11).cast("int")).alias("persona"), ((k % 23) / 2.0).alias("score")).where("persona IS NOT NULL")
+    return rules.band_join(rows, "score", dimension.rubrics(spark), ["persona"]).select("event_id", "persona", "score", "band", "meaning")
+
+
+@query("WITH c AS (SELECT event_type, round(min(value), 2) AS low FROM events GROUP BY event_type, user_id), b AS (SELECT event_type, low, lead(low) OVER (PARTITION BY event_type ORDER BY low) AS high FROM (SELECT DISTINCT event_type, low FROM c)) SELECT e.event_type, b.low, b.high, count(*) AS n FROM events e JOIN b ON e.event_type = b.event_type AND e.value >= b.low AND (b.high IS NULL OR e.value < b.high) GROUP BY ALL")
+def value_bands(spark, d):
+    """Many bands cut from the data itself, at the least value of each user: closed below, open above, the last without an end."""
+    e = table(spark, d, "events").select("event_type", "value", "user_id")
+    cuts = e.groupBy("event_type", "user_id").agg(F.round(F.min("value"), 2).alias("low")).select("event_type", "low").distinct()
+    above = F.lead("low").over(Window.partitionBy("event_type").orderBy("low"))
+    bands = cuts.select("event_type", "low", above.alias("high"), F.lit(True).alias("high_open"), F.col("low").alias("band_low"), above.alias("band_high"))
+    found = rules.band_join(e, "value", bands, ["event_type"], outer=False)
+    return found.groupBy("event_type", F.col("band_low").alias("low"), F.col("band_high").alias("high")).agg(F.count("*").alias("n"))
+
+
+@query(W + """, c AS (SELECT symbol, CASE symbol % 4 WHEN 0 THEN NULL WHEN 1 THEN ['RO', 'AF', 'RO', 'XX'] WHEN 2 THEN ['XX'] ELSE ['NF'] END AS chosen FROM scores),
+k AS (SELECT symbol, CASE symbol % 4 WHEN 1 THEN ['AF', 'RO'] WHEN 3 THEN ['NF'] ELSE ['AF', 'AO', 'NF', 'NO', 'RF', 'RO'] END AS known FROM c)
+SELECT k.symbol, coalesce(sum(score) FILTER (list_contains(known, persona)), 0)::BIGINT AS composite_score, (10 * len(any_value(known)))::INT AS max_score FROM k JOIN ratings r ON r.symbol = k.symbol GROUP BY k.symbol""")
+def chosen_raters(spark, d):
+    """Composites over a choice of raters of each row; unknown and repeated ones do not count."""
+    rows = rollup.persona_scores(ratings(spark, d), "symbol", "persona")
+    k = F.col("symbol") % 4
+    chosen = F.when(k == 1, F.array(*map(F.lit, ("RO", "AF", "RO", "XX")))).when(k == 2, F.array(F.lit("XX"))).when(k == 3, F.array(F.lit("NF")))
+    return screen.restrict_by_choice(rows.withColumn("chosen", chosen), "chosen", RATERS).select("symbol", "composite_score", "max_score")
+
+
 LATEST_EVENTS = "l AS (SELECT user_id AS symbol, event_type, event_id % 11 AS score FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1)"
 
 
