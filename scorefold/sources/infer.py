@@ -13,7 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import ArrayType, DataType, StructField, StructType
 
 #: What types of VARIANT values become in a table; names in backticks are left as they are.
 TYPES = ((r"OBJECT<>", "VARIANT"), (r"OBJECT<", "STRUCT<"), (r"\bVOID\b", "VARIANT"), (r"DECIMAL\(\d+,\d+\)|\bFLOAT\b", "DOUBLE"))
@@ -34,10 +34,19 @@ def document_schema(docs: DataFrame, doc: str = "doc", types: dict[str, str] | N
     return StructType([StructField(f.name, wanted.get(f.name, f.dataType)) for f in fields] + [StructField(k, v) for k, v in wanted.items() if k not in known])
 
 
+def type_text(kind: DataType) -> str:
+    """A type as DDL, names in backticks."""
+    if isinstance(kind, StructType):
+        return "struct<" + ", ".join("`" + f.name.replace("`", "``") + "`: " + type_text(f.dataType) for f in kind) + ">"
+    if isinstance(kind, ArrayType):
+        return f"array<{type_text(kind.elementType)}>"
+    return kind.simpleString()
+
+
 def typed(docs: DataFrame, schema: StructType, keys: Sequence[str] = (), doc: str = "doc") -> DataFrame:
     """(keys, fields of schema) of VARIANT documents; values of another type than the schema's are null."""
     paths = {f.name: "$['" + f.name.replace("'", "\\'") + "']" for f in schema}
-    return docs.select(*keys, *[F.try_variant_get(doc, paths[f.name], f.dataType.simpleString()).alias(f.name) for f in schema if f.name not in keys])
+    return docs.select(*keys, *[F.try_variant_get(doc, paths[f.name], type_text(f.dataType)).alias(f.name) for f in schema if f.name not in keys])
 
 
 def write_typed(docs: DataFrame, path: str, keys: Sequence[str] = (), doc: str = "doc", types: dict[str, str] | None = None) -> DataFrame:
