@@ -8,6 +8,11 @@ compared in batches. The union of the blocks' pairs is verified by the cosine in
 
 A cell of many vectors is dealt over several tasks by chunks of both sides, so no cell is gathered whole. The number of
 coordinates that make up a cell grows with the largest label, which changes cost only.
+
+Crowds of near copies would give the square of their number of pairs. So the centres of the most crowded cells, HEARTS of them
+at most, are held against all vectors of their label first: two vectors within half the angle of one centre are within the
+whole angle of each other, since angles obey the triangle inequality. All members of such a heart are linked with each other;
+they are counted, tied to one member, and their pairs are left out of the join. All other pairs go through it.
 """
 
 from __future__ import annotations
@@ -23,6 +28,8 @@ from scorefold.llm.components import connected_components
 
 #: Added to budgets against rounding of the rotated coordinates.
 SLACK = 1e-5
+#: Crowded cells whose centres are tried, and what makes a cell crowded.
+HEARTS, CROWD = 64, 128
 
 
 def rotation(dims: int) -> np.ndarray:
@@ -41,7 +48,7 @@ def radius(cosine: float, blocks: int) -> float:
 
 
 def cells(rep: np.ndarray, vectors: np.ndarray, cosine: float, width: int, grid: int, probe: bool):
-    """For every vector, block and cell: (row, block, cell text, block coordinates); probe: all cells within reach."""
+    """For every vector, block and cell: (rows, block, cell coordinates, block coordinates); probe: all cells within reach."""
     units = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     turned = units @ rotation(vectors.shape[1])
     edges = block_edges(vectors.shape[1], width)
@@ -59,70 +66,127 @@ def cells(rep: np.ndarray, vectors: np.ndarray, cosine: float, width: int, grid:
             yield rows, b, np.where(up, high, low)[rows], own[rows]
 
 
-def near_vectors(rows: DataFrame, cosine: float = 0.98, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", width: int = 8, chunk: int = 2048) -> DataFrame:
+def numbered(label: np.ndarray, block: int, cell: np.ndarray) -> np.ndarray:
+    """A 64-bit number of each label, block and cell; two cells of one number cost comparisons, no links."""
+    out = label.astype(np.int64).view(np.uint64) + np.uint64(block + 1) * np.uint64(0x9E3779B97F4A7C15)
+    for k in range(cell.shape[1]):
+        out = (out ^ (out >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + cell[:, k].astype(np.int64).view(np.uint64)
+    return ((out ^ (out >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)).view(np.int64)
+
+
+def stacked(column, dims: int) -> np.ndarray:
+    """A binary Arrow column of doubles as rows of `dims` numbers."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, dims)
+
+
+def by_dims(batch, name: str = "v"):
+    """Places of a batch's rows and their vectors, for each number of dimensions."""
+    import pyarrow.compute as pc
+
+    size = pc.binary_length(batch.column(name)).to_numpy(zero_copy_only=False) // 8
+    for d in np.unique(size).tolist():
+        at = np.flatnonzero(size == d)
+        yield d, at, stacked(batch.column(name).take(at), d)
+
+
+def pack(batches):
+    """(vec_id, label, v): usable vectors as the bytes of their doubles, null for the others."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        found = batch.column("v")
+        offsets = found.offsets.to_numpy()
+        values = found.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]] + 0.0  # nulls are not finite, -0 is 0
+        offsets = offsets - offsets[0]
+        full = np.diff(offsets) > 0
+        with np.errstate(over="ignore", invalid="ignore"):
+            size = np.zeros(len(full))
+            size[full] = np.add.reduceat(values * values, offsets[:-1][full]) if full.any() else 0
+        good = full & np.isfinite(size) & (size > 0)
+        raw = pa.Array.from_buffers(pa.binary(), len(full), [None, pa.py_buffer((offsets * 8).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+        keep = pc.and_(pc.and_(pa.array(good), found.is_valid()), batch.column("label").is_valid())
+        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), pc.if_else(keep, raw, pa.scalar(None, pa.binary()))], names=["vec_id", "label", "v"])
+
+
+def near_vectors(rows: DataFrame, cosine: float = 0.98, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", width: int = 8, chunk: int = 2048, crowd: int = CROWD) -> DataFrame:
     """One row per row of the table: vec_id, n_links, component_id and kept.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and rows without a label, link with nothing;
-    so do vectors of different lengths. Rows of one vec_id count as that many vectors.
+    so do vectors of different lengths, and rows without a vec_id. Rows of one vec_id count as that many vectors: classes of
+    equal vectors have numbers of their own, and the least vec_id is taken of whole components.
     """
     import pyarrow as pa
 
     base = rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("v"))
-
-    def pack(batches):
-        for batch in batches:
-            packed = []
-            for name, v in zip(batch.column("label").to_pylist(), batch.column("v"), strict=True):
-                values = v.values if name is not None and v.is_valid else None
-                if values is None or not len(values) or values.null_count:
-                    packed.append(None)
-                    continue
-                x = values.to_numpy()
-                packed.append((x + 0.0).tobytes() if np.isfinite(x).all() and x.any() and np.isfinite(n := float(x @ x)) and n > 0 else None)
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), pa.array(packed, pa.binary())], names=["vec_id", "label", "v"])
-
     base = common.written(base.mapInArrow(pack, "vec_id long, label string, v binary"), "vectors")
     usable = base.where("v is not null and vec_id is not null")
-    reps = common.written(usable.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "vector-classes")
+    reps = usable.groupBy("label", "v").agg(F.min("vec_id").alias("least"), F.count("*").alias("n")).withColumns({"rep": F.monotonically_increasing_id(), "name": F.xxhash64("label")})
+    reps = common.written(reps, "vector-classes")
     largest = reps.groupBy("label").count().agg(F.max("count")).first()[0] or 1
     grid = min(6, max(2, math.ceil(math.log(largest / 4000) / math.log(2.2)))) if largest > 4000 else 2
 
     def spread(probe: bool):
         def run(batches):
             for batch in batches:
-                ids, names = batch.column("rep").to_numpy(), np.array(batch.column("label").to_pylist(), object)
-                raw = [v.as_py() for v in batch.column("v")]
-                dims = np.array([len(v) // 8 for v in raw])
-                for d in np.unique(dims).tolist():
-                    at = np.flatnonzero(dims == d)
-                    vectors = np.frombuffer(b"".join(raw[k] for k in at.tolist()), np.float64).reshape(-1, d)
+                ids, names, hearts = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "name", "heart"))
+                for d, at, vectors in by_dims(batch):
+                    share = radius(cosine, len(block_edges(d, width))) ** 2
                     for found, b, cell, own in cells(ids[at], vectors, cosine, width, grid, probe):
                         if len(found):
-                            where = [f"{x}|{d}|{b}|{','.join(map(str, c))}" for x, c in zip(names[at[found]].tolist(), cell.tolist(), strict=True)]
-                            data = own.astype("<f4")
-                            yield pa.RecordBatch.from_pydict({"cell": pa.array(where), "rep": pa.array(ids[at[found]]), "x": pa.array([r.tobytes() for r in data], pa.binary()), "share": pa.array(np.full(len(found), radius(cosine, len(block_edges(d, width))) ** 2))})
+                            data, m = np.ascontiguousarray(own.astype("<f4")), len(found)
+                            x = pa.Array.from_buffers(pa.binary(), m, [None, pa.py_buffer((np.arange(m + 1) * data.shape[1] * 4).astype(np.int32)), pa.py_buffer(data)])
+                            one = [pa.array(np.full(m, v, t)) for v, t in ((d, np.int32), (b, np.int32))]
+                            yield pa.RecordBatch.from_arrays([*one, pa.array(numbered(names[at[found]], b, cell)), pa.array(ids[at[found]]), pa.array(hearts[at[found]]), x, pa.array(np.full(m, share))], names=["dims", "block", "cell", "rep", "heart", "x", "share"])
 
         return run
 
-    schema = "cell string, rep long, x binary, share double"
-    index = reps.mapInArrow(spread(False), schema)
-    chunks = common.written(index.groupBy("cell").count().select("cell", F.ceil(F.col("count") / chunk).cast("int").alias("chunks")).where("chunks > 0"), "vector-cells")
-    every = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    mine = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
-    left = index.join(chunks, "cell").select("rep", "x", "share", "cell", mine.alias("ci"), every.alias("cp"))
-    right = reps.mapInArrow(spread(True), schema).join(chunks, "cell").select("rep", "x", "share", "cell", every.alias("ci"), mine.alias("cp"))
-    keys = ["cell", "ci", "cp"]
+    schema = "dims int, block int, cell long, rep long, heart int, x binary, share double"
+    cell = ["dims", "block", "cell"]
+    plain = reps.withColumn("heart", F.lit(-1))
+    crowded = plain.mapInArrow(spread(False), schema).groupBy(*cell).agg(F.count("*").alias("n"), F.min("rep").alias("rep")).where(F.col("n") > crowd).groupBy("rep").agg(F.max("n").alias("size")).orderBy(F.col("size").desc(), "rep").limit(HEARTS)
+    hearts = [(r["name"], np.frombuffer(r["v"], np.float64)) for r in reps.join(crowded, "rep").orderBy(F.col("size").desc(), "rep").select("name", "v").collect()]
+    half = math.sqrt((1 + cosine) / 2) + 1e-9
+
+    def assign(batches):
+        for batch in batches:
+            names, out = batch.column("name").to_numpy(), np.full(batch.num_rows, -1, np.int32)
+            for d, at, vectors in by_dims(batch):
+                units = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+                for k, (name, v) in enumerate(hearts):
+                    if len(v) == d:
+                        out[at[(names[at] == name) & (out[at] < 0) & (units @ (v / np.linalg.norm(v)) >= half)]] = k
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, "heart"])
+
+    if hearts:
+        reps = common.written(reps.mapInArrow(assign, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in reps.schema)}, heart int"), "vector-hearts")
+    else:
+        reps = plain
+    members = reps.where("heart >= 0").groupBy("label", "heart").agg(F.sum("n").alias("members"), F.min("rep").alias("first"))  # HEARTS rows at most, but for labels of one hash
+
+    index, probe = reps.mapInArrow(spread(False), schema), reps.mapInArrow(spread(True), schema)
+    sizes = index.groupBy(*cell).count().join(probe.groupBy(*cell).agg(F.count("*").alias("probes")), cell)
+    chunks = common.written(sizes.select(*cell, F.ceil(F.col("count") / chunk).cast("int").alias("ni"), F.ceil(F.col("probes") / chunk).cast("int").alias("np")), "vector-cells")
+
+    def dealt(side: DataFrame, own: str, other: str, mine: str, theirs: str) -> DataFrame:
+        part = F.pmod(F.xxhash64("rep"), F.col(own)).cast("int")
+        return side.join(chunks, cell).select(*cell, "rep", "heart", "x", "share", part.alias(mine), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(theirs))
+
+    left, right = dealt(index, "ni", "np", "ci", "cp"), dealt(probe, "np", "ni", "cp", "ci")
+    keys = [*cell, "ci", "cp"]
 
     def compare(mine, theirs):
         a, b = mine.column("rep").to_numpy(), theirs.column("rep").to_numpy()
         out_a, out_b = [], []
         if len(a) and len(b):
             share = mine.column("share")[0].as_py()
+            ha, hb = mine.column("heart").to_numpy(), theirs.column("heart").to_numpy()
             x, y = (np.frombuffer(b"".join(t.column("x").to_pylist()), "<f4").reshape(t.num_rows, -1).astype(np.float64) for t in (mine, theirs))
             yy = (y * y).sum(1)
             for k in range(0, len(a), 1024):
                 part = x[k : k + 1024]
                 near = (part * part).sum(1)[:, None] + yy - 2 * part @ y.T <= share
+                near &= (ha[k : k + 1024, None] != hb) | (hb < 0)
                 i, j = np.nonzero(near & (a[k : k + 1024, None] < b))
                 out_a.append(a[k + i])
                 out_b.append(b[j])
@@ -133,19 +197,24 @@ def near_vectors(rows: DataFrame, cosine: float = 0.98, vec_id: str = "vec_id",
 
     def verify(batches):
         for batch in batches:
-            keep = []
-            for p, q in zip(batch.column("va"), batch.column("vb"), strict=True):
-                p, q = np.frombuffer(p.as_py(), np.float64), np.frombuffer(q.as_py(), np.float64)
-                keep.append(bool(p @ q / math.sqrt((p @ p) * (q @ q)) >= cosine))
-            yield batch.select(["a", "b", "na", "nb"]).filter(pa.array(keep, pa.bool_()))
-
-    one = reps.select(F.col("rep").alias("a"), F.col("v").alias("va"), F.col("n").alias("na"))
-    two = reps.select(F.col("rep").alias("b"), F.col("v").alias("vb"), F.col("n").alias("nb"))
-    linked = common.written(pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "va", "vb").mapInArrow(verify, "a long, b long, na long, nb long"), "vector-links")
+            keep = np.zeros(batch.num_rows, bool)
+            for _, at, p in by_dims(batch, "va"):
+                q = stacked(batch.column("vb").take(at), p.shape[1])
+                keep[at] = (p * q).sum(1) / np.sqrt((p * p).sum(1) * (q * q).sum(1)) >= cosine
+            yield batch.select(["a", "b", "na", "nb"]).filter(pa.array(keep))
+
+    one = reps.select(F.col("rep").alias("a"), F.col("v").alias("va"), F.col("n").alias("na"), F.col("label").alias("la"))
+    two = reps.select(F.col("rep").alias("b"), F.col("v").alias("vb"), F.col("n").alias("nb"), F.col("label").alias("lb"))
+    met = pairs.join(one, "a").join(two, "b").where("la = lb AND octet_length(va) = octet_length(vb)")
+    linked = common.written(met.select("a", "b", "na", "nb", "va", "vb").mapInArrow(verify, "a long, b long, na long, nb long"), "vector-links")
     counts = linked.select(F.col("a").alias("rep"), F.col("nb").alias("more")).unionByName(linked.select(F.col("b").alias("rep"), F.col("na").alias("more"))).groupBy("rep").agg(F.sum("more").alias("more"))
-    groups = connected_components(linked.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    known = reps.join(counts, "rep", "left").join(groups, F.col("rep") == F.col("node"), "left")
-    known = known.select("label", "v", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = usable.join(known, ["label", "v"]).select("vec_id", "n_links", "component_id")
+    crowds = reps.where("heart >= 0").join(members, ["label", "heart"])
+    ties = linked.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(crowds.where("rep <> first").select(F.col("rep").alias("u"), F.col("first").alias("v")))
+    groups = connected_components(ties)
+    known = reps.join(counts, "rep", "left").join(members, ["label", "heart"], "left").join(groups, F.col("rep") == F.col("node"), "left")
+    known = known.select("label", "v", "least", (F.coalesce("members", "n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+    known = common.written(known, "known-vectors")
+    leasts = known.groupBy("component").agg(F.min("least").alias("component_id"))
+    out = usable.join(known.join(leasts, "component"), ["label", "v"]).select("vec_id", "n_links", "component_id")
     rest = base.where("v is null or vec_id is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.unionByName(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from scorefold.llm import embeddings
+from scorefold.llm.components import connected_components
 from tests.llm.test_simhash import brute_components
 
 
@@ -22,11 +23,11 @@ def table(seed, dims=24):
     return rows + odd
 
 
-@pytest.mark.parametrize(("seed", "chunk"), [(1, 2048), (2, 16)])
-def test_against_brute_force(spark, seed, chunk):
+@pytest.mark.parametrize(("seed", "chunk", "crowd"), [(1, 2048, 128), (2, 16, 1)])
+def test_against_brute_force(spark, seed, chunk, crowd):
     rows = table(seed)
     frame = spark.createDataFrame([(*r, "clash") for r in rows], "vec_id long, embedding array<float>, label int, component_id string")
-    got = {r.vec_id: r for r in embeddings.near_vectors(frame, chunk=chunk).collect()}
+    got = {r.vec_id: r for r in embeddings.near_vectors(frame, chunk=chunk, crowd=crowd).collect()}
     good = {i: (np.array(v), n) for i, v, n in rows if n is not None and v and None not in v and np.isfinite(v).all() and any(v)}
     pairs = []
     ids = sorted(good)
@@ -57,3 +58,27 @@ def test_every_pair_shares_a_cell():
         probe = {(int(i), b, tuple(c)) for rows, b, cell, _ in embeddings.cells(ids, w, 0.98, 8, grid, True) for i, c in zip(rows, cell.tolist(), strict=True)}
         shared = {i for i, _, _ in index & probe}
         assert set(np.flatnonzero(near).tolist()) <= shared
+
+
+def test_repeated_ids_are_vectors_of_their_own(spark):
+    a, b, near_b = [1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0], [0.0, 1.0, 0.05, 0.0]
+    rows = [(1, a, 0), (1, b, 0), (2, a, 0), (3, near_b, 0), (4, b, 1), (4, b, 1), (None, a, 0)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in embeddings.near_vectors(frame).collect() if r.vec_id is not None)
+    assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 1, 4, True), (4, 1, 4, True)]
+
+
+def test_a_crowd_of_near_copies_makes_few_links(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    centre = rng.standard_normal(64)
+    near = [centre + rng.standard_normal(64) * 0.03 for _ in range(600)]
+    rows = [(k, [float(x) for x in v.astype(np.float32)], 0) for k, v in enumerate([*near, *(centre + rng.standard_normal(64) * 0.17 for _ in range(40))])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    seen = []
+    monkeypatch.setattr(embeddings, "connected_components", lambda ties: seen.append(ties.count()) or connected_components(ties))
+    got = {r.vec_id: r for r in embeddings.near_vectors(frame).collect()}
+    x = np.array([v for _, v, _ in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = (x @ x.T >= 0.98).sum(1) - 1
+    assert [got[k].n_links for k in range(len(rows))] == want.tolist() and want[:600].min() >= 599
+    assert seen[0] < 30_000 and all(got[k].component_id == 0 for k in range(600))
