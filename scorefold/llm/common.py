@@ -167,12 +167,16 @@ def rolling(hashes: np.ndarray, n: int) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
-def bounded_sample(rows: DataFrame, key: str, most: int, seed: int = 17, total: int | None = None) -> DataFrame:
-    """About `most` rows, picked by a hash of the key: the same ones in every run, spread over the whole table."""
+def bounded_sample(rows: DataFrame, most: int, seed: int = 17, total: int | None = None) -> DataFrame:
+    """All rows where they are `most` at most; else about `most` of the different ones, picked by a hash of the whole row.
+
+    The same ones in every run, spread over the table. Equal rows count once, so no key that holds many rows, and no row that
+    stands there many times, is taken or left as a whole."""
     total = rows.count() if total is None else total
     if total <= most:
         return rows
-    return rows.where(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 30)) < int((1 << 30) * most / total))
+    picked = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns], F.lit(seed)), F.lit(1 << 30)) < int((1 << 30) * most / total)
+    return rows.where(picked).dropDuplicates()
 
 
 def text_batches(spark: SparkSession, rows: int = 1000) -> None:

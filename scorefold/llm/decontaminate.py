@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from scorefold.llm import common
 
 PUNCTUATION = string.punctuation.encode()
+#: Matches that are sorted at once; a matter of speed.
+AT_ONCE = 1 << 18
 RESULT = "contaminated boolean, item_id long, coverage double, n_items long"
 
 
@@ -38,26 +40,44 @@ def free_runs(marked: np.ndarray, n: int) -> np.ndarray:
 
 
 def scan(doc: np.ndarray, item: np.ndarray, doc_marked: np.ndarray, item_marked: np.ndarray, n: int) -> list[tuple[int, int, int]]:
-    """Maximal common runs of at least n unmarked words as (length, item position, document position)."""
+    """Maximal common runs of at least n unmarked words as (length, item position, document position).
+
+    Runs of n words that match stand on a diagonal (document less item position); those of following item positions on one
+    diagonal are one longer run. Up to AT_ONCE matches are sorted by diagonal; where a repeated word makes more, the diagonals
+    that go on are carried from item position to position as arrays, in memory in proportion to the document."""
     if len(doc) < n or len(item) < n:
         return []
     of_item, of_doc = common.rolling(item, n), common.rolling(doc, n)
-    of_item_free, of_doc_free = free_runs(item_marked, n), free_runs(doc_marked, n)
-    places = np.flatnonzero(of_doc_free & np.isin(of_doc, of_item[of_item_free]))
-    by_hash: dict[int, list[int]] = {}
-    for d in places.tolist():
-        by_hash.setdefault(int(of_doc[d]), []).append(d)
-    found = []
-    for i in np.flatnonzero(of_item_free).tolist():
-        for d in by_hash.get(int(of_item[i]), ()):
-            if i and d and item[i - 1] == doc[d - 1] and not item_marked[i - 1] and not doc_marked[d - 1]:
-                continue  # part of a longer run that starts earlier
-            length = 0
-            while i + length < len(item) and d + length < len(doc) and item[i + length] == doc[d + length] and not item_marked[i + length] and not doc_marked[d + length]:
-                length += 1
-            if length >= n:
-                found.append((length, i, d))
-    return found
+    item_free = free_runs(item_marked, n)
+    wanted = np.unique(of_item[item_free])
+    if not len(wanted):
+        return []
+    places = np.flatnonzero(free_runs(doc_marked, n) & (wanted[np.minimum(np.searchsorted(wanted, of_doc), len(wanted) - 1)] == of_doc))
+    order = np.argsort(of_doc[places], kind="stable")
+    places = places[order]
+    keys = of_doc[places]
+    low, high = np.searchsorted(keys, of_item, "left"), np.searchsorted(keys, of_item, "right")
+    high[~item_free] = 0
+    found, none = [], np.zeros(0, np.int64)
+    size = np.maximum(high - low, 0)
+    if size.sum() <= AT_ONCE:
+        i = np.repeat(np.arange(len(size)), size)
+        diagonal = places[np.repeat(low - np.cumsum(size) + size, size) + np.arange(len(i))] - i
+        order = np.lexsort((i, diagonal))
+        i, diagonal = i[order], diagonal[order]
+        first = np.flatnonzero(np.r_[True, (diagonal[1:] != diagonal[:-1]) | (i[1:] != i[:-1] + 1)]) if len(i) else none
+        last = np.r_[first[1:], len(i)] - 1 if len(i) else none
+        found = list(zip((i[last] - i[first] + n).tolist(), i[first].tolist(), (i[first] + diagonal[first]).tolist(), strict=True))
+        return [(m, a, d) for m, a, d in found if np.array_equal(item[a : a + m], doc[d : d + m])]
+    open_at, since = none, none  # diagonals of runs that go on, and where in the item they began
+    for i in [*np.flatnonzero((high > low) | np.r_[False, (high > low)[:-1]]).tolist(), len(of_item)]:
+        here = places[low[i] : high[i]] - i if i < len(of_item) and high[i] > low[i] else none
+        stays = np.isin(open_at, here, assume_unique=True)
+        for diagonal, start in zip(open_at[~stays].tolist(), since[~stays].tolist(), strict=True):
+            found.append((i - start + n - 1, start, start + diagonal))
+        new = here[~np.isin(here, open_at, assume_unique=True)]
+        open_at, since = np.r_[open_at[stays], new], np.r_[since[stays], np.full(len(new), i, np.int64)]
+    return [(m, i, d) for m, i, d in found if np.array_equal(item[i : i + m], doc[d : d + m])]
 
 
 def tiles(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int, int]]:

@@ -53,7 +53,7 @@ def fit(train: DataFrame, lang: str = "lang", text: str = "text", key: str = "do
         return {"langs": []}
     per_language = min(per_language, max(1, most // len(sizes)))
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, int((1 << 30) * min(1.0, per_language / n)))])
-    picked = F.pmod(F.xxhash64("_key", F.lit(23)), F.lit(1 << 30)) < share[F.col("_lang")]
+    picked = F.pmod(F.xxhash64("_key", "_text", F.lit(23)), F.lit(1 << 30)) < share[F.col("_lang")]
 
     def run(batches):
         import pyarrow as pa
@@ -88,7 +88,7 @@ def fit(train: DataFrame, lang: str = "lang", text: str = "text", key: str = "do
     for r in sums:
         df[r["bin"]] = r["df"]
     idf = (np.log((1 + total) / (1 + df)) + 1).astype(np.float32)
-    found = parts.where("kind = 'doc'").orderBy("lang", "n", "bins", "counts").collect()
+    found = parts.where("kind = 'doc'").dropDuplicates(["lang", "n", "bins", "counts"]).orderBy("lang", "n", "bins", "counts").collect()  # equal texts count once
     vectors = np.zeros((len(found), DIMS), np.float32)
     for k, r in enumerate(found):
         vectors[k, np.frombuffer(r["bins"], "<u2")] = np.log1p(np.frombuffer(r["counts"], "<u4"))

@@ -139,7 +139,7 @@ def fit(rows: DataFrame, key: str = "doc_id", text: str = "text", label: str = "
     if not n:
         return new_network()
     most = labelled if size * labelled <= most_bytes * n else most_bytes * n // size
-    picked = common.bounded_sample(rows, "_key", max(1, most), total=n)
+    picked = common.bounded_sample(rows, max(1, most), total=n)
     found = sorted((r["_text"] or "", r["_y"]) for r in picked.select("_text", "_y").collect())
     return train([(chunks_of(t), y) for t, y in found]) if found else new_network()
 

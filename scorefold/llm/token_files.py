@@ -58,12 +58,15 @@ def smallest_dtype(vocabulary: int) -> str:
     return "<u1" if vocabulary <= 1 << 8 else "<u2" if vocabulary <= 1 << 16 else "<u4"
 
 
-def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Write all documents in ascending doc_id order (nulls first; repeated ids by text); the shard table with `base`."""
+def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str, doc_id: str = "doc_id", text: str = "text", shard_bytes: int = 32 << 20) -> DataFrame:
+    """Write all documents in ascending doc_id order (nulls first; repeated ids by text); the shard table with `base`.
+
+    A shard holds about shard_bytes of text, so their number follows the input: its bytes are counted first."""
     spark = docs.sparkSession
     common.text_batches(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    dealt = rows.repartitionByRange(common.partitions(spark), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    size = rows.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0
+    dealt = rows.repartitionByRange(max(1, -(-size // shard_bytes)), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
 
     def run(batches):
         import pyarrow as pa

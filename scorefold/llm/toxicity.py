@@ -187,7 +187,7 @@ def fit(train: DataFrame, key: str = "doc_id", text: str = "text", label: str =
     A task holds at most about `flush` surroundings at a time."""
     rows = train.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_text"), (F.col(label) == 1).alias("_toxic"))
     common.text_batches(rows.sparkSession)
-    rows = common.written(common.bounded_sample(rows, "_key", labelled), "toxicity-sample")
+    rows = common.written(common.bounded_sample(rows, labelled), "toxicity-sample")
     toxic = rows.where("_toxic").count()
     least = max(4, toxic // 60)
 
