@@ -9,8 +9,8 @@ compared in batches. The union of the blocks' pairs is verified by the cosine in
 A cell of many vectors is dealt over several tasks by chunks of both sides, so no cell is gathered whole. The number of
 coordinates that make up a cell grows with the largest label, which changes cost only.
 
-Crowds of near copies would give the square of their number of pairs. So the centres of the most crowded cells, HEARTS of them
-at most, are held against all vectors of their label first: two vectors within half the angle of one centre are within the
+Crowds of near copies would give the square of their number of pairs. So the mean directions of the most crowded cells, HEARTS
+of them at most, are held against all vectors of their label first: two vectors within half the angle of one centre are within the
 whole angle of each other, since angles obey the triangle inequality. All members of such a heart are linked with each other;
 they are counted, tied to one member, and their pairs are left out of the join. All other pairs go through it.
 """
@@ -144,8 +144,28 @@ def near_vectors(rows: DataFrame, cosine: float = 0.98, vec_id: str = "vec_id",
     schema = "dims int, block int, cell long, rep long, heart int, x binary, share double"
     cell = ["dims", "block", "cell"]
     plain = reps.withColumn("heart", F.lit(-1))
-    crowded = plain.mapInArrow(spread(False), schema).groupBy(*cell).agg(F.count("*").alias("n"), F.min("rep").alias("rep")).where(F.col("n") > crowd).groupBy("rep").agg(F.max("n").alias("size")).orderBy(F.col("size").desc(), "rep").limit(HEARTS)
-    hearts = [(r["name"], np.frombuffer(r["v"], np.float64)) for r in reps.join(crowded, "rep").orderBy(F.col("size").desc(), "rep").select("name", "v").collect()]
+    crowded = plain.mapInArrow(spread(False), schema).groupBy(*cell).agg(F.count("*").alias("size")).where(F.col("size") > crowd).orderBy(F.col("size").desc(), *cell).limit(HEARTS).collect()
+    places = {(r["dims"], r["block"], r["cell"]): k for k, r in enumerate(crowded)}
+
+    def totals(batches):
+        for batch in batches:
+            names = batch.column("name").to_numpy()
+            for d, at, vectors in by_dims(batch):
+                units = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+                for found, b, own, _ in cells(at, vectors, cosine, width, grid, False):
+                    number = numbered(names[at[found]], b, own)
+                    for x in set(number.tolist()):
+                        if (k := places.get((d, b, x))) is not None:
+                            inside = found[number == x]
+                            yield pa.RecordBatch.from_pydict({"heart": pa.array(np.full(d, k, np.int32)), "name": pa.array(np.full(d, names[at[inside[0]]])), "axis": pa.array(np.arange(d, dtype=np.int32)), "total": pa.array(units[inside].sum(0))})
+
+    hearts: list[tuple[int, np.ndarray]] = []
+    if places:  # the mean direction of each crowded cell: sums over all tasks meet in Spark, HEARTS times the dimensions reach the driver
+        sums = plain.mapInArrow(totals, "heart int, name long, axis int, total double").groupBy("heart", "name", "axis").agg(F.sum("total").alias("total"))
+        found = {}
+        for r in sums.collect():
+            found.setdefault((r["heart"], r["name"]), {})[r["axis"]] = r["total"]
+        hearts = [(name, np.array([axes[k] for k in sorted(axes)])) for (_, name), axes in sorted(found.items())]
     half = math.sqrt((1 + cosine) / 2) + 1e-9
 
     def assign(batches):
