@@ -59,10 +59,8 @@ def score_record(ratings: DataFrame, stocks: DataFrame, listing: DataFrame, buy:
     """One wide row per rated symbol: roll-up, then the document's and the registry's fields through their fallbacks."""
     from scorefold.operators import joins
 
-    total = rollup.composite_scores(ratings, "symbol", buy=buy, hold=hold)
-    scores = rollup.persona_scores(ratings, "symbol", "persona")
-    recs = rollup.recommendation_counts(ratings, "symbol")
-    rows = joins.lookup_first(total.join(scores, "symbol").join(recs, "symbol", "left"), listing.select("symbol", *[F.col(c).alias(f"l_{c}") for c in listing.columns if c != "symbol"]), ["symbol"], ["l_listing_date"])
+    scores = rollup.entity_rollup(ratings, "symbol", "persona", buy=buy, hold=hold)
+    rows = joins.lookup_first(scores, listing.select("symbol", *[F.col(c).alias(f"l_{c}") for c in listing.columns if c != "symbol"]), ["symbol"], ["l_listing_date"])
     rows = joins.left_enrich(rows, stocks, ["symbol"])
     price = expr.or_else(F.col("current_price"), F.col("regular_price"), F.col("previous_close"), F.col("l_current_price"))
     issue = expr.or_else(F.col("issue_price"), F.col("l_issue_price"))

@@ -103,6 +103,21 @@ def recommendation_counts(ratings: DataFrame, entity: str, recommendation: str =
     return n.groupBy(entity).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("rec", "n")))).alias("recommendation_counts"))
 
 
+def entity_rollup(ratings: DataFrame, entity: str, rater: str, score: str = "score", recommendation: str = "recommendation", buy: float = 60, hold: float = 40) -> DataFrame:
+    """composite_scores with persona_scores and recommendation_counts, from one aggregation of ratings that have each rater of an
+    entity once; an entity's few ratings meet in its row. Without any recommendation the counts are null."""
+    rec = F.col(recommendation)
+    out = ratings.groupBy(entity).agg(
+        F.sum(score).alias("composite_score"), F.count(score).alias("coverage"),
+        F.collect_list(F.when(F.col(score).isNotNull(), F.struct(F.col(rater), F.col(score)))).alias("_scores"), F.sort_array(F.collect_list(F.when(rec != "", rec))).alias("_recs"),
+    ).where("coverage > 0")
+    counts = F.transform(F.array_distinct("_recs"), lambda r: F.struct(r, F.size(F.filter("_recs", lambda x: x == r)).cast("bigint")))
+    return out.select(
+        entity, "composite_score", "coverage", consensus(F.col("composite_score"), buy, hold).alias("consensus_recommendation"),
+        F.map_from_entries(F.sort_array("_scores")).alias("persona_scores"), F.when(F.size("_recs") > 0, F.map_from_entries(counts)).alias("recommendation_counts"),
+    )
+
+
 def majority_vote(ratings: DataFrame, entity: str, recommendation: str = "recommendation", order: Sequence[str] = RECOMMENDATIONS) -> DataFrame:
     """(entity, majority, votes): the most frequent recommendation; ties by the given order."""
     place = F.array_position(F.array(*map(F.lit, order)), F.col("rec"))

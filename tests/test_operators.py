@@ -153,3 +153,20 @@ def test_sample(spark):
     row = audit.audit_grade(issues, files).first()
     assert (row.total, row.critical, row.moderate, row.minor, round(row.issue_rate, 2), round(row.critical_rate, 2), row.grade) == (89, 88, 0, 1, 37.39, 36.97, "F")
     assert [tuple(r) for r in screen.top_bottom(scores, 3, 0).select("symbol", "composite_score").collect()] == [("544347", 17), ("544369", 16), ("544381", 14)]
+
+
+def test_entity_rollup_equals_its_parts(spark):
+    rows = [("A", "x", 3, "BUY"), ("A", "y", None, "HOLD"), ("A", "z", 4, "BUY"), ("B", "x", 1, None), ("B", "y", 2, ""), ("C", "x", None, "BUY"), (None, "x", 5, "AVOID")]
+    frame = spark.createDataFrame(rows, "symbol string, persona string, score int, recommendation string")
+    got = {r.symbol: (r.composite_score, r.coverage, r.consensus_recommendation, r.persona_scores, r.recommendation_counts) for r in rollup.entity_rollup(frame, "symbol", "persona", buy=6, hold=3).collect()}
+    assert got == {"A": (7, 2, "BUY", {"x": 3, "z": 4}, {"BUY": 2, "HOLD": 1}), "B": (3, 2, "HOLD", {"x": 1, "y": 2}, None), None: (5, 1, "HOLD", {"x": 5}, {"AVOID": 1})}
+    parts = {r.symbol: r for r in rollup.composite_scores(frame, "symbol", buy=6, hold=3).collect()}
+    assert {k: v[:3] for k, v in got.items()} == {k: (r.composite_score, r.coverage, r.consensus_recommendation) for k, r in parts.items()}
+
+
+def test_partitions_are_replaced_one_by_one(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    frame = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "k int, p string")
+    documents.write_table(frame, path, ["p"])
+    assert documents.write_table(spark.createDataFrame([(9, "a")], "k int, p string"), path, ["p"]) == path
+    assert sorted((r.k, r.p) for r in spark.read.parquet(path).collect()) == [(3, "b"), (9, "a")]
