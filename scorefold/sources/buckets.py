@@ -47,44 +47,41 @@ class Change:
     buckets: Sequence[int]
 
 
-class BucketStore:
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64, spread: int = 4):
-        """spread: files that a bucket may have, so that no bucket is written by one task."""
-        self.spark, self.path, self.buckets, self.spread = spark, path.rstrip("/"), buckets, spread
+class ManifestLog:
+    """Numbered JSON files under `path`/_manifest; a number is created once."""
 
-    # --- the manifest
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
 
-    def _fs(self):
+    def fs(self):
+        """Hadoop's classes and the file system of the path."""
         jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        return jvm, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return jvm, jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def file(self, version: int):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_manifest/{version:020d}.json")
 
     def versions(self) -> list[int]:
-        jvm, store = self._fs()
+        jvm, store = self.fs()
         found = store.globStatus(jvm.org.apache.hadoop.fs.Path(f"{self.path}/_manifest/[0-9]*.json")) or []
         return sorted(int(s.getPath().getName().split(".")[0]) for s in found)
 
-    def manifest(self, version: int) -> Manifest:
-        jvm, store = self._fs()
-        stream = store.open(jvm.org.apache.hadoop.fs.Path(f"{self.path}/_manifest/{version:020d}.json"))
+    def read(self, version: int) -> dict:
+        jvm, store = self.fs()
+        stream = store.open(self.file(version))
         try:
-            text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            return json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
-        return Manifest(**json.loads(text))
 
-    def current(self) -> Manifest:
-        found = self.versions()
-        return self.manifest(found[-1]) if found else Manifest()
-
-    def _create(self, manifest: Manifest) -> None:
-        jvm, store = self._fs()
-        Path = jvm.org.apache.hadoop.fs.Path
-        own, target = Path(f"{self.path}/_manifest/.{uuid.uuid4().hex}"), Path(f"{self.path}/_manifest/{manifest.version:020d}.json")
+    def create(self, version: int, content: dict) -> None:
+        """Write the whole file aside, then move it to its number; Conflict if that is taken."""
+        jvm, store = self.fs()
+        own, target = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_manifest/.{uuid.uuid4().hex}"), self.file(version)
         store.mkdirs(own.getParent())
         stream = store.create(own, False)
         try:
-            stream.write(bytearray(json.dumps(manifest.__dict__).encode()))
+            stream.write(bytearray(json.dumps(content).encode()))
         finally:
             stream.close()
         try:
@@ -94,14 +91,45 @@ class BucketStore:
                 none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
                 jvm.org.apache.hadoop.fs.FileContext.getFileContext(own.toUri(), self.spark._jsc.hadoopConfiguration()).rename(own, target, none)
         except FileExistsError as error:
-            raise Conflict(manifest.version) from error
+            raise Conflict(version) from error
         except Exception as error:
             if "FileAlreadyExists" in str(error):
-                raise Conflict(manifest.version) from error
+                raise Conflict(version) from error
             raise
         finally:
             store.delete(own, False)
 
+    def keep_last(self, keep: int, named: Callable[[dict], set[str]]) -> int:
+        """Delete all manifests but the last `keep`, and the folders under data/ that no kept one names; how many those were."""
+        jvm, store = self.fs()
+        found = self.versions()
+        kept = set().union(*[named(self.read(v)) for v in found[-keep:]])
+        for v in found[:-keep]:
+            store.delete(self.file(v), False)
+        gone = [s.getPath() for s in store.globStatus(jvm.org.apache.hadoop.fs.Path(f"{self.path}/data/*")) or [] if f"data/{s.getPath().getName()}" not in kept]
+        for p in gone:
+            store.delete(p, True)
+        return len(gone)
+
+
+class BucketStore:
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64, spread: int = 4):
+        """spread: files that a bucket may have, so that no bucket is written by one task."""
+        self.spark, self.path, self.buckets, self.spread = spark, path.rstrip("/"), buckets, spread
+        self.log = ManifestLog(spark, path)
+
+    # --- the manifest
+
+    def versions(self) -> list[int]:
+        return self.log.versions()
+
+    def manifest(self, version: int) -> Manifest:
+        return Manifest(**self.log.read(version))
+
+    def current(self) -> Manifest:
+        found = self.versions()
+        return self.manifest(found[-1]) if found else Manifest()
+
     # --- reading
 
     def bucket(self, key: Column | str) -> Column:
@@ -129,7 +157,7 @@ class BucketStore:
         folder = f"data/{uuid.uuid4().hex}"
         rows = change.rows.withColumn("_bucket", self.bucket(change.key))
         rows.repartition("_bucket", F.pmod(F.xxhash64(*[c for c, kind in change.rows.dtypes if not kind.startswith(("map", "variant"))]), F.lit(self.spread))).write.partitionBy("_bucket").parquet(f"{self.path}/{folder}")
-        jvm, store = self._fs()
+        jvm, store = self.log.fs()
         there = {s.getPath().getName().split("=")[1] for s in store.globStatus(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}/_bucket=*")) or []}
         return {str(b): f"{folder}/_bucket={b}" if str(b) in there else None for b in change.buckets}
 
@@ -143,7 +171,7 @@ class BucketStore:
                 own.pop(b, None)
                 if folder:
                     own[b] = folder
-        self._create(new)
+        self.log.create(new.version, new.__dict__)
         return new
 
     def change(self, work: Callable[[Manifest], dict[str, Change] | None], done: dict[str, int] | None = None, tries: int = 10) -> Manifest:
@@ -192,13 +220,4 @@ class BucketStore:
     def vacuum(self, keep: int = 2) -> int:
         """Delete all manifests but the last `keep` and the data folders that no kept one names; the number of folders deleted.
         Run it while no writer is between its data and its commit."""
-        jvm, store = self._fs()
-        Path = jvm.org.apache.hadoop.fs.Path
-        found = self.versions()
-        kept = {f.split("/_bucket=")[0] for v in found[-keep:] for own in self.manifest(v).folders.values() for f in own.values()}
-        for v in found[:-keep]:
-            store.delete(Path(f"{self.path}/_manifest/{v:020d}.json"), False)
-        gone = [s.getPath() for s in store.globStatus(Path(f"{self.path}/data/*")) or [] if f"data/{s.getPath().getName()}" not in kept]
-        for p in gone:
-            store.delete(p, True)
-        return len(gone)
+        return self.log.keep_last(keep, lambda m: {f.split("/_bucket=")[0] for own in m["folders"].values() for f in own.values()})

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import time
 import uuid
 from collections.abc import Sequence
 
@@ -10,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorefold.sources import rated_files
+from scorefold.sources.buckets import Conflict, ManifestLog
 
 #: The contract of a rater's output.
 ANALYSIS = (
@@ -93,24 +93,33 @@ def facts_to_maps(facts: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> str:
-    """Write a full refresh beside the old version; the new folder's name is returned once the write has been committed, and
-    read_table shows it from then on: names rise with time, and only a committed folder holds its mark.
+    """Write a full refresh beside the old version; the new folder comes back once it is the table's version: a manifest of the
+    next number names it, which read_table shows from then on. Of two refreshes the one that commits last counts.
 
     With partition_by, only the partitions present in df are replaced, in place."""
     if partition_by:
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
         return path
-    version = f"{path}/version-{time.time_ns():020d}-{uuid.uuid4().hex}"
-    df.write.parquet(version)
-    return version
+    log, folder = ManifestLog(df.sparkSession, path), f"data/{uuid.uuid4().hex}"
+    df.write.parquet(f"{log.path}/{folder}")
+    while True:
+        try:
+            log.create((log.versions() or [0])[-1] + 1, {"folder": folder})
+            return f"{log.path}/{folder}"
+        except Conflict:  # another refresh came first; this one follows it
+            continue
 
 
 def current_version(spark: SparkSession, path: str) -> str | None:
-    """The newest committed folder of a table written by write_table."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    marks = store.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version-*/_SUCCESS"))
-    return max((m.getPath().getParent().toString() for m in marks), default=None)
+    """The folder that the newest manifest of a table written by write_table names."""
+    log = ManifestLog(spark, path)
+    found = log.versions()
+    return f"{log.path}/{log.read(found[-1])['folder']}" if found else None
+
+
+def vacuum_table(spark: SparkSession, path: str, keep: int = 2) -> int:
+    """Delete all versions but the last `keep`, while no refresh is between its data and its commit; how many folders went."""
+    return ManifestLog(spark, path).keep_last(keep, lambda m: {m["folder"]})
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:

@@ -32,9 +32,33 @@ def latest_ratings(spark: SparkSession, table: str, keys: Sequence[str], order:
     return rollup.latest_rating(spark.read.parquet(table).drop("batch"), keys, order)
 
 
-def compact_ratings(spark: SparkSession, table: str, keys: Sequence[str], order: Sequence[str], into: str) -> str:
-    """The table's latest rows as a new version of the table `into`, for readers that need no more batches."""
-    return documents.write_table(latest_ratings(spark, table, keys, order), into)
+def compact_ratings(spark: SparkSession, table: str, keys: Sequence[str], order: Sequence[str], into: str, remove: bool = False) -> str:
+    """The table's latest rows as a new version of the table `into`, for readers that need no more batches.
+
+    remove: the folders of the batches that went in are deleted then, and later compactions start from `into`, whose rows count
+    as an older batch. Use it while no batch runs."""
+    folders = sorted(s.getPath().toString() for s in _batches(spark, table))
+    old = documents.current_version(spark, into) if remove else None
+    rows = [spark.read.parquet(x) for x in (*folders, *([old] if old else []))]
+    if not rows:
+        return documents.write_table(documents.read_table(spark, into), into)
+    both = rows[0]
+    for part in rows[1:]:
+        both = both.unionByName(part)
+    version = documents.write_table(rollup.latest_rating(both, keys, order), into)
+    if remove:
+        for folder in folders:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return version
+
+
+def _batches(spark: SparkSession, table: str):
+    """Status of the whole batch folders of a table of stream_ratings."""
+    jvm = spark._jvm
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{table}/batch=*/_SUCCESS")
+    store = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [store.getFileStatus(s.getPath().getParent()) for s in store.globStatus(pattern) or []]
 
 
 def stream_progress(stream: DataFrame, table: str, checkpoint: str):
@@ -63,9 +87,10 @@ def stream_composite(stream: DataFrame, entity: str, score: str = "score", buy:
 
 def run_to_table(df: DataFrame, path: str, checkpoint: str) -> None:
     """Run an aggregating stream over what is there; every full result is a new version of the table, so readers
-    (`documents.read_table`) see the old one until the new one is whole."""
+    (`documents.read_table`) see the old one until the new one is whole. The last two versions stay."""
 
     def put(batch: DataFrame, number: int) -> None:
         documents.write_table(batch, path)
+        documents.vacuum_table(batch.sparkSession, path)
 
     df.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from scorefold.operators import rollup
-from scorefold.sources.buckets import BucketStore, Change, Conflict
+from scorefold.sources import documents
+from scorefold.sources.buckets import BucketStore, Change, Conflict, ManifestLog
 from scorefold.streaming import incremental, listeners, ratings, stateful
 
 KIND = "symbol string, persona string, score bigint, at bigint"
@@ -147,3 +148,28 @@ def test_counts_of_a_batch_job(spark, tmp_path):
     frame = spark.range(100).withColumn("done", F.col("id") % 4 == 0)
     _, counts = listeners.run_counted(frame, {"done": F.col("done")}, lambda df: df.where("NOT done").write.parquet(f"{tmp_path}/todo"))
     assert counts == {"seen": 100, "done": 25} and spark.read.parquet(f"{tmp_path}/todo").count() == 75
+
+
+def test_versions_of_a_table(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    with pytest.raises(FileNotFoundError):
+        documents.read_table(spark, path)
+    folders = [documents.write_table(spark.range(k), path) for k in (1, 2, 3)]
+    old = spark.read.parquet(folders[1])
+    assert documents.read_table(spark, path).count() == 3 and documents.current_version(spark, path) == folders[2]
+    assert documents.vacuum_table(spark, path) == 1 and old.count() == 2  # the last two stay
+    with pytest.raises(Conflict):
+        ManifestLog(spark, path).create(3, {"folder": "x"})
+
+
+def test_compaction_takes_batches_away(spark, tmp_path):
+    rows = batches(5, 2)
+    table, into = f"{tmp_path}/table", f"{tmp_path}/into"
+    for number, part in enumerate(rows):
+        spark.createDataFrame(part, KIND).write.parquet(f"{table}/batch={number}")
+        ratings.compact_ratings(spark, table, ["symbol", "persona"], ["at"], into, remove=True)
+    assert ratings._batches(spark, table) == []
+    got = rollup.composite_scores(documents.read_table(spark, into), "symbol").collect()
+    assert {r.symbol: (r.composite_score, r.coverage) for r in got} == plain(sum(rows, []))
+    ratings.compact_ratings(spark, table, ["symbol", "persona"], ["at"], into, remove=True)
+    assert documents.read_table(spark, into).count() == len({r[:2] for r in sum(rows, [])})
