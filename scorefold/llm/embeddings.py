@@ -10,9 +10,10 @@ A cell of many vectors is dealt over several tasks by chunks of both sides, so n
 coordinates that make up a cell grows with the largest label, which changes cost only.
 
 Crowds of near copies would give the square of their number of pairs. So the mean directions of the most crowded cells, HEARTS
-of them at most, are held against all vectors of their label first: two vectors within half the angle of one centre are within the
-whole angle of each other, since angles obey the triangle inequality. All members of such a heart are linked with each other;
-they are counted, tied to one member, and their pairs are left out of the join. All other pairs go through it.
+of them at most, are held against all vectors of their label first. Angles obey the triangle inequality: two vectors whose angles
+to one centre add up to no more than the angle of the limit are linked for certain. Angles are rounded up to ANGLES steps, so
+how many such partners a vector has follows from counts by step; it is tied to the member next to the centre, and pairs of this
+kind are left out of the join. All other pairs go through it.
 """
 
 from __future__ import annotations
@@ -30,6 +31,10 @@ from scorefold.llm.components import connected_components
 SLACK = 1e-5
 #: Crowded cells whose centres are tried, and what makes a cell crowded.
 HEARTS, CROWD = 64, 128
+#: Steps of angles from a centre up to the angle of the limit; a heart's number and a step stand in one number.
+ANGLES = 256
+#: Steps from a heart within which a vector looks for no nearer one.
+NEAR = 160
 
 
 def rotation(dims: int) -> np.ndarray:
@@ -166,23 +171,36 @@ def near_vectors(rows: DataFrame, cosine: float = 0.98, vec_id: str = "vec_id",
         for r in sums.collect():
             found.setdefault((r["heart"], r["name"]), {})[r["axis"]] = r["total"]
         hearts = [(name, np.array([axes[k] for k in sorted(axes)])) for (_, name), axes in sorted(found.items())]
-    half = math.sqrt((1 + cosine) / 2) + 1e-9
+    limit = math.acos(min(1.0, cosine))
 
     def assign(batches):
         for batch in batches:
-            names, out = batch.column("name").to_numpy(), np.full(batch.num_rows, -1, np.int32)
+            names, out, best = batch.column("name").to_numpy(), np.full(batch.num_rows, -1, np.int32), np.full(batch.num_rows, ANGLES + 1)
             for d, at, vectors in by_dims(batch):
                 units = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
                 for k, (name, v) in enumerate(hearts):
                     if len(v) == d:
-                        out[at[(names[at] == name) & (out[at] < 0) & (units @ (v / np.linalg.norm(v)) >= half)]] = k
+                        centre = v / np.linalg.norm(v)
+                        # the angle from the half chord is exact for small angles; what rounding may add is added
+                        angle = 2 * np.arcsin(np.minimum(np.linalg.norm(units - centre, axis=1) / 2, 1)) + 1e-9
+                        step = np.where(names[at] == name, np.ceil(np.minimum(angle / max(limit, 1e-12), 4.0) * ANGLES), ANGLES + 1).astype(np.int64)
+                        nearer = (step < best[at]) & (best[at] > NEAR)  # the first heart that is near keeps a crowd together
+                        best[at[nearer]] = step[nearer]
+                        out[at[nearer]] = k * 1024 + step[nearer]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, "heart"])
 
     if hearts:
         reps = common.written(reps.mapInArrow(assign, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in reps.schema)}, heart int"), "vector-hearts")
     else:
         reps = plain
-    members = reps.where("heart >= 0").groupBy("label", "heart").agg(F.sum("n").alias("members"), F.min("rep").alias("first"))  # HEARTS rows at most, but for labels of one hash
+    crowd_of, step_of = F.shiftright("heart", 10), F.col("heart").bitwiseAND(F.lit(1023))
+    held = reps.where("heart >= 0").select("label", "rep", "n", crowd_of.alias("crowd"), step_of.alias("step"))
+    # by label, crowd and step: HEARTS times ANGLES rows at most
+    steps = held.groupBy("label", "crowd", "step").agg(F.sum("n").alias("sum"), F.min("rep").alias("least_rep"))
+    grid_of_steps = steps.groupBy("label", "crowd").agg(F.collect_list(F.struct("step", "sum")).alias("steps"), F.min_by("least_rep", "step").alias("first"), F.min("step").alias("first_step"))
+    certain = held.join(grid_of_steps, ["label", "crowd"]).withColumn("_all", F.aggregate(F.filter("steps", lambda x: x["step"] <= ANGLES - F.col("step")), F.lit(0).cast("long"), lambda acc, x: acc + x["sum"]))
+    certain = certain.select("rep", "first", (F.col("_all") - F.when(2 * F.col("step") <= ANGLES, F.col("n")).otherwise(0)).alias("certain"), (F.col("step") + F.col("first_step") <= ANGLES).alias("tied"))
+    certain = common.written(certain, "vector-crowds")
 
     index, probe = reps.mapInArrow(spread(False), schema), reps.mapInArrow(spread(True), schema)
     sizes = index.groupBy(*cell).count().join(probe.groupBy(*cell).agg(F.count("*").alias("probes")), cell)
@@ -206,7 +224,8 @@ def near_vectors(rows: DataFrame, cosine: float = 0.98, vec_id: str = "vec_id",
             for k in range(0, len(a), 1024):
                 part = x[k : k + 1024]
                 near = (part * part).sum(1)[:, None] + yy - 2 * part @ y.T <= share
-                near &= (ha[k : k + 1024, None] != hb) | (hb < 0)
+                own = ha[k : k + 1024, None]
+                near &= (hb < 0) | (own >> 10 != hb >> 10) | ((own & 1023) + (hb & 1023) > ANGLES)
                 i, j = np.nonzero(near & (a[k : k + 1024, None] < b))
                 out_a.append(a[k + i])
                 out_b.append(b[j])
@@ -228,11 +247,11 @@ def near_vectors(rows: DataFrame, cosine: float = 0.98, vec_id: str = "vec_id",
     met = pairs.join(one, "a").join(two, "b").where("la = lb AND octet_length(va) = octet_length(vb)")
     linked = common.written(met.select("a", "b", "na", "nb", "va", "vb").mapInArrow(verify, "a long, b long, na long, nb long"), "vector-links")
     counts = linked.select(F.col("a").alias("rep"), F.col("nb").alias("more")).unionByName(linked.select(F.col("b").alias("rep"), F.col("na").alias("more"))).groupBy("rep").agg(F.sum("more").alias("more"))
-    crowds = reps.where("heart >= 0").join(members, ["label", "heart"])
-    ties = linked.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(crowds.where("rep <> first").select(F.col("rep").alias("u"), F.col("first").alias("v")))
+    ties = linked.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(certain.where("tied AND rep <> first").select(F.col("rep").alias("u"), F.col("first").alias("v")))
     groups = connected_components(ties)
-    known = reps.join(counts, "rep", "left").join(members, ["label", "heart"], "left").join(groups, F.col("rep") == F.col("node"), "left")
-    known = known.select("label", "v", "least", (F.coalesce("members", "n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+    known = reps.join(counts, "rep", "left").join(certain.select("rep", "certain"), "rep", "left").join(groups, F.col("rep") == F.col("node"), "left")
+    links = F.col("n") - 1 + F.coalesce("certain", F.lit(0)) + F.coalesce("more", F.lit(0))
+    known = known.select("label", "v", "least", links.alias("n_links"), F.coalesce("component", "rep").alias("component"))
     known = common.written(known, "known-vectors")
     leasts = known.groupBy("component").agg(F.min("least").alias("component_id"))
     out = usable.join(known.join(leasts, "component"), ["label", "v"]).select("vec_id", "n_links", "component_id")
