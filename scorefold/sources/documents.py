@@ -22,8 +22,17 @@ REGISTRY = f"metadata struct<generated_at:string,source:string,year:int,pages_sc
 
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
-    """(path, content): one row per .json file with its bytes. Many tiny files are packed into few tasks by their open cost."""
-    return spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter="*.json").load(path).select("path", "content")
+    """(path, content): one row per .json file with its bytes. Many tiny files are packed into few tasks by their open cost.
+
+    Folders are listed by a job of a few tasks for each core, in place of one for every folder."""
+    setting = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(min(int(before), 4 * spark.sparkContext.defaultParallelism)))
+    try:
+        files = spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter="*.json").load(path)
+    finally:
+        spark.conf.set(setting, before)
+    return files.select("path", "content")
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -132,7 +141,9 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 def write_documents(df: DataFrame, folder: str, name: str, text: str) -> DataFrame:
     """One file per row, `folder/<name>` with the text (or bytes); the names written come back once the job has run. A task that runs
-    again writes the same files."""
+    again writes the same files. Making a file takes longer than sending its text, so rows are dealt over all shuffle
+    partitions first, also where few would hold them."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
         import pyarrow as pa
@@ -146,7 +157,7 @@ def write_documents(df: DataFrame, folder: str, name: str, text: str) -> DataFra
                     out.write(body if isinstance(body, bytes) else (body or "").encode())
             yield pa.RecordBatch.from_arrays([batch.column(0)], names=["file"])
 
-    return df.select(name, text).mapInArrow(run, "file string")
+    return df.select(name, text).repartition(tasks, name).mapInArrow(run, "file string")
 
 
 def pending(left: DataFrame, done: DataFrame, keys: Sequence[str], force: bool = False) -> DataFrame:
