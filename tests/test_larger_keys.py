@@ -1,10 +1,13 @@
 """Queries against their SQL on small tables whose keys are those of large ones."""
 
 import datetime
+import re
 
 import duckdb
+from pyspark.sql import functions as F
 
 from scorefold import queries
+from scorefold.sources import infer
 
 
 def same_rows(spark, name, folder, table):
@@ -26,3 +29,13 @@ def test_theses_shared_by_parts_far_apart(spark, tmp_path):
     got = same_rows(spark, "audit_issues", str(tmp_path), "lineitem")
     assert "('thesis number 7 by af', 'duplicate_theses')" in got
     assert sum("duplicate_theses" in r for r in got) == 6
+
+
+def test_open_keys_of_a_typed_field_are_not_merged(spark, monkeypatch):
+    parsed, split = [], re.split
+    monkeypatch.setattr(infer.re, "split", lambda pattern, text: parsed.append(len(text)) or split(pattern, text))
+    k = F.col("id").cast("string")
+    docs = spark.range(2000).select(F.parse_json(F.concat(F.lit('{"info": {"a": 1.5}, "facts": {"'), k, F.lit('": '), k, F.lit("}}"))).alias("doc"))
+    schema = infer.document_schema(docs, types={"facts": "map<string,bigint>"})
+    assert schema.simpleString() == "struct<facts:map<string,bigint>,info:struct<a:double>>"
+    assert max(parsed) < 100  # the types that were merged do not grow with the documents
