@@ -125,7 +125,9 @@ class Page(HTMLParser):
 
 
 def page_items(pages: DataFrame, keys: Sequence[str], html: str = "html", about: str = "about") -> DataFrame:
-    """(keys, items...) of every page; null pages have none. The only Python job of the library: Arrow batches, one parser a page."""
+    """(keys, items...) of every page; null pages have none. The only Python job of the library: Arrow batches, one parser a page.
+
+    Parsing a page takes longer than sending its text, so pages are dealt over all tasks first, also where one file holds them."""
     import pyarrow as pa
 
     keys = list(keys)
@@ -148,7 +150,9 @@ def page_items(pages: DataFrame, keys: Sequence[str], html: str = "html", about:
             columns += [pa.array([x[c] for x in found], kind) for c, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays(columns, names=[*keys, *extra.names])
 
-    return pages.select(*keys, html).mapInArrow(run, schema)
+    spark = pages.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return pages.select(*keys, html).repartition(tasks, F.xxhash64(*keys, html)).mapInArrow(run, schema)
 
 
 def html_cells(items: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from scorefold import queries
-from scorefold.sources import infer
+from scorefold.sources import html, infer
 
 
 def same_rows(spark, name, folder, table):
@@ -39,3 +39,10 @@ def test_open_keys_of_a_typed_field_are_not_merged(spark, monkeypatch):
     schema = infer.document_schema(docs, types={"facts": "map<string,bigint>"})
     assert schema.simpleString() == "struct<facts:map<string,bigint>,info:struct<a:double>>"
     assert max(parsed) < 100  # the types that were merged do not grow with the documents
+
+
+def test_pages_of_one_file_are_parsed_by_several_tasks(spark):
+    pages = spark.range(200).coalesce(1).select("id", F.concat(F.lit("<a href='/p'>"), F.col("id").cast("string"), F.lit("</a>")).alias("html"))
+    items = html.page_items(pages, ["id"]).select("id", "text", F.spark_partition_id().alias("task")).collect()
+    assert sorted((r.id, r.text) for r in items) == [(k, str(k)) for k in range(200)]
+    assert len({r.task for r in items}) == 4
