@@ -1,9 +1,10 @@
 """A running composite in keyed state: right under overwrites, with state of one score per entity and rater.
 
-`running_composite` keeps each rater's last order and score of an entity in a map state of `transformWithState`. A later rating
-replaces the rater's share, an earlier one is ignored, and an entity's new row comes out in update mode, so a batch emits the
-entities it changed only. With `expiry` the state of an entity that nobody rates for so long goes. `upsert_updates` writes the
-rows that come out into a member of a BucketStore.
+`running_composite` keeps each rater's last order and score of an entity in one value of `transformWithState`, read and written
+once a batch, as every call of the state is a message to the JVM. A later rating replaces the rater's share, an earlier one is
+ignored, and an entity's new row comes out in update mode, so a batch emits the entities it changed only. With `expiry` the
+state of an entity that nobody rates for so long goes. `upsert_updates` writes the rows that come out into a member of a
+BucketStore.
 """
 
 from __future__ import annotations
@@ -13,35 +14,41 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from scorefold.operators import rollup
 from scorefold.sources.buckets import BucketStore, Change, Manifest
 
 
 class Composite(StatefulProcessor):
-    """State of an entity: rater to (order, score)."""
+    """State of an entity: rater to (order, score). Rows are entity, rater, order and score, in this order."""
 
-    def __init__(self, entity: str, rater: str, score: str, order: str, kinds: StructType, expiry_ms: int | None):
-        self.entity, self.rater, self.score, self.order, self.expiry_ms = entity, rater, score, order, expiry_ms
-        self.value = StructType([StructField("place", kinds[order].dataType), StructField("score", kinds[score].dataType)])
+    def __init__(self, entity: str, score: str, order: str, kinds: StructType, expiry_ms: int | None):
+        self.entity, self.expiry_ms = entity, expiry_ms
+        each = StructType([StructField("rater", StringType()), StructField("place", kinds[order].dataType), StructField("score", kinds[score].dataType)])
+        self.value = StructType([StructField("ratings", ArrayType(each))])
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getMapState("last", StructType([StructField("rater", StringType())]), self.value, self.expiry_ms)
+        self.last = handle.getValueState("last", self.value, self.expiry_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        changed = False
+        best = {}  # of each rater the row that counts in this batch: the state is read and written once, whatever the rows
         for r in rows:
-            rater, place, score = (r[c] for c in (self.rater, self.order, self.score))
-            rater = "" if rater is None else str(rater)
+            rater, place, score = r[1], r[2], r[3]
             if place is None:
                 continue
-            old = self.last.getValue((rater,)) if self.last.containsKey((rater,)) else None
-            if old is None or place > old[0]:
-                self.last.updateValue((rater,), (place, score))
-                changed = True
+            rater = "" if rater is None else rater
+            if rater not in best or place > best[rater][0]:
+                best[rater] = (place, score)
+        if not best:
+            return
+        old = self.last.get()
+        last = {r[0]: (r[1], r[2]) for r in old[0]} if old else {}
+        changed = {k: v for k, v in best.items() if k not in last or v[0] > last[k][0]}
         if changed:
-            scores = [v[1] for v in self.last.values() if v[1] is not None]
+            last |= changed
+            self.last.update(([(k, *v) for k, v in last.items()],))
+            scores = [v[1] for v in last.values() if v[1] is not None]
             yield Row(**{self.entity: key[0], "composite_score": sum(scores) if scores else None, "coverage": len(scores)})
 
     def close(self) -> None:
@@ -56,7 +63,7 @@ def running_composite(stream: DataFrame, entity: str, rater: str, order: str, sc
     kinds = dict(stream.dtypes)
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rows = stream.where(F.col(entity).isNotNull()).select(entity, F.col(rater).cast("string").alias(rater), order, score).groupBy(entity)
-    out = rows.transformWithState(Composite(entity, rater, score, order, stream.schema, expiry_ms), f"{entity} {kinds[entity]}, composite_score {kinds[score]}, coverage bigint", "Update", "ProcessingTime" if expiry_ms else "None")
+    out = rows.transformWithState(Composite(entity, score, order, stream.schema, expiry_ms), f"{entity} {kinds[entity]}, composite_score {kinds[score]}, coverage bigint", "Update", "ProcessingTime" if expiry_ms else "None")
     return out.withColumn("consensus_recommendation", rollup.consensus(F.col("composite_score"), buy, hold))
 
 

@@ -5,9 +5,11 @@ import re
 
 import duckdb
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from scorefold import queries
 from scorefold.sources import html, infer
+from scorefold.streaming import stateful
 
 
 def same_rows(spark, name, folder, table):
@@ -46,3 +48,32 @@ def test_pages_of_one_file_are_parsed_by_several_tasks(spark):
     items = html.page_items(pages, ["id"]).select("id", "text", F.spark_partition_id().alias("task")).collect()
     assert sorted((r.id, r.text) for r in items) == [(k, str(k)) for k in range(200)]
     assert len({r.task for r in items}) == 4
+
+
+class Kept:
+    """A value state that counts its calls."""
+
+    def __init__(self):
+        self.value, self.calls = None, 0
+
+    def getValueState(self, name, schema, ttl=None):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+
+def test_state_is_called_as_often_for_many_rows_as_for_one(spark):
+    kinds = StructType.fromDDL("symbol long, persona string, at long, score long")
+    state, each = Kept(), stateful.Composite("symbol", "score", "at", kinds, None)
+    each.init(state)
+    rows = [(1, "ab"[k % 2], k, k % 7) for k in range(1000)]
+    assert [(r.composite_score, r.coverage) for r in each.handleInputRows((1,), iter(rows), None)] == [(998 % 7 + 999 % 7, 2)]
+    assert state.calls == 2
+    assert list(each.handleInputRows((1,), iter([(1, "a", 5, 9), (1, "b", None, 9)]), None)) == []
+    assert [(r.composite_score, r.coverage) for r in each.handleInputRows((1,), iter([(1, None, 5, 9), (1, "a", 2000, None)]), None)] == [(999 % 7 + 9, 2)]
