@@ -88,3 +88,16 @@ def test_documents(spark):
         else:
             assert (r.simhash & ((1 << 64) - 1), r.component_id) == (prints[r.doc_id], want[r.doc_id])
     assert simhash.near_duplicates(frame.limit(0)).collect() == []
+
+
+def test_pipeline_drops_what_fingerprints_link(spark):
+    import corpus_pipeline
+
+    words = [f"w{k}" for k in range(40)]
+    # repeats outweigh the shingles that differ: equal fingerprints, but of different sets of shingles
+    rows = [(k, " ".join(["the same few words again and again"] * 400 + [f"{x}{w}" for w in words])) for k, x in enumerate("ab")] + [(2, " ".join(words))]
+    links = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in links} == {0: 0, 1: 0, 2: 2}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_copies(spark, docs, "").collect()) == [0, 2]
+    assert sorted(r.doc_id for r in simhash.near_copies(docs).where("kept").collect()) == [0, 1, 2]
