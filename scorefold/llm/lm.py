@@ -30,7 +30,7 @@ from scorefold.llm.subwords import subwords
 from scorefold.llm.token_files import smallest_dtype
 
 CODES, COARSE, CONTEXT, STEP, DIM, HOT = 1024, 256, 16, 16, 16, 200_000
-SPAN = CONTEXT + STEP
+SPAN = CONTEXT + STEP  # CONTEXT is a multiple of STEP
 #: Codes of the start of a text and of filling; then ids go by frequency, and the last code stands for all others. Only the
 #: values of the place just before tell all codes apart; everything else takes those from COARSE - 1 on for one.
 START, FILL = 0, 1
@@ -39,6 +39,8 @@ CELLS = CODES + COARSE
 LEAST, PRIOR = 5, 20.0
 #: Runs of right guesses of the copying head that are told apart; bucket 0 is "nothing to copy".
 RUNS = 9
+#: Windows whose attention is worked out at once: their arrays stay in a core's cache, and numpy's calls are few.
+PART = 512
 
 
 # --- base: word counts --------------------------------------------------------------------------------------------------
@@ -177,6 +179,16 @@ def columns_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return column, (smooth / total[column]).astype(np.float32), (total / total.sum()).astype(np.float32)
 
 
+def merged(keys: np.ndarray, total: np.ndarray, found: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Totals of the keys of both sides, each ascending and without repeats."""
+    at = np.searchsorted(keys, found)
+    old = np.zeros(len(found), bool)
+    inside = at < len(keys)
+    old[inside] = keys[at[inside]] == found[inside]
+    total[at[old]] += n[old]
+    return np.insert(keys, at[~old], found[~old]), np.insert(total, at[~old], n[~old])
+
+
 def followers(rows: DataFrame, codes: np.ndarray, column: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Counts [columns, CELLS] of ids one place behind each code and two places behind each coarse one, and [RUNS, 2] of the
     copying head's guesses.
@@ -186,30 +198,27 @@ def followers(rows: DataFrame, codes: np.ndarray, column: np.ndarray, size: int)
 
     kind = smallest_dtype(size)
     columns = int(column.max()) + 1
+    first = (column * CELLS).astype(np.int32 if columns * CELLS < 1 << 31 else np.int64)
+    near, back = codes.astype(first.dtype), (CODES + coarse(codes)).astype(first.dtype)
 
     def run(batches):
         held, count, right = [], 0, np.zeros((RUNS, 2), np.int64)
-        cells, total = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-        def merged(old, n, new):
-            found, m = np.unique(np.concatenate(new), return_counts=True)
-            keys, back = np.unique(np.concatenate([old, found]), return_inverse=True)
-            return keys, np.bincount(back, np.concatenate([n, m])).astype(np.int64)
+        cells, total = np.zeros(0, first.dtype), np.zeros(0, np.int64)
 
         for batch in batches:
             for x in batch.column(0):
                 ids = np.frombuffer(x.as_buffer(), kind)
-                code, cell = codes[ids], column[ids] * CELLS
-                held += [cell[:1] + START, cell[1:] + code[:-1], cell[2:] + (CODES + coarse(code[:-2]))]
+                cell = first[ids]
+                held += [cell[:1] + START, cell[1:] + near[ids[:-1]], cell[2:] + back[ids[:-2]]]
                 bucket, good = pointer(ids)
                 right += np.bincount(bucket * 2 + good, minlength=2 * RUNS).reshape(RUNS, 2)
                 count += len(ids)
                 if count > 1 << 20:
-                    cells, total = merged(cells, total, held)
+                    cells, total = merged(cells, total, *np.unique(np.concatenate(held), return_counts=True))
                     held, count = [], 0
         if held:
-            cells, total = merged(cells, total, held)
-        yield pa.RecordBatch.from_pydict({"cell": pa.array(np.concatenate([cells, -1 - np.arange(2 * RUNS)])), "n": pa.array(np.concatenate([total, right.ravel()]))})
+            cells, total = merged(cells, total, *np.unique(np.concatenate(held), return_counts=True))
+        yield pa.RecordBatch.from_pydict({"cell": pa.array(np.concatenate([cells.astype(np.int64), -1 - np.arange(2 * RUNS)])), "n": pa.array(np.concatenate([total, right.ravel()]))})
 
     found = rows.select("ids").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     cells, n = found.column("cell").to_numpy(), found.column("n").to_numpy()
@@ -229,10 +238,10 @@ def values_of(counts: np.ndarray, plain: np.ndarray) -> np.ndarray:
 # --- the attention model ------------------------------------------------------------------------------------------------
 
 SHAPES = {"query": (COARSE, DIM), "key": (COARSE, DIM), "weight": (COARSE,), "sink": (COARSE,), "far": (SPAN,)}
-#: Distance of each key from each query of a window; what lies ahead has a negative one and may not be seen.
-DISTANCE = np.arange(CONTEXT, SPAN)[:, None] - np.arange(SPAN)[None, :]
-SEEN = DISTANCE >= 0
-ONES = np.ones(SPAN, np.float32)
+#: For each distance of a key from a query of a window, the first query that has a key so far back, and where the distance's
+#: pairs of query and key begin among all pairs. What lies ahead of a query is in no pair.
+FIRST = [max(0, d - CONTEXT) for d in range(SPAN)]
+BEGIN = [sum(STEP - f for f in FIRST[:d]) for d in range(SPAN + 1)]
 
 
 def new_net() -> dict[str, np.ndarray]:
@@ -258,7 +267,8 @@ def unflat(values: np.ndarray) -> dict[str, np.ndarray]:
 
 class Attention:
     """Batched masked attention over windows. Queries and keys are functions of codes, so exp(q . k) is read from a table of
-    code pairs: exp(q . k + far) = exp(q . k) * exp(far)."""
+    code pairs: exp(q . k + far) = exp(q . k) * exp(far). Pairs of places are worked on distance by distance, for all windows
+    of a batch at once: a distance's queries and keys are slices of the windows, and what lies ahead costs nothing."""
 
     def __init__(self, values: np.ndarray, plain: np.ndarray):
         self.values, self.plain = values.ravel(), plain
@@ -267,55 +277,73 @@ class Attention:
         self.net = net
         self.pairs = np.exp(np.clip(net["query"] @ net["key"].T + net["weight"], -40, 40))
         self.pairs[:, FILL] = 0
-        self.far = np.where(SEEN, np.exp(np.clip(net["far"][np.maximum(DISTANCE, 0)], -20, 20)), 0).astype(np.float32)
+        self.far = np.exp(np.clip(net["far"], -20, 20))
         self.none = np.exp(np.clip(net["sink"], -40, 40))
 
-    def attend(self, x: np.ndarray, column: np.ndarray) -> tuple:
+    def attend(self, x: np.ndarray, column: np.ndarray, kept: bool) -> tuple:
         """x: codes [n, SPAN]; column: of the ids to predict [n, STEP]. Cells of the pair table, weights, weights times values
-        [n, STEP, SPAN]; the sink's weight, and sums of weights and of weights times values [n, STEP]."""
+        of all pairs, by distance [BEGIN[-1], n] (the last distance's alone, unless kept); the rough codes [SPAN, n]; the sink's
+        weight, its value, and sums of weights and of weights times values [STEP, n]."""
+        x, column, n = np.ascontiguousarray(x.T), np.ascontiguousarray(column.T), len(x)
         rough = coarse(x)
-        query = rough[:, CONTEXT:]
-        cells = (query * COARSE)[:, :, None] + rough[:, None, :]
-        weights = self.pairs.ravel().take(cells, mode="clip")
-        weights *= self.far
-        first = column * CELLS
-        places = first[:, :, None] + (CODES + rough)[:, None, :]
-        places[:, np.arange(STEP), np.arange(CONTEXT, SPAN)] = first + x[:, CONTEXT:]
-        given = self.values.take(places, mode="clip")
-        given *= weights
-        none = self.none.take(query)
-        return cells, weights, given, none, weights @ ONES + none, given @ ONES + none * self.plain.take(column)
+        query, near = rough[CONTEXT:] * COARSE, column * CELLS
+        back = near + CODES
+        pairs = BEGIN[-1] if kept else STEP
+        cells, places = np.empty((pairs, n), np.intp), np.empty((STEP, n), np.intp)
+        weights, given = np.empty((2, pairs, n), np.float32)
+        none, plain = self.none.take(rough[CONTEXT:]), self.plain.take(column)
+        total, hit = none.copy(), none * plain
+        for d, f in enumerate(FIRST):
+            at = slice(BEGIN[d], BEGIN[d + 1]) if kept else slice(0, STEP - f)
+            cell, weight, value, place = cells[at], weights[at], given[at], places[f:]
+            keys = rough[CONTEXT + f - d : SPAN - d]
+            np.add(query[f:], keys, out=cell)
+            self.pairs.take(cell, mode="clip", out=weight)
+            weight *= self.far[d]
+            if d:
+                np.add(back[f:], keys, out=place)
+            else:
+                np.add(near, x[CONTEXT:], out=place)
+            self.values.take(place, mode="clip", out=value)
+            value *= weight
+            total[f:] += weight
+            hit[f:] += value
+        return cells, weights, given, rough, none, plain, total, hit
 
     def probabilities(self, x: np.ndarray, column: np.ndarray) -> np.ndarray:
-        *_, total, hit = self.attend(x, column)
-        return hit / total
+        *_, total, hit = self.attend(x, column, False)
+        return (hit / total).T
 
     def gradients(self, x: np.ndarray, column: np.ndarray, real: np.ndarray) -> dict[str, np.ndarray]:
         """Gradients of the mean of -log p over the real targets."""
-        cells, weights, given, none, total, hit = self.attend(x, column)
-        share = real / np.float32(max(real.sum(), 1))
+        cells, weights, given, rough, none, plain, total, hit = self.attend(x, column, True)
+        share = real.T / np.float32(max(real.sum(), 1))
         one, two = share / total, share / hit
-        weights *= one[:, :, None]
-        given *= two[:, :, None]
+        for d, f in enumerate(FIRST):
+            at = slice(BEGIN[d], BEGIN[d + 1])
+            weights[at] *= one[f:]
+            given[at] *= two[f:]
         weights -= given
         pairs = np.bincount(cells.ravel(), weights.ravel(), COARSE * COARSE).reshape(COARSE, COARSE).astype(np.float32)
-        sink = none * (one - two * self.plain.take(column))
+        sink = none * (one - two * plain)
         return {
             "query": pairs @ self.net["key"],
             "key": pairs.T @ self.net["query"],
             "weight": pairs.sum(0),
-            "sink": np.bincount(coarse(x[:, CONTEXT:]).ravel(), sink.ravel(), COARSE).astype(np.float32),
-            "far": np.bincount(DISTANCE[SEEN], weights.sum(0)[SEEN], SPAN).astype(np.float32),
+            "sink": np.bincount(rough[CONTEXT:].ravel(), sink.ravel(), COARSE).astype(np.float32),
+            "far": np.add.reduceat(weights.sum(1), BEGIN[:-1]),
         }
 
 
-def windows_of(codes: np.ndarray) -> np.ndarray:
-    """Codes of a text's windows, from the codes of its ids (the end id last): [n, SPAN]. Place k holds what stands before id k."""
+def windows_of(codes: np.ndarray, first: int = 0, every: int = 1) -> np.ndarray:
+    """Codes of a text's windows, from the codes of its ids (the end id last): [n, SPAN]. Place k holds what stands before id k.
+    Of all windows the one numbered `first` and each `every`-th after it."""
     n = -(-len(codes) // STEP)
     padded = np.full(CONTEXT + n * STEP, FILL, codes.dtype)
     padded[CONTEXT] = START
     padded[CONTEXT + 1 : CONTEXT + len(codes)] = codes[:-1]
-    return np.lib.stride_tricks.sliding_window_view(padded, SPAN)[::STEP]
+    blocks = padded.reshape(-1, STEP)
+    return np.concatenate([blocks[k + first : k + n : every] for k in range(SPAN // STEP)], axis=1)
 
 
 def targets_of(columns: np.ndarray) -> np.ndarray:
@@ -329,7 +357,7 @@ def targets_of(columns: np.ndarray) -> np.ndarray:
 def windows_for(ids: np.ndarray, model: dict, number: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
     """Windows and targets of a text that round `number` trains on; each window belongs to one of the rounds."""
     first = (number - len(ids)) % rounds
-    return windows_of(model["codes"][ids])[first::rounds], targets_of(model["column"][ids].astype(np.int32))[first::rounds]
+    return windows_of(model["codes"].take(ids), first, rounds), targets_of(model["column"].take(ids))[first::rounds].astype(np.int32)
 
 
 def train_round(rows: DataFrame, model: dict, number: int, rounds: int, rate: float, held: int = 1 << 16, steps: int = 150) -> dict[str, np.ndarray]:
@@ -352,7 +380,7 @@ def train_round(rows: DataFrame, model: dict, number: int, rounds: int, rate: fl
                 for at in range(0, len(x), batch):
                     attention.set(net)
                     picked = order[at : at + batch]
-                    grads, parts = None, -(-len(picked) // 256)
+                    grads, parts = None, -(-len(picked) // PART)
                     for part in np.array_split(picked, parts):
                         wide, column = x[part].astype(np.intp), y[part].astype(np.intp)
                         found = attention.gradients(wide, np.maximum(column, 0), (column >= 0).astype(np.float32))
@@ -412,14 +440,14 @@ def text_scores(rows: list[np.ndarray], model: dict, attention: Attention) -> li
     def flush():
         nonlocal xs, ys, size
         x, y = np.concatenate(xs), np.concatenate(ys)
-        for at in range(0, len(x), 256):
-            column = y[at : at + 256].astype(np.intp)
-            p = attention.probabilities(x[at : at + 256].astype(np.intp), np.maximum(column, 0))
+        for at in range(0, len(x), PART):
+            column = y[at : at + PART].astype(np.intp)
+            p = attention.probabilities(x[at : at + PART].astype(np.intp), np.maximum(column, 0))
             found.append(p[column >= 0])
         xs, ys, size = [], [], 0
 
     for ids in rows:
-        x, y = windows_of(model["codes"][ids]), targets_of(model["column"][ids].astype(np.int32))
+        x, y = windows_of(model["codes"].take(ids)), targets_of(model["column"].take(ids))
         for at in range(0, len(x), 2048):
             xs.append(x[at : at + 2048])
             ys.append(y[at : at + 2048])

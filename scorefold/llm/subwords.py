@@ -21,7 +21,6 @@ from scorefold.llm import common
 #: Letters whose lower case and normal form need no look at their neighbours.
 SAFE = re.compile(r"[\n\t\r !-~À-ÿ]*")
 PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
-BLANK = " \t\n\r"
 #: The layout that the word-by-word way is right for.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -66,38 +65,44 @@ class Recent(dict):
 
 
 class Pieces(Recent):
+    """Lower-case words of the characters of SAFE, and the pieces that they are cut into, in one cache: most words are one piece."""
+
     def __init__(self, model, most: int):
         super().__init__(most)
         self.model, self.alphabet = model, printable_bytes()
 
-    def work_out(self, piece: str) -> bytes:
-        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.alphabet)
+    def work_out(self, word: str) -> bytes:
+        if not word.isalpha():
+            if word[:-1].isalpha():  # letters and one sign
+                return self[word[:-1]] + self[word[-1]]
+            found = PIECE.findall(word)
+            if len(found) > 1:
+                return b"".join([self[p] for p in found])
+        shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet)
         return array("I", [x.id for x in self.model.tokenize(shown)]).tobytes()
 
 
 class Words(Recent):
+    """Words parted by blanks, of any characters."""
+
     def __init__(self, tokenizer, pieces: Pieces, most: int):
         super().__init__(most)
         self.tokenizer, self.pieces = tokenizer, pieces
 
     def work_out(self, word: str) -> bytes:
-        if not SAFE.fullmatch(word):
-            return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
-        low = word.lower()
-        if low.isalpha():  # letters, or letters and one sign: the usual word
-            return self.pieces[low]
-        if low[:-1].isalpha():
-            return self.pieces[low[:-1]] + (b"" if low[-1] in BLANK else self.pieces[low[-1]])
-        return b"".join([self.pieces[p] for p in PIECE.findall(low)])
+        if SAFE.fullmatch(word):
+            return b"".join([self.pieces[w] for w in word.lower().split()])
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
 
 class Subwords:
     """ids(text) gives Tokenizer.encode(text, add_special_tokens=False) as unsigned 32-bit integers.
 
-    cached: entries of a generation of each of the two caches (about 0.2 kB each; two generations are kept).
+    cached: entries of a generation of both caches (about 0.2 kB each; two generations are kept): texts of SAFE characters
+    need that of words and pieces alone, which has three fifths of them.
     """
 
-    def __init__(self, path: str, cached: int = 250_000):
+    def __init__(self, path: str, cached: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -105,7 +110,7 @@ class Subwords:
             config = json.load(file)
         self.special = [x["content"] for x in config.get("added_tokens", [])]
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.words = Words(self.tokenizer, Pieces(self.tokenizer.model, cached), cached) if word_by_word(config) else None
+        self.words = Words(self.tokenizer, Pieces(self.tokenizer.model, cached * 3 // 5), cached * 2 // 5) if word_by_word(config) else None
 
     def forget(self) -> None:
         """Empty the caches: at the end of a task, so that a worker which waits for other work holds no words."""
@@ -120,7 +125,7 @@ class Subwords:
         if self.words is None or any(x in text for x in self.special):
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         if SAFE.fullmatch(text):
-            text = text.lower()
+            return b"".join(map(self.words.pieces.__getitem__, text.lower().split()))
         return b"".join(map(self.words.__getitem__, text.split(" ")))
 
 

@@ -176,3 +176,26 @@ def test_hashed_words_tell_words_apart_as_words_does():
         assert sizes.tolist() == [len(w) for w in found]
         pairs = set(zip([w for ws in found for w in ws], hashes.tolist(), strict=True))
         assert len({w for w, _ in pairs}) == len({h for _, h in pairs}) == len(pairs)
+
+
+def test_attention_works_on_no_pair_that_lies_ahead():
+    texts = some_texts(13)
+    model = small_model(texts)
+    attention = lm.Attention(model["values"], model["plain"])
+    attention.set(model["net"])
+    x = np.concatenate([lm.windows_of(model["codes"][i]) for i in texts]).astype(np.intp)
+    y = np.maximum(np.concatenate([lm.targets_of(model["column"][i]) for i in texts]), 0)
+    cells, *_ = attention.attend(x, y, True)
+    rough = lm.coarse(x)
+    want = [rough[:, lm.CONTEXT + k] * lm.COARSE + rough[:, j] for k in range(lm.STEP) for j in range(lm.CONTEXT + k + 1)]
+    assert sorted(cells.ravel().tolist()) == sorted(np.concatenate(want).tolist())
+
+
+def test_merged_totals_are_those_of_both_sides():
+    rng = np.random.default_rng(14)
+    keys, total, want = np.zeros(0, np.int32), np.zeros(0, np.int64), collections.Counter()
+    for n in (0, 5, 300, 0, 300, 1):
+        drawn = rng.integers(0, 200, n).astype(np.int32)
+        keys, total = lm.merged(keys, total, *np.unique(drawn, return_counts=True))
+        want.update(drawn.tolist())
+        assert list(zip(keys.tolist(), total.tolist(), strict=True)) == sorted(want.items())

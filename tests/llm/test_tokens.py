@@ -41,6 +41,15 @@ def test_small_caches_change_nothing():
     assert np.frombuffer(small.ids(text), "<u4").tolist() == plain(text, 0)[:-1]
 
 
+def test_a_word_is_worked_out_once_whatever_parts_it():
+    coder = subwords.Subwords(PATH)
+    coder.ids("alpha Beta gamma, 12")
+    pieces, words = set(coder.words.pieces), set(coder.words)
+    for text in ("alpha\nbeta\tgamma,\r\n12", "Gamma, 1 2\nALPHA\n beta ,"):
+        assert np.frombuffer(coder.ids(text), "<u4").tolist() == plain(text, 0)[:-1]
+        assert set(coder.words.pieces) == pieces and set(coder.words) == words
+
+
 def docs(spark):
     rows = [(k * 3 - 5, t, "en", "clash", "clash") for k, t in enumerate(ODD)] + [(4, "again", None, None, None), (4, "again", None, None, None), (None, "no id", "x", "y", "z")]
     return spark.createDataFrame(rows, DOCS)
